@@ -7,6 +7,7 @@ import tempfile
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows and bytes that a Python worker gets at once. Texts can be long, so batches are small.
 BATCH_ROWS = 512
@@ -146,3 +147,11 @@ class Words:
             h = h * np.uint64(ROLL) + self.hash[j : j + m]
         at = np.flatnonzero(self.doc[:m] == self.doc[n - 1 :])
         return mix(h[at]), at
+
+
+_KINDS = {"long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(), "binary": T.BinaryType(), "boolean": T.BooleanType(), "array<long>": T.ArrayType(T.LongType()), "array<int>": T.ArrayType(T.IntegerType()), "array<string>": T.ArrayType(T.StringType())}
+
+
+def fields(spec: str) -> T.StructType:
+    """A struct type from "name kind, ..."; works where no session exists, as in workers that import a module."""
+    return T.StructType([T.StructField(n, _KINDS[k]) for n, k in (x.split() for x in spec.split(", "))])
