@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, quality, urls
+from . import langid, packing, quality, secrets, urls
 from .common import crc_mod
 
 
@@ -35,5 +35,20 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "p_block")
 
 
-QUERIES = {"op2_language_id": op2_language_id, "op3_quality_rules": op3_quality_rules, "op7_url_filters": op7_url_filters}
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "secrets")
+    base = F.filter("secrets", lambda x: x["kind"] != "random")
+    counts = [F.size(F.filter("secrets", _of_kind(kind))).cast("long").alias(f"n_{kind}") for kind in ("assign", "access", "hex", "random")]
+    return found.select("doc_id", *counts, F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("secrets")).alias("spans"))
+
+
+def _of_kind(kind: str):
+    return lambda x: x["kind"] == kind
+
+
+QUERIES = {f.__name__: f for f in (op2_language_id, op3_quality_rules, op7_url_filters, op8_best_fit_packing, op10_secret_scans)}
 ORACLES: dict[str, str] = {}
