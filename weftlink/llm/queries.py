@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, quality, secrets, urls
+from . import langid, packing, quality, secrets, substrings, urls
 from .common import crc_mod
 
 
@@ -13,6 +13,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False))
@@ -50,5 +55,5 @@ def _of_kind(kind: str):
     return lambda x: x["kind"] == kind
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op3_quality_rules, op7_url_filters, op8_best_fit_packing, op10_secret_scans)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_quality_rules, op7_url_filters, op8_best_fit_packing, op10_secret_scans)}
 ORACLES: dict[str, str] = {}
