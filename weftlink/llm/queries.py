@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, quality, secrets, substrings, urls
+from . import decontaminate, jaccard, langid, packing, quality, secrets, substrings, urls
 from .common import crc_mod
 
 
@@ -31,6 +31,15 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_words_left")
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark").select("item_id", "text")
+    return decontaminate.find(docs, items)
+
+
 #: The URL rules.
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
@@ -55,5 +64,5 @@ def _of_kind(kind: str):
     return lambda x: x["kind"] == kind
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_quality_rules, op7_url_filters, op8_best_fit_packing, op10_secret_scans)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_quality_rules, op5_jaccard_join, op6_decontamination, op7_url_filters, op8_best_fit_packing, op10_secret_scans)}
 ORACLES: dict[str, str] = {}
