@@ -19,9 +19,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, tune
+from .common import cut, trim, tune
 
-CHUNK_BYTES = 3 << 20
+CHUNK_BYTES = 2 << 20
 #: Stands for a null id: larger than every other.
 NO_ID = np.iinfo(np.int64).max
 
@@ -117,6 +117,7 @@ def per_chunk(chunks: DataFrame, replies: list[DataFrame], work, schema: str) ->
             for r in range(batch.num_rows):
                 got = [{x["bucket"]: x["reply"] for x in (c[r].as_py() or ())} for c in cols[4:]]
                 yield from work(Chunk(cols[1][r].as_py(), cols[2][r].as_py(), cols[3][r].as_py()), cols[0][r].as_py(), got)
+                trim()
 
     return joined.mapInArrow(each, schema)
 
@@ -156,6 +157,7 @@ def answer(requests: DataFrame) -> DataFrame:
         for k in keys:
             out.append(squeeze(level[at : at + len(k)].tobytes()))
             at += len(k)
+        trim()
         return pa.table({"bucket": pa.array([table.column("bucket")[0].as_py()] * len(out), pa.int32()), "chunk": pa.array(chunks, pa.int64()), "reply": pa.array(out, pa.binary())})
 
     return requests.groupBy("bucket").applyInArrow(work, REPLY)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import chunks as C
-from .common import cut, mix, rolling, shuffles, sliding_min
+from .common import cut, mix, rolling, shuffles, sliding_min, trim
 
 WIDTH, SEED = 50, 20
 _LOW = np.uint64((1 << 30) - 1)
@@ -221,6 +221,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
             window = np.repeat(first_window[g], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
             reply.append(C.squeeze(np.packbits(best[window] < np.repeat(sent[at : at + n], k)).tobytes()))
             at += n
+        trim()
         return pa.table({"bucket": pa.array(table.column("bucket").to_pylist(), pa.int32()), "chunk": pa.array(table.column("chunk").to_pylist(), pa.int64()), "reply": pa.array(reply, pa.binary())})
 
     second = C.per_chunk(packed, [first], send, SHARE).groupBy("bucket").applyInArrow(settle, C.REPLY)
