@@ -38,10 +38,11 @@ def _packed(ids: list[int], texts: list[bytes]) -> tuple[bytes, bytes, bytes]:
     return np.array(ids, np.int64).tobytes(), np.array([len(t) for t in texts], np.int64).tobytes(), squeeze(b"".join(texts))
 
 
-def pack(docs: DataFrame, key: str, text: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def pack(docs: DataFrame, key: str, text: str, chunk_bytes: int = CHUNK_BYTES, squeezed: bool = False) -> DataFrame:
     """(chunk long, ids binary, sizes binary, texts binary), written to the checkpoint folder.
 
-    Null texts are empty; null ids are NO_ID. Every row is in one chunk.
+    Null texts are empty; null ids are NO_ID. Every row is in one chunk. The text
+    column may hold squeezed bytes instead of strings.
     """
     spark = docs.sparkSession
     tune(spark)
@@ -59,6 +60,7 @@ def pack(docs: DataFrame, key: str, text: str, chunk_bytes: int = CHUNK_BYTES) -
         for batch in batches:
             for i, t in zip(batch.column(0), batch.column(1), strict=True):
                 t = t.as_buffer().to_pybytes() if t.is_valid else b""
+                t = unsqueeze(t) if squeezed and t else t
                 if size and size + len(t) > chunk_bytes:
                     yield row()
                     n, ids, texts, size = n + 1, [], [], 0
@@ -68,7 +70,7 @@ def pack(docs: DataFrame, key: str, text: str, chunk_bytes: int = CHUNK_BYTES) -
         if ids:
             yield row()
 
-    rows = docs.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(work, "chunk long, ids binary, sizes binary, texts binary")
+    rows = docs.select(F.col(key).cast("long"), F.col(text).cast("binary" if squeezed else "string")).mapInArrow(work, "chunk long, ids binary, sizes binary, texts binary")
     return cut(rows)
 
 

@@ -15,7 +15,7 @@ def components(links: DataFrame) -> DataFrame:
     and then the label's own label, so long chains shrink fast. Nothing is collected.
     """
     both = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")))
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("_b")).select("node", F.least("node", "_b").alias("comp"))
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), F.col("comp").alias("_c")), "b").groupBy(F.col("a").alias("node")).agg(F.min("_c").alias("_c"))
         new = labels.join(near, "node").select("node", F.least("comp", "_c").alias("comp"), F.col("comp").alias("_old"))

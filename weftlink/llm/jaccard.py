@@ -8,20 +8,22 @@ have them (rare ones first), and linked sets must share one among the first
 n - ceil(t * n) + 1. The boundary is the size up to which enumeration costs less
 than the scans. Shingles of one document link nothing and are never listed.
 
-A list isn't expanded into all its pairs. In rounds, each set is compared with one
-pivot of its lists, and sets that are linked become one component; then only sets
-of one list that lie in different components are compared. Every comparison is exact.
+A list isn't expanded into all its pairs. First each set is compared with the few
+pivots that it shares most lists with, and linked sets become one component; then
+only sets of one list that lie in different components are compared. Every
+comparison is exact.
 """
 
 from __future__ import annotations
 
+import hashlib
 from itertools import combinations
 from math import ceil, comb
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +35,7 @@ WORDS = 5
 #: Similarity in hundredths.
 PERCENT = 75
 MAX_SMALL = 16
+#: Pivots that each set is compared with before the rest of its lists is looked at.
 STARS = 3
 
 
@@ -99,57 +102,84 @@ def _linked(percent: int):
     return linked
 
 
-SETS = "id long, n long, sig binary, tokens array<long>, body binary"
+class Ordered:
+    """A chunk's sets with each shingle's place in the order (rare ones first), and what shows which sets may be linked."""
 
+    def __init__(self, texts: list[bytes], reply: dict[int, bytes], buckets: int, percent: int):
+        self.doc, self.hash = doc, h = shingles(texts)
+        level = C.levels(h, reply, buckets) if len(h) else np.empty(0, np.uint8)
+        self.n = np.bincount(doc, minlength=len(texts))
+        order = np.lexsort((h, level, doc))
+        place = np.arange(len(h)) - (np.cumsum(self.n) - self.n)[doc]
+        prefix = self.n - -(-percent * self.n // 100) + 1
+        keep = (place < prefix[doc]) & (level[order] > 0)
+        # Shingles that others have too, their places among the first of each set's, and how many a set has.
+        self.own, self.token, self.place = doc[order][keep], h[order][keep].view(np.int64), place[keep]
+        self.some = np.bincount(self.own, minlength=len(texts))
+        self.shared = np.bincount(doc[level > 0], minlength=len(texts))
+        self.weight = np.bincount(doc, weights=level, minlength=len(texts)) / np.maximum(self.n, 1)
 
-def sets(docs: DataFrame, key: str, text: str, percent: int, chunk_bytes: int) -> DataFrame:
-    """One row per document: id, size of its set, and for those that may be linked: signature of the set, prefix tokens that others have too, squeezed text."""
-    buckets = shuffles(docs.sparkSession)
-    packed = C.pack(docs, key, text, chunk_bytes)
-
-    def lowered(chunk):
-        return [t.lower() for t in chunk.texts()]
 
+def _ask(buckets: int):
     def ask(chunk, at, _):
-        doc, h = shingles(lowered(chunk))
+        doc, h = shingles([t.lower() for t in chunk.texts()])
         if len(h):
             yield C.ask(at, h, doc, buckets)
 
-    levels = C.answer(C.per_chunk(packed, [], ask, C.ASK))
+    return ask
 
-    def prefixes(chunk, at, got):
-        texts = lowered(chunk)
-        doc, h = shingles(texts)
-        level = C.levels(h, got[0], buckets) if len(h) else np.empty(0, np.uint8)
-        n = np.bincount(doc, minlength=len(texts))
-        start = np.cumsum(n) - n
-        order = np.lexsort((h, level, doc))
-        rank = np.arange(len(h)) - start[doc]
-        prefix = n - -(-percent * n // 100) + 1
-        keep = (rank < prefix[doc]) & (level[order] > 0)
-        d, token = doc[order][keep], h[order][keep].view(np.int64)
-        some = np.bincount(d, minlength=len(texts))
-        first = np.cumsum(some) - some
+
+SETS = "id long, n long, sig binary, body binary, text_md5 string"
+
+
+def sets(docs: DataFrame, key: str, text: str, percent: int, chunk_bytes: int) -> DataFrame:
+    """One row per document: id, size of its set, md5 of its text; for those that may be linked also a signature of the set and the squeezed text."""
+    buckets = shuffles(docs.sparkSession)
+    packed = C.pack(docs, key, text, chunk_bytes)
+    levels = C.answer(C.per_chunk(packed, [], _ask(buckets), C.ASK))
+
+    def signed(chunk, at, got):
+        given = chunk.texts()
+        texts = [t.lower() for t in given]
+        s = Ordered(texts, got[0], buckets, percent)
         one, two = np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.uint64)
-        np.add.at(one, doc, mix(h))
-        np.add.at(two, doc, mix(h ^ np.uint64(ROLL)))
+        np.add.at(one, s.doc, mix(s.hash))
+        np.add.at(two, s.doc, mix(s.hash ^ np.uint64(ROLL)))
         seen: set[bytes] = set()
-        rows = {x: [] for x in ("id", "n", "sig", "tokens", "body")}
+        sigs, bodies = [], []
         for i, t in enumerate(texts):
-            rows["id"].append(int(chunk.ids[i]))
-            rows["n"].append(int(n[i]))
-            sig = one[i].tobytes() + two[i].tobytes() if some[i] else None
-            rows["sig"].append(sig)
-            # Of equal sets in a chunk, one carries tokens and text.
-            carry = sig is not None and sig not in seen
-            rows["tokens"].append(token[first[i] : first[i] + some[i]] if carry else None)
-            rows["body"].append(C.squeeze(t) if carry else None)
+            sig = one[i].tobytes() + two[i].tobytes() if s.some[i] else None
+            sigs.append(sig)
+            # Of equal sets in a chunk, one carries the text.
+            bodies.append(C.squeeze(t) if sig is not None and sig not in seen else None)
             seen.add(sig)
-        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary()]
-        for i in range(0, len(texts), 512):
-            yield pa.RecordBatch.from_arrays([pa.array(v[i : i + 512], k) for v, k in zip(rows.values(), kinds, strict=True)], list(rows))
+        columns = [pa.array(chunk.ids, pa.int64()), pa.array(s.n, pa.int64()), pa.array(sigs, pa.binary()), pa.array(bodies, pa.binary()), pa.array([hashlib.md5(t).hexdigest() for t in given])]
+        yield pa.RecordBatch.from_arrays(columns, ["id", "n", "sig", "body", "text_md5"])
 
-    return cut(C.per_chunk(packed, [levels], prefixes, SETS))
+    return cut(C.per_chunk(packed, [levels], signed, SETS))
+
+
+LISTS = "node long, n long, shared long, weight double, tokens array<struct<token:long,place:int>>"
+
+
+def inverted(nodes: DataFrame, percent: int, chunk_bytes: int) -> DataFrame:
+    """One row per distinct set that may be linked with another: size, shingles that other sets have, mean level, and the prefix's shared shingles with their places.
+
+    Levels are counted again over the distinct sets, so that copies make nothing common.
+    """
+    buckets = shuffles(nodes.sparkSession)
+    packed = C.pack(nodes, "node", "body", chunk_bytes, squeezed=True)
+    levels = C.answer(C.per_chunk(packed, [], _ask(buckets), C.ASK))
+
+    def listed(chunk, at, got):
+        s = Ordered(chunk.texts(), got[0], buckets, percent)
+        edges = np.concatenate([[0], np.cumsum(s.some)])
+        some = np.flatnonzero(s.some)
+        tokens = pa.StructArray.from_arrays([pa.array(s.token, pa.int64()), pa.array(s.place, pa.int32())], ["token", "place"])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(edges[:-1][some], edges[-1]), pa.int32()), tokens)
+        yield pa.RecordBatch.from_arrays([pa.array(chunk.ids[some], pa.int64()), pa.array(s.n[some], pa.int64()), pa.array(s.shared[some], pa.int64()), pa.array(s.weight[some]), lists], ["node", "n", "shared", "weight", "tokens"])
+
+    return cut(C.per_chunk(packed, [levels], listed, LISTS))
 
 
 def _subset_keys(percent: int):
@@ -169,83 +199,90 @@ def _subset_keys(percent: int):
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, chunk_bytes: int = C.CHUNK_BYTES) -> DataFrame:
-    """(key, n_shingles, component_id): each row's set size and the smallest key reachable over links.
+    """(key, n_shingles, component_id, text_md5): each row's set size and the smallest key reachable over links; md5 of its text.
 
     Sets without shingles (no words, empty or null text) link with nothing. A null
     key is larger than all others; a component of null keys alone has a null id, as
     has a lone row with a null key. Rows that repeat a key each get a result.
     """
     rows = sets(docs, key, text, percent, chunk_bytes)
-    nodes = cut(rows.filter("tokens is not null").groupBy("sig").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("body").alias("body")))
-    listed = nodes.select("sig", "n", F.explode("tokens").alias("token"))
+    nodes = rows.filter("body is not null").groupBy("sig").agg(F.first("n").alias("n"), F.first("body").alias("body"))
+    nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
+    sized = inverted(nodes, percent, chunk_bytes)
+    listed = sized.select("node", "n", "shared", "weight", F.explode("tokens").alias("t")).select("node", "n", "shared", "weight", "t.token", "t.place")
     shared = listed.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1")
     total = shared.agg(F.count("*"), F.sum("c")).first()
     small = boundary((total[1] or 0) / max(total[0], 1), percent)
 
-    subsets = nodes.filter(F.col("n") <= small).select("sig", "n", F.explode(_subset_keys(percent)("body")).alias("x")).select("sig", "n", "x.o", "x.k")
-    star = subsets.groupBy("o", "k").agg(F.min(F.struct("n", "sig")).alias("r"), F.count("*").alias("c")).filter("c > 1")
-    light = subsets.join(star, ["o", "k"]).filter((F.col("sig") != F.col("r.sig")) & ((100 + percent) * F.col("o") >= percent * (F.col("n") + F.col("r.n"))))
-    light = light.select(F.col("r.sig").alias("a"), F.col("sig").alias("b")).distinct()
+    few = nodes.filter(F.col("n") <= small).join(sized.select("node"), "node", "left_semi")
+    subsets = few.select("node", "n", F.explode(_subset_keys(percent)("body")).alias("x")).select("node", "n", "x.o", "x.k")
+    star = subsets.groupBy("o", "k").agg(F.min(F.struct("n", "node")).alias("r"), F.count("*").alias("c")).filter("c > 1")
+    light = subsets.join(star, ["o", "k"]).filter((F.col("node") != F.col("r.node")) & ((100 + percent) * F.col("o") >= percent * (F.col("n") + F.col("r.n"))))
+    light = light.select(F.col("r.node").alias("a"), F.col("node").alias("b"))
 
     # Lists that several sets share, without sets whose every partner is small.
     near = ceil(percent * (small + 1) / 100)
     lists = cut(listed.filter(F.col("n") >= near).join(shared.select("token"), "token"))
-    comps = nodes.select("sig", F.col("sig").alias("comp"))
-    links = [_verified(light, nodes, percent)]
-    comps = _merge(comps, links[0])
-    for _ in range(STARS):
-        found = _verified(_stars(lists, comps, small, percent), nodes, percent)
-        if found.isEmpty():
-            break
-        comps = _merge(comps, found)
-    comps = _merge(comps, _verified(_across(lists, comps, small, percent), nodes, percent))
-
-    ids = rows.filter("sig is not null").groupBy("sig").agg(F.min("id").alias("id"))
-    least = ids.join(comps, "sig").groupBy("comp").agg(F.min("id").alias("component_id"))
-    named = comps.join(least, "comp").select("sig", "component_id")
-    out = rows.select("id", "n", "sig").join(named, "sig", "left")
+    linked = _verified(light.union(_stars(lists, small, percent)).distinct(), nodes, percent)
+    comps = cut(sized.select("node").join(components(linked), "node", "left").select("node", F.coalesce("comp", "node").alias("comp")))
+    more = _verified(_across(lists, comps, small, percent), nodes, percent)
+    if not more.isEmpty():
+        comps = _merge(comps, more)
+
+    own = nodes.select("sig", "node").join(comps, "node", "left").select("sig", F.coalesce("comp", "node").alias("comp"))
+    ids = rows.filter("sig is not null").groupBy("sig").agg(F.min("id").alias("id")).join(own, "sig")
+    least = ids.groupBy("comp").agg(F.min("id").alias("component_id"))
+    named = own.join(least, "comp").select("sig", "component_id")
+    out = rows.select("id", "n", "sig", "text_md5").join(named, "sig", "left")
     known = lambda c: F.when(c != C.NO_ID, c)
-    return out.select(known(F.col("id")).alias(key), F.col("n").alias("n_shingles"), known(F.coalesce("component_id", "id")).alias("component_id"))
+    return out.select(known(F.col("id")).alias(key), F.col("n").alias("n_shingles"), known(F.coalesce("component_id", "id")).alias("component_id"), "text_md5")
+
 
+def _fits(small: int, percent: int):
+    """Sets (n, shared, place) and (m, shared2, place2) of one list that can be linked, and aren't both small.
 
-def _fits(small: int, percent: int, n: str, m: str):
-    """Sizes that can be linked, not both small."""
-    a, b = F.col(n), F.col(m)
-    return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & (F.greatest(a, b) > small)
+    The intersection has at most the shingles that each shares with any set, and of
+    those from the common one on; it needs percent / (100 + percent) of both sizes.
+    """
+    n, m = F.col("n"), F.col("m")
+    most = F.least("shared", "shared2")
+    # The list's shingle need not be the first they have in common; but if it is, nothing before it counts, and one list holds the first.
+    after = F.least(n - F.col("place"), m - F.col("place2"))
+    need = percent * (n + m)
+    return ((100 + percent) * most >= need) & ((100 + percent) * after >= need) & (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (F.greatest(n, m) > small)
 
 
-def _stars(lists: DataFrame, comps: DataFrame, small: int, percent: int) -> DataFrame:
-    """For each set the pivot of another component that it shares most lists with. A list has a pivot for each step of sizes that can be linked."""
+def _stars(lists: DataFrame, small: int, percent: int) -> DataFrame:
+    """For each set the pivots that it shares most lists with. A list's pivot, for each step of sizes that can be linked, is its set of the commonest shingles: what others are copies of."""
     step = 100 / percent
-    own = lists.join(comps, "sig").withColumn("_s", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(step))))
+    own = lists.withColumn("_s", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(step))))
     own = own.select("*", F.explode(F.array(F.col("_s"), F.col("_s") + 1)).alias("_k"))
-    pivots = own.groupBy("token", "_k").agg(F.min(F.struct("n", "sig", "comp")).alias("p"), F.max(F.struct("comp")).alias("hi"), F.min(F.struct("comp")).alias("lo")).filter("hi.comp <> lo.comp")
-    votes = own.join(pivots.select("token", "_k", F.col("p.n").alias("m"), F.col("p.sig").alias("a"), F.col("p.comp").alias("q")), ["token", "_k"])
-    votes = votes.filter((F.col("comp") != F.col("q")) & _fits(small, percent, "n", "m")).groupBy("sig", "a").agg(F.count("*").alias("v"))
-    return votes.groupBy("sig").agg(F.max(F.struct("v", "a")).alias("best")).select(F.col("best.a").alias("a"), F.col("sig").alias("b"))
+    pivots = own.groupBy("token", "_k").agg(F.max(F.struct("weight", "n", "node", "shared", "place")).alias("p"), F.count("*").alias("c")).filter("c > 1")
+    votes = own.join(pivots.select("token", "_k", F.col("p.n").alias("m"), F.col("p.node").alias("a"), F.col("p.shared").alias("shared2"), F.col("p.place").alias("place2")), ["token", "_k"])
+    votes = votes.filter((F.col("node") != F.col("a")) & _fits(small, percent)).groupBy("node", "a").agg(F.count("*").alias("v"))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("v"), "a"))
+    return votes.withColumn("r", rank).filter(F.col("r") <= STARS).select("a", F.col("node").alias("b"))
 
 
 def _across(lists: DataFrame, comps: DataFrame, small: int, percent: int) -> DataFrame:
     """Pairs of one list and different components; lists within one component have none."""
-    own = lists.join(comps, "sig")
+    own = lists.join(comps, "node")
     mixed = own.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
     own = cut(own.join(mixed, "token"))
-    other = own.select("token", F.col("sig").alias("b"), F.col("n").alias("m"), F.col("comp").alias("d"))
-    pairs = own.withColumnRenamed("sig", "a").join(other, "token").filter((F.col("a") < F.col("b")) & (F.col("comp") != F.col("d")) & _fits(small, percent, "n", "m"))
+    other = own.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("comp").alias("d"), F.col("shared").alias("shared2"), F.col("place").alias("place2"))
+    pairs = own.withColumnRenamed("node", "a").join(other, "token").filter((F.col("a") < F.col("b")) & (F.col("comp") != F.col("d")) & _fits(small, percent))
     return pairs.select("a", "b").distinct()
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    body = nodes.select("sig", "body")
-    both = pairs.join(body.select(F.col("sig").alias("a"), F.col("body").alias("x")), "a").join(body.select(F.col("sig").alias("b"), F.col("body").alias("y")), "b")
+    body = nodes.select("node", "body")
+    both = pairs.join(body.select(F.col("node").alias("a"), F.col("body").alias("x")), "a").join(body.select(F.col("node").alias("b"), F.col("body").alias("y")), "b")
     return cut(both.filter(_linked(percent)("x", "y")).select("a", "b"))
 
 
 def _merge(comps: DataFrame, links: DataFrame) -> DataFrame:
     """comps with the components that the links join made one."""
-    name = lambda c: comps.select(F.col("sig").alias(c), F.col("comp").alias(f"_{c}"))
-    edges = cut(links.join(name("a"), "a").join(name("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct())
-    if edges.isEmpty():
-        return comps
+    name = lambda c: comps.select(F.col("node").alias(c), F.col("comp").alias(f"_{c}"))
+    edges = links.join(name("a"), "a").join(name("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
     new = components(edges).select(F.col("node").alias("comp"), F.col("comp").alias("_new"))
-    return cut(comps.join(new, "comp", "left").select("sig", F.coalesce("_new", "comp").alias("comp")))
+    return comps.join(new, "comp", "left").select("node", F.coalesce("_new", "comp").alias("comp"))
