@@ -181,7 +181,7 @@ def union_topk(spark, d):
 
 def provenance(spark, d):
     p = fusion.provenance(_evidence(_e(spark, d)))
-    return p.select("s1_id", "target_id", "target_source", "exact_name", "exact_address", "channels", "score_name_char_tfidf", "rank_name_char_tfidf", "score_address_char_tfidf", "rank_address_char_tfidf", "has_exact_name_accent_folded")
+    return p.select("s1_id", "target_id", "target_source", "exact_name", "exact_address", "channels", "score_name_char_tfidf", F.coalesce("rank_name_char_tfidf", F.lit(0)).alias("rank_name_char_tfidf"), "score_address_char_tfidf", F.coalesce("rank_address_char_tfidf", F.lit(0)).alias("rank_address_char_tfidf"), "has_exact_name_accent_folded")
 
 
 def rrf_pivot(spark, d):

@@ -110,7 +110,7 @@ def source_summary(records: DataFrame) -> DataFrame:
 def listed(ids: str = "matched_entity_ids"):
     """Items of a comma list, trimmed; an empty or blank list has none."""
     c = F.coalesce(F.col(ids), F.lit(""))
-    return F.when(F.trim(c) == "", F.array().cast("array<string>")).otherwise(F.transform(F.split(c, ","), F.trim))
+    return F.when(F.trim(c) == "", F.array().cast("array<string>")).otherwise(F.transform(F.split(c, ","), lambda x: F.trim(x)))
 
 
 def truth_lists(truth: DataFrame) -> DataFrame:
