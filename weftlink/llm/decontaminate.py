@@ -16,8 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import ROLL, Words, mix, tune
+from .common import ROLL, Words, mix, trim, tune
 
 PIECE = 5
 #: Edits allowed, in hundredths of an item's words.
@@ -177,19 +178,20 @@ def find(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "te
     for b in range(blocks):
         block = own.filter(F.pmod(F.xxhash64("t"), F.lit(blocks)) == b).orderBy("i", "t").collect()
         shared = spark.sparkContext.broadcast(([r["i"] for r in block], [r["t"] for r in block]))
-        part = docs.select(key, F.col(text).cast("string")).mapInArrow(_search(shared, percent, key, item_key), schema)
+        part = docs.select(key, F.col(text).cast("string")).mapInArrow(_search(shared, percent, key, item_key, to_arrow_type(items.schema[item_key].dataType)), schema)
         out = part if out is None else out.union(part)
     return out
 
 
-def _search(shared, percent: int, key: str, item_key: str):
+def _search(shared, percent: int, key: str, item_key: str, kind: pa.DataType):
     def work(batches):
         names, texts = shared.value
         items = Items(texts, percent)
         for batch in batches:
             got = leaks(items, [normal(t.as_py()) for t in batch.column(1)])
+            trim()
             if got:
                 d, i, e, s, t = (list(x) for x in zip(*got, strict=True))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(d)), pa.array([names[x] for x in i]), *[pa.array(x, pa.int32()) for x in (e, s, t)]], [key, item_key, "edits", "start_word", "end_word"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(d)), pa.array([names[x] for x in i], kind), *[pa.array(x, pa.int32()) for x in (e, s, t)]], [key, item_key, "edits", "start_word", "end_word"])
 
     return work
