@@ -30,8 +30,8 @@ def _sized(df: DataFrame, docs: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; boilerplate lines go from the others."""
-    kept = quality.judge(docs).filter("kept")
-    return _sized(kept.withColumn("text", quality.without_lines("text", "drop_lines")), docs)
+    kept = quality.judge(docs, rest=True).filter("kept")
+    return _sized(kept.withColumn("text", F.col("text_left")), docs)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

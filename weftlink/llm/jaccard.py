@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import chunks as C
-from .common import ROLL, Words, cut, mix, shuffles
+from .common import ROLL, Words, cut, mix, shuffles, trim
 from .graph import components
 
 WORDS = 5
@@ -84,20 +84,37 @@ def boundary(mean_list: float, percent: int = PERCENT) -> int:
     return best
 
 
+#: Text compared at once.
+CHECK_BYTES = 2 << 20
+
+
+def _linked_pairs(pairs: list[tuple[bytes, bytes]], percent: int) -> np.ndarray:
+    n = len(pairs)
+    doc, h = shingles([p[0] for p in pairs] + [p[1] for p in pairs])
+    size = np.bincount(doc, minlength=2 * n)
+    pair = doc % n
+    order = np.lexsort((h, pair))
+    p, x = pair[order], h[order]
+    inter = np.bincount(p[1:][(p[1:] == p[:-1]) & (x[1:] == x[:-1])], minlength=n)
+    return 100 * inter >= percent * (size[:n] + size[n:] - inter)
+
+
 def _linked(percent: int):
     """Pandas UDF over two columns of squeezed lower-case texts: are their sets linked?"""
 
     @F.pandas_udf(T.BooleanType())
     def linked(a: pd.Series, b: pd.Series) -> pd.Series:
-        n = len(a)
-        doc, h = shingles([C.unsqueeze(x) for x in a] + [C.unsqueeze(x) for x in b])
-        size = np.bincount(doc, minlength=2 * n)
-        pair = doc % n
-        order = np.lexsort((h, pair))
-        p, x = pair[order], h[order]
-        twice = (p[1:] == p[:-1]) & (x[1:] == x[:-1])
-        inter = np.bincount(p[1:][twice], minlength=n)
-        return pd.Series(100 * inter >= percent * (size[:n] + size[n:] - inter))
+        out, held, size = [], [], 0
+        for x, y in zip(a, b, strict=True):
+            held.append((C.unsqueeze(x), C.unsqueeze(y)))
+            size += len(held[-1][0]) + len(held[-1][1])
+            if size >= CHECK_BYTES:
+                out.append(_linked_pairs(held, percent))
+                held, size = [], 0
+        if held:
+            out.append(_linked_pairs(held, percent))
+        trim()
+        return pd.Series(np.concatenate(out) if out else np.empty(0, bool))
 
     return linked
 

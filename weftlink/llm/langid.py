@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import tune
+from .common import trim, tune
 
 SEGMENT = 1024
 #: Characters parsed together.
@@ -172,6 +172,7 @@ def predict(docs: DataFrame, labelled: DataFrame, text: str = "text", lang: str
         order = np.argsort(cost, axis=1, kind="stable")
         rows = np.arange(len(texts))
         best = cost[rows, order[:, 0]]
+        trim()
         score = 1 - best / np.maximum(cost[rows, order[:, 1]], 1e-9) if len(p.langs) > 1 else np.ones(len(texts))
         return pd.DataFrame({"lang_pred": np.where(letter, np.array(p.langs, object)[order[:, 0]], "und"), "score": np.where(letter, np.clip(score, 0, 1), 0.0)})
 

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, shuffles, tune
+from .common import cut, shuffles, trim, tune
 
 CAPACITY = 2048
 #: Pieces of one length are ranked within so many parts at least.
@@ -189,6 +189,7 @@ def pieces(docs: DataFrame, key: str, text: str, vocabulary: str, capacity: int,
             first = len(ids) % capacity or capacity
             edges = [0, *range(first, len(ids) + 1, capacity)]
             result.append([{"piece": i, "start": a, "length": b - a, "ids_crc32": zlib.crc32(ids[a:b].tobytes())} for i, (a, b) in enumerate(zip(edges, edges[1:]))])
+        trim()
         return pd.Series(result, dtype=object)
 
     return docs.select(F.col(key), F.explode(cut_up(F.col(text))).alias("_p")).select(key, "_p.*")

@@ -14,14 +14,16 @@ from collections import Counter
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import fields, tune
+from .common import cut, fields, trim, tune
 
 #: A line is boilerplate of a host beyond both limits: documents, and share of the host's documents.
 MIN_DOCS, MAX_SHARE = 10, 0.1
 #: A document is depleted when less than this share of its words is left.
 MIN_LEFT = 0.3
+#: Lists of fewer lines and hosts than this are broadcast; beyond, documents are joined with them by host.
+SMALL = 200_000
+
 _DIGITS = re.compile(rb"[0-9]+")
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
 _BLANK = re.compile(r"[\x20\x09-\x0D]")
@@ -74,7 +76,24 @@ def _set(lines) -> frozenset[int]:
 @F.pandas_udf(fields(FACTS))
 def text_facts(texts: pd.Series, drops: pd.Series) -> pd.DataFrame:
     names = [x.split()[0] for x in FACTS.split(", ")]
-    return pd.DataFrame([facts(t, _set(d)) for t, d in zip(texts, drops, strict=True)], columns=names)
+    out = pd.DataFrame([facts(t, _set(d)) for t, d in zip(texts, drops, strict=True)], columns=names)
+    trim()
+    return out
+
+
+@F.pandas_udf(fields(FACTS + ", text_left string"))
+def text_facts_and_rest(texts: pd.Series, drops: pd.Series) -> pd.DataFrame:
+    """The facts, and the text without the lines whose keys are listed."""
+    out = text_facts.func(texts, drops)
+    out["text_left"] = pd.Series([without_lines(t, _set(d)) for t, d in zip(texts, drops, strict=True)], dtype=object)
+    trim()
+    return out
+
+
+def without_lines(text: str | None, gone: frozenset[int]) -> str | None:
+    if not isinstance(text, str) or not gone:
+        return text
+    return "\n".join(x for x in text.split("\n") if not (w := _bytes(x).split()) or line_key(w) not in gone)
 
 
 @F.pandas_udf(fields("text_hash long, lines array<long>"))
@@ -83,6 +102,7 @@ def line_keys(texts: pd.Series) -> pd.DataFrame:
     for t in texts:
         data = _bytes(t)
         rows.append((_hash(data), list({line_key(w) for line in data.split(b"\n") if (w := line.split())})))
+    trim()
     return pd.DataFrame(rows, columns=["text_hash", "lines"])
 
 
@@ -103,30 +123,26 @@ def _host(host: str):
     return F.coalesce(F.col(host).cast("string"), F.lit("\0")).alias("_wl_host")
 
 
-def judge(docs: DataFrame, text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
+def judge(docs: DataFrame, text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT, rest: bool = False) -> DataFrame:
     """docs with the facts, ``drop_lines`` (keys of the host's boilerplate), ``n_words_left``, ``base_failed`` and ``kept``.
 
     A null host is a host of its own. Equal texts of a host count as one document,
-    so copies don't make their lines boilerplate. Every input row is returned once,
+    so copies don't make their lines boilerplate. With ``rest``, ``text_left`` is the
+    text without its boilerplate. Every input row is returned once,
     repeated rows too; an empty or null text has base_failed true and kept false.
     Columns whose names begin with ``_wl_`` are reserved; of clashing names the
     operator's columns stay.
     """
     tune(docs.sparkSession)
-    lists = boilerplate(docs, text, host, min_docs, max_share)
+    lists = cut(boilerplate(docs, text, host, min_docs, max_share))
+    size = lists.agg(F.coalesce(F.sum(F.size("_wl_drop")), F.lit(0)), F.count("*")).first()
+    if sum(size) <= SMALL:
+        lists = F.broadcast(lists)
+    kinds = FACTS + (", text_left string" if rest else "")
     drop = F.coalesce("_wl_drop", F.array().cast("array<long>"))
-    out = docs.select("*", _host(host)).join(lists, "_wl_host", "left").withColumn("drop_lines", drop).withColumn("_wl_f", text_facts(F.col(text), F.col("drop_lines")))
-    out = out.withColumns({x.split()[0]: F.col("_wl_f")[x.split()[0]] for x in FACTS.split(", ")}).drop("_wl_f", "_wl_host", "_wl_drop")
+    out = docs.select("*", _host(host)).join(lists, "_wl_host", "left").withColumn("drop_lines", drop).withColumn("_wl_f", (text_facts_and_rest if rest else text_facts)(F.col(text), F.col("drop_lines")))
+    out = out.withColumns({x.split()[0]: F.col("_wl_f")[x.split()[0]] for x in kinds.split(", ")}).drop("_wl_f", "_wl_host", "_wl_drop")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("n_words_left") >= min_left * F.col("n_words")))
 
 
-@F.pandas_udf(T.StringType())
-def without_lines(texts: pd.Series, drops: pd.Series) -> pd.Series:
-    """Texts without the lines whose keys are listed."""
-    out = []
-    for t, d in zip(texts, drops, strict=True):
-        if isinstance(t, str) and (gone := _set(d)):
-            t = "\n".join(x for x in t.split("\n") if not (w := _bytes(x).split()) or line_key(w) not in gone)
-        out.append(t)
-    return pd.Series(out, dtype=object)
