@@ -217,10 +217,11 @@ def test_evidence_checks(spark, four):
 
 def test_pair_features_shape_and_values(spark, entities, four):
     f = features.compute(fusion.fuse(blocking.exact(blocking.melted(entities)), fusion.Budget()), entities)
-    assert f.columns[:3] == ["s1_id", "target_id", "run_id"] and f.columns[3:] == features.feature_names()
+    assert f.columns == features.SCHEMA.names and [x.dataType for x in f.schema] == [x.dataType for x in features.SCHEMA]
+    assert len(features.feature_names()) == 87
     row = f.filter("s1_id = 'S1-a' and target_id = 'S2-a'").first()
     assert (row["name_raw_exact"], row["name_normalized_exact"], row["name_accent_exact"], row["address_raw_exact"]) == (0, 0, 1, 1)
-    assert row["country_agreement"] == 1 and row["both_usable"] == 1
+    assert row["country_agreement"] == 1 and row["both_names_usable"] == 1 and row["exact_name_and_address"] == 0
 
 
 def test_support_contract(spark):

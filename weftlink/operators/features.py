@@ -1,4 +1,4 @@
-"""Features of a candidate pair: the model's 87 inputs and three ids, in a fixed order."""
+"""Features of a candidate pair: a fixed contract of 87 model inputs and three further ids."""
 
 from __future__ import annotations
 
@@ -10,184 +10,188 @@ from ..functions import ratios, views
 
 SUPPORT = "array<struct<channel:string,score:double,rank:int,exact:boolean>>"
 MAX_SHORT = 32767
+STRONG, WEAK = 0.85, 0.5
+
+# The columns of the contract, in its order.
+IDS = ("s1_id", "target_id", "target_source", "run_id")
+CATEGORIES = ("target_source", "strongest_channel")
+FLOATS = (
+    "retrieval_score", "fusion_score", "reciprocal_rank", "support_best_score", "support_mean_score", "support_min_score", "support_max_score", "support_mean_rank",
+    "name_char_similarity", "name_accent_char_similarity", "name_token_jaccard", "name_token_containment_s1", "name_token_containment_target", "name_token_set_similarity", "name_token_sort_similarity", "name_prefix_similarity",
+    "name_suffix_similarity", "name_char_3gram_jaccard", "name_token_count_ratio", "name_char_length_ratio", "address_char_similarity", "address_token_jaccard", "address_token_containment_s1", "address_token_containment_target",
+    "address_number_overlap", "address_token_count_ratio", "address_char_length_ratio", "combined_string_similarity", "retrieval_name_interaction", "retrieval_address_interaction",
+)
+SHORTS = (
+    "channel_rank", "channel_support_count", "exact_support_count", "support_min_rank", "source_support_count", "s2_support_count", "s3_support_count", "name_support_count", "address_support_count", "exact_support_family_count",
+    "fuzzy_support_count", "name_token_count_diff", "name_char_length_diff", "address_token_count_diff", "address_char_length_diff",
+)
+BYTES = (
+    "exact_match", "has_source_support", "has_s2_support", "has_s3_support", "has_name_support", "has_address_support", "has_exact_support", "has_fuzzy_support", "independent_channel_agreement",
+    "name_s1_missing", "name_target_missing", "name_s1_null_like", "name_target_null_like", "name_raw_exact", "name_normalized_exact", "name_casefold_exact", "name_accent_exact", "name_punctuation_agreement",
+    "name_legal_suffix_agreement", "name_initials_agreement", "name_acronym_agreement", "name_digit_agreement", "address_s1_missing", "address_target_missing", "address_s1_null_like", "address_target_null_like",
+    "address_raw_exact", "address_normalized_exact", "address_accent_exact", "address_number_exact", "address_house_number_agreement", "address_postal_agreement", "both_names_usable", "both_addresses_usable",
+    "exact_name_and_address", "strong_name_weak_address", "strong_address_weak_name", "exact_name_conflicting_address_digits", "country_agreement", "country_both_present",
+)
+
+SCHEMA = T.StructType(
+    [T.StructField(c, T.StringType(), False) for c in (*IDS, "strongest_channel")] + [T.StructField(c, T.FloatType(), False) for c in FLOATS] + [T.StructField(c, T.ShortType(), False) for c in SHORTS] + [T.StructField(c, T.ByteType(), False) for c in BYTES]
+)
+
+
+def feature_names() -> list[str]:
+    """The model's inputs: two categories, then numbers."""
+    return [*CATEGORIES, *FLOATS, *SHORTS, *BYTES]
 
 
 def record_views(records: DataFrame, strict: bool = True) -> DataFrame:
-    """Everything a pair needs of one record, computed once for each record before the pair join."""
+    """(entity_id, r): everything a pair needs of one record, computed once for each record before the pair join."""
     n, a = F.col("business_name"), F.col("business_address")
-    base = records.select("entity_id", "country", n.alias("raw_name"), a.alias("raw_address"), views.field(n, strict).alias("n"), views.field(a, strict).alias("a"), views.lowered(n, strict).alias("case_name"), views.punctuation(n, strict).alias("punct_name"))
-    return base.select(
-        "*", views.without_suffix(F.col("punct_name")).alias("bare_name"), views.initials(F.col("n.tokens")).alias("initials"), views.ngrams(F.col("n.folded")).alias("grams"), views.terminal_postal(F.col("raw_address")).alias("postal"),
-    ).select(F.struct("*").alias("r"), F.col("entity_id"))
+    base = records.select(
+        "entity_id", n.alias("raw_name"), a.alias("raw_address"), views.field(n, strict).alias("n"), views.field(a, strict).alias("a"), views.field(F.col("country"), strict).alias("c"), F.col("country"),
+        views.lowered(n, strict).alias("case_name"), views.punctuation(n, strict).alias("punct_name"),
+    )
+    full = base.select("*", views.without_suffix(F.col("punct_name")).alias("bare_name"), views.initials(F.col("n.tokens")).alias("initials"), views.ngrams(F.col("n.folded")).alias("grams"), views.terminal_postal(F.col("raw_address")).alias("postal"))
+    return full.select("entity_id", F.struct("*").alias("r"))
 
 
-def joined(pairs: DataFrame, records: DataFrame, strict: bool = True) -> DataFrame:
+def joined(pairs: DataFrame, records: DataFrame, strict: bool = True, how: str = "inner") -> DataFrame:
     """Pairs with the views q of the S1 record and t of the target."""
     r = record_views(records, strict)
     q, t = r.select(F.col("entity_id").alias("s1_id"), F.col("r").alias("q")), r.select(F.col("entity_id").alias("target_id"), F.col("r").alias("t"))
-    return pairs.join(q, "s1_id").join(t, "target_id")
+    return pairs.join(q, "s1_id", how).join(t, "target_id", how)
 
 
-def _byte(c: Column) -> Column:
-    return c.cast("byte")
+def _capped(c: Column) -> Column:
+    return F.least(c, F.lit(MAX_SHORT))
 
 
-def _short(c: Column) -> Column:
-    return F.least(c, F.lit(MAX_SHORT)).cast("short")
+def _usable(part: str) -> Column:
+    q, t = F.col(f"q.{part}"), F.col(f"t.{part}")
+    return ~(q["missing"] | q["null_like"] | t["missing"] | t["null_like"])
 
 
-def field_features(name: str, part: str, raw: str, similar: bool = True) -> dict[str, Column]:
-    """Flags, exactness and similarities of one field. A value of punctuation only is usable, and two such values are equal."""
-    q, t = F.col(f"q.{part}"), F.col(f"t.{part}")
-    q_raw, t_raw = F.col(f"q.{raw}"), F.col(f"t.{raw}")
-    usable = ~(q["missing"] | q["null_like"] | t["missing"] | t["null_like"])
-    nq, nt, lq, lt = F.size(q["tokens"]), F.size(t["tokens"]), F.length(q_raw), F.length(t_raw)
+def field_features(name: str) -> dict[str, Column]:
+    """What name and address have in common. A value of punctuation only is usable, and two such values are equal; lengths are of the raw text."""
+    part, raw = name[0], f"raw_{name}"
+    q, t, usable = F.col(f"q.{part}"), F.col(f"t.{part}"), _usable(part)
+    nq, nt, lq, lt = F.size(q["tokens"]), F.size(t["tokens"]), F.length(F.col(f"q.{raw}")), F.length(F.col(f"t.{raw}"))
     out = {
-        "s1_missing": _byte(q["missing"]), "target_missing": _byte(t["missing"]), "s1_null_like": _byte(q["null_like"]), "target_null_like": _byte(t["null_like"]),
-        "raw_exact": _byte(usable & (q_raw == t_raw)), "normalized_exact": _byte(usable & (q["unicode"] == t["unicode"])), "accent_exact": _byte(usable & (q["folded"] == t["folded"])),
-        "token_jaccard": ratios.jaccard(q["tokens"], t["tokens"]), "containment_s1": ratios.containment(q["tokens"], t["tokens"]), "containment_target": ratios.containment(t["tokens"], q["tokens"]),
-        "token_diff": _short(F.abs(nq - nt)), "token_ratio": ratios.length_ratio(nq, nt), "char_diff": _short(F.abs(lq - lt)), "char_ratio": ratios.length_ratio(lq, lt),
+        "s1_missing": q["missing"], "target_missing": t["missing"], "s1_null_like": q["null_like"], "target_null_like": t["null_like"],
+        "raw_exact": usable & (F.col(f"q.{raw}") == F.col(f"t.{raw}")), "normalized_exact": usable & (q["unicode"] == t["unicode"]), "accent_exact": usable & (q["folded"] == t["folded"]),
+        "token_jaccard": ratios.jaccard(q["tokens"], t["tokens"]), "token_containment_s1": ratios.containment(q["tokens"], t["tokens"]), "token_containment_target": ratios.containment(t["tokens"], q["tokens"]),
+        "token_count_diff": _capped(F.abs(nq - nt)), "token_count_ratio": ratios.length_ratio(nq, nt), "char_length_diff": _capped(F.abs(lq - lt)), "char_length_ratio": ratios.length_ratio(lq, lt),
     }
-    if similar:
-        out["char_similarity"] = ratios.indel_guarded(q["unicode"], t["unicode"])
     return {f"{name}_{k}": v for k, v in out.items()}
 
 
-def _usable(part: str) -> Column:
-    q, t = F.col(f"q.{part}"), F.col(f"t.{part}")
-    return ~(q["missing"] | q["null_like"] | t["missing"] | t["null_like"])
-
-
-def name_token_features() -> dict[str, Column]:
-    """Name features without edit ratios."""
+def name_features() -> dict[str, Column]:
+    """Of names alone, without edit ratios."""
     q, t, ok = F.col("q"), F.col("t"), _usable("n")
     equal = lambda a, b: ok & (a != "") & (a == b)
     return {
-        "name_casefold_exact": _byte(ok & (q["case_name"] == t["case_name"])), "name_punctuation_agreement": _byte(equal(q["punct_name"], t["punct_name"])), "name_legal_suffix_agreement": _byte(equal(q["bare_name"], t["bare_name"])),
-        "name_initials_agreement": _byte(equal(q["initials"], t["initials"])), "name_acronym_agreement": _byte(ok & (((q["initials"] != "") & (q["initials"] == t["n"]["compact"])) | ((t["initials"] != "") & (t["initials"] == q["n"]["compact"])))),
-        "name_digit_agreement": _byte(ok & (q["n"]["digits"] == t["n"]["digits"])), "name_trigram_jaccard": ratios.jaccard(q["grams"], t["grams"]),
+        "name_casefold_exact": ok & (q["case_name"] == t["case_name"]), "name_punctuation_agreement": ok & (q["punct_name"] == t["punct_name"]), "name_legal_suffix_agreement": equal(q["bare_name"], t["bare_name"]), "name_initials_agreement": equal(q["initials"], t["initials"]),
+        "name_acronym_agreement": ok & (q["initials"] != "") & ((q["initials"] == t["n"]["compact"]) | (t["initials"] == q["n"]["compact"])), "name_digit_agreement": ok & (F.size(q["n"]["digits"]) > 0) & (q["n"]["digits"] == t["n"]["digits"]),
+        "name_char_3gram_jaccard": ratios.jaccard(q["grams"], t["grams"]),
     }
 
 
-def name_ratio_features() -> dict[str, Column]:
+def ratio_features() -> dict[str, Column]:
+    """Edit and token ratios of names and addresses (Arrow functions)."""
     q, t, ok = F.col("q.n.folded"), F.col("t.n.folded"), _usable("n")
-    kept = lambda c: F.when(ok, c).otherwise(0.0)
-    end = lambda c: F.right(c, F.lit(8))
-    start = lambda c: F.left(c, F.lit(8))
+    start, end = (lambda c: F.left(c, F.lit(8))), (lambda c: F.right(c, F.lit(8)))
     return {
-        "name_accent_similarity": ratios.indel_guarded(q, t), "name_token_set_similarity": kept(ratios.token_set_ratio(q, t)), "name_token_sort_similarity": kept(ratios.token_sort_ratio(q, t)),
+        "name_char_similarity": ratios.indel_guarded("q.n.unicode", "t.n.unicode"), "address_char_similarity": ratios.indel_guarded("q.a.unicode", "t.a.unicode"), "name_accent_char_similarity": ratios.indel_guarded(q, t),
+        "name_token_set_similarity": F.when(ok, ratios.token_set_ratio(q, t)).otherwise(0.0), "name_token_sort_similarity": F.when(ok, ratios.token_sort_ratio(q, t)).otherwise(0.0),
         "name_prefix_similarity": ratios.indel_guarded(start(q), start(t)), "name_suffix_similarity": ratios.indel_guarded(end(q), end(t)),
     }
 
 
 def address_features() -> dict[str, Column]:
     q, t, ok = F.col("q.a.digits"), F.col("t.a.digits"), _usable("a")
-    some = ok & (F.size(q) > 0) & (F.size(t) > 0)
     return {
-        "address_number_exact": _byte(some & (q == t)), "address_number_overlap": F.when(ok, ratios.jaccard(q, t)).otherwise(0.0), "address_house_agreement": _byte(some & (F.get(q, F.lit(0)) == F.get(t, F.lit(0)))),
-        "address_postal_agreement": _byte(ok & (F.col("q.postal") != "") & (F.col("q.postal") == F.col("t.postal"))),
+        "address_number_exact": ok & (F.size(q) > 0) & (q == t), "address_number_overlap": ratios.jaccard(q, t), "address_house_number_agreement": F.coalesce(ok & (F.get(q, F.lit(0)) == F.get(t, F.lit(0))), F.lit(False)),
+        "address_postal_agreement": ok & (F.col("q.postal") != "") & (F.col("q.postal") == F.col("t.postal")),
     }
 
 
 def support_violations(candidates: DataFrame) -> DataFrame:
-    """Candidates whose support breaks its contract: empty, repeated channels, scores that aren't finite, ranks out of range, or none that agrees with the primary observation."""
+    """Candidates whose support breaks its contract: empty or too long, nameless or repeated channels, scores that aren't finite, ranks out of range, or a primary observation that isn't in it."""
     s = F.col("support")
     same = F.exists(s, lambda x: (x["channel"] == F.col("channel")) & (F.abs(x["score"] - F.col("retrieval_score")) <= 1e-6) & (x["rank"] == F.col("channel_rank")) & (x["exact"] == F.col("exact_match")))
-    wrong = (F.size(s) < 1) | (F.size(s) != F.size(F.array_distinct(F.transform(s, lambda x: x["channel"])))) | F.exists(s, lambda x: F.isnan(x["score"]) | (F.abs(x["score"]) > 1e308) | (x["rank"] < 1) | (x["rank"] > MAX_SHORT)) | ~same
+    odd = F.exists(s, lambda x: (x["channel"] == "") | F.isnan(x["score"]) | (F.abs(x["score"]) > 1e308) | (x["rank"] < 1) | (x["rank"] > MAX_SHORT))
+    wrong = (F.size(s) < 1) | (F.size(s) > MAX_SHORT) | (F.size(s) != F.size(F.array_distinct(F.transform(s, lambda x: x["channel"])))) | odd | ~same | (F.col("exact_match") != F.exists(s, lambda x: x["exact"]))
     return candidates.filter(F.coalesce(wrong, F.lit(True)))
 
 
 def parse_support(candidates: DataFrame) -> DataFrame:
-    """Candidates with ``support`` as an array; without a support list, the primary observation alone."""
+    """Candidates with ``support`` as an array; where there is no support_json column, the primary observation alone."""
     one = F.array(F.struct(F.col("channel"), F.col("retrieval_score").cast("double").alias("score"), F.col("channel_rank").cast("int").alias("rank"), F.col("exact_match").alias("exact")))
-    parsed = F.from_json("support_json", SUPPORT)
-    return candidates.withColumn("support", F.when(F.coalesce(F.col("support_json"), F.lit("")) == "", one).otherwise(parsed))
+    return candidates.withColumn("support", F.from_json("support_json", SUPPORT) if "support_json" in candidates.columns else one)
 
 
-def _family(x: Column) -> Column:
-    """A channel's name after a source prefix."""
-    return F.regexp_replace(x["channel"], "^[^:]*:", "")
+def _of_family(family: str):
+    """Is a word part of the channel's name after a source prefix?"""
+    return lambda x: F.lower(F.regexp_replace(x["channel"], "^[^:]*:", "")).contains(family)
 
 
-def support_features() -> dict[str, Column]:
-    """Counts, scores and ranks of the support list, in all and by family. The names are matched as parts of a channel's name, so one channel can be of two families."""
-    s = F.col("support")
-    scores, ranks = F.transform(s, lambda x: x["score"]), F.transform(s, lambda x: x["rank"])
-    n = F.size(s)
+def support_features(fused: bool = True) -> dict[str, Column]:
+    """Counts, scores and ranks of the support list. Families are parts of a channel's name, so one channel can be of two and agree with itself; exact families are by name, exact support by flag."""
+    s, n = F.col("support"), F.size("support")
+    scores, ranks = F.transform(s, lambda x: x["score"]), F.transform(s, lambda x: x["rank"].cast("double"))
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x)
+    count = {f: F.size(F.filter(s, _of_family(f))) for f in ("source", "name", "address", "exact")}
+    fuzzy, exact = n - count["exact"], F.size(F.filter(s, lambda x: x["exact"]))
+    first = F.array_min(F.transform(s, lambda x: F.struct((~x["exact"]).alias("a"), (-x["score"]).alias("b"), x["rank"].alias("c"), x["channel"].alias("d"))))
+    in_source = {x: F.col("target_source") == x.upper() for x in ("s2", "s3")}
     out = {
-        "support_count": _short(n), "exact_support_count": _short(F.size(F.filter(s, lambda x: x["exact"]))), "best_score": F.array_max(scores), "mean_score": total(scores) / n, "min_score": F.array_min(scores),
-        "min_rank": _short(F.array_min(ranks)), "mean_rank": total(F.transform(ranks, lambda r: r.cast("double"))) / n, "best_reciprocal_rank": 1.0 / F.array_min(ranks), "sum_reciprocal_rank": total(F.transform(ranks, lambda r: 1.0 / r)),
-        "fusion_score": F.coalesce(F.col("fusion_score"), F.col("retrieval_score")).cast("double"), "primary_score": F.col("retrieval_score").cast("double"), "primary_rank": _short(F.col("channel_rank")), "primary_exact": _byte(F.col("exact_match")),
+        "fusion_score": F.col("fusion_score" if fused else "retrieval_score").cast("double"), "reciprocal_rank": 1.0 / F.col("channel_rank"), "channel_support_count": n, "exact_support_count": exact, "support_best_score": F.array_max(scores),
+        "support_mean_score": total(scores) / n, "support_min_score": F.array_min(scores), "support_max_score": F.array_max(scores), "support_min_rank": F.array_min(ranks), "support_mean_rank": total(ranks) / n, "exact_support_family_count": count["exact"],
+        "fuzzy_support_count": fuzzy, "has_exact_support": exact > 0, "has_fuzzy_support": fuzzy > 0, "strongest_channel": first["d"],
+        "independent_channel_agreement": sum((count[f] > 0).cast("int") for f in ("source", "name", "address")) > 1,
     }
-    for family in ("name", "address", "exact", "missing_address"):
-        own = F.filter(s, _is_family(family))
-        best = F.array_max(F.transform(own, lambda x: x["score"]))
-        out |= {f"{family}_support_count": _short(F.size(own)), f"{family}_best_score": F.coalesce(best, F.lit(0.0)), f"{family}_min_rank": _short(F.coalesce(F.array_min(F.transform(own, lambda x: x["rank"])), F.lit(0)))}
-    out["independent_channel_agreement"] = _byte(F.exists(s, _is_family("name")) & F.exists(s, _is_family("address")))
-    out["has_exact_name"] = _byte(F.exists(s, lambda x: x["exact"] & _family(x).contains("name")))
-    out["has_exact_address"] = _byte(F.exists(s, lambda x: x["exact"] & _family(x).contains("address")))
-    first = F.array_sort(F.transform(s, lambda x: F.struct((~x["exact"]).alias("a"), (-x["score"]).alias("b"), x["rank"].alias("c"), x["channel"].alias("d"))))
-    out["strongest_channel"] = F.element_at(first, 1)["d"]
+    for f in ("source", "name", "address"):
+        out |= {f"{f}_support_count": count[f], f"has_{f}_support": count[f] > 0}
+    for x, own in in_source.items():
+        out |= {f"{x}_support_count": F.when(own, n).otherwise(0), f"has_{x}_support": own}
     return out
 
 
-def _is_family(family: str):
-    return lambda x: _family(x).contains(family)
-
-
-STRONG, WEAK = 0.85, 0.5
-
-
 def cross_features() -> dict[str, Column]:
-    """Features of name, address and retrieval together; read columns made before."""
-    n, a, c = F.col("name_char_similarity"), F.col("address_char_similarity"), F.col
-    name, address = _usable("n"), _usable("a")
+    """Of name, address, country and retrieval together; they read features made before."""
+    n, a, name, address = F.col("name_char_similarity"), F.col("address_char_similarity"), _usable("n"), _usable("a")
+    exact, dq, dt, cq, ct = F.col("name_normalized_exact"), F.col("q.a.digits"), F.col("t.a.digits"), F.col("q.c"), F.col("t.c")
     return {
-        "both_usable": _byte(name & address), "name_only_usable": _byte(name & ~address), "address_only_usable": _byte(~name & address), "neither_usable": _byte(~name & ~address),
-        "both_exact": _byte((c("name_normalized_exact") == 1) & (c("address_normalized_exact") == 1)), "strong_name_weak_address": _byte((n >= STRONG) & (a < WEAK)), "weak_name_strong_address": _byte((n < WEAK) & (a >= STRONG)), "both_strong": _byte((n >= STRONG) & (a >= STRONG)),
-        "exact_name_other_digits": _byte((c("name_normalized_exact") == 1) & (F.size("q.a.digits") > 0) & (F.size("t.a.digits") > 0) & (c("q.a.digits") != c("t.a.digits"))),
-        "combined_similarity": (n + a) / 2, "name_times_retrieval": n * c("best_score"), "address_times_retrieval": a * c("best_score"), "country_agreement": _byte(c("q.country") == c("t.country")),
+        "both_names_usable": name, "both_addresses_usable": address, "exact_name_and_address": exact & F.col("address_normalized_exact"),
+        "strong_name_weak_address": (n >= STRONG) & (~address | (a < WEAK)), "strong_address_weak_name": (a >= STRONG) & (~name | (n < WEAK)),
+        "exact_name_conflicting_address_digits": exact & (F.size(dq) > 0) & (F.size(dt) > 0) & ~F.arrays_overlap(dq, dt), "combined_string_similarity": F.when(name & address, (n + a) / 2).otherwise(F.greatest(n, a)),
+        "retrieval_name_interaction": F.col("retrieval_score") * n, "retrieval_address_interaction": F.col("retrieval_score") * a,
+        "country_both_present": ~(cq["missing"] | cq["null_like"] | ct["missing"] | ct["null_like"]), "country_agreement": (cq["unicode"] != "") & (cq["unicode"] == ct["unicode"]),
     }
 
 
-IDS = ("s1_id", "target_id", "target_source", "run_id")
-
-
-def feature_names() -> list[str]:
-    """The model's inputs in order: two categories, then numbers."""
-    own = [f for part in ("name", "address") for f in field_features(part, "n" if part == "name" else "a", "x")]
-    rest = [*name_token_features(), *name_ratio_features(), *address_features(), *support_features(), *cross_features()]
-    return ["target_source", "strongest_channel", *own, *[x for x in rest if x != "strongest_channel"]]
-
-
 def compute(candidates: DataFrame, records: DataFrame, strict: bool = True) -> DataFrame:
-    """One row for each candidate: ids, categories and typed numbers. A candidate without a record on either side is an error at run time."""
+    """One row for each candidate, in the contract's columns and types. A candidate without its records is an error at run time."""
     df = candidates if "support" in candidates.columns else parse_support(candidates)
-    df = df.select("*") if "run_id" in df.columns else df.withColumn("run_id", F.lit(""))
-    r = record_views(records, strict)
-    q, t = r.select(F.col("entity_id").alias("s1_id"), F.col("r").alias("q")), r.select(F.col("entity_id").alias("target_id"), F.col("r").alias("t"))
-    df = df.join(q, "s1_id", "left").join(t, "target_id", "left")
-    there = F.when(F.col("q").isNull() | F.col("t").isNull(), F.raise_error(F.concat(F.lit("no record for "), "s1_id", F.lit(" or "), "target_id"))).otherwise(F.col("s1_id"))
-    df = df.withColumn("s1_id", there)
-    df = df.withColumns(field_features("name", "n", "raw_name") | field_features("address", "a", "raw_address")).withColumns(name_token_features() | name_ratio_features() | address_features() | support_features())
+    df = df if "run_id" in df.columns else df.withColumn("run_id", F.lit(""))
+    df = joined(df, records, strict, "left")
+    lost = F.concat(F.lit("candidate without source record: "), "s1_id", F.lit("/"), "target_id")
+    foreign = F.col("q").isNull() | F.col("t").isNull() | ~F.startswith("target_id", F.concat("target_source", F.lit("-")))
+    df = df.withColumn("s1_id", F.when(foreign, F.raise_error(lost).cast("string")).otherwise(F.col("s1_id")))
+    own = support_features("fusion_score" in df.columns)
+    df = df.withColumns(own | field_features("name") | field_features("address") | name_features() | ratio_features() | address_features())
     df = df.withColumns(cross_features())
-    names = feature_names()
-    floats = [f.name for f in df.select(*names).schema.fields if f.dataType == T.DoubleType()]
-    return df.select("s1_id", "target_id", "run_id", *[F.col(c).cast("float") if c in floats else F.col(c) for c in names])
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SCHEMA])
 
 
 def analysis(edges: DataFrame, records: DataFrame, strict: bool = True) -> DataFrame:
     """Features of true pairs for study. Unlike the model's, two empty sides are fully alike here, ratios aren't guarded, and exactness is of stripped raw values."""
     df = joined(edges, records, strict)
     q, t = F.col("q"), F.col("t")
-    strip = lambda c: F.trim(c)
-    size = lambda c: F.size(c)
     return df.select(
-        "s1_id", "target_id", "target_source", q["country"].alias("country"), (q["country"] == t["country"]).alias("country_agreement"), (strip(q["raw_name"]) == strip(t["raw_name"])).alias("name_raw_exact"), (strip(q["raw_address"]) == strip(t["raw_address"])).alias("address_raw_exact"),
+        "s1_id", "target_id", "target_source", q["country"].alias("country"), (q["country"] == t["country"]).alias("country_agreement"), (F.trim(q["raw_name"]) == F.trim(t["raw_name"])).alias("name_raw_exact"), (F.trim(q["raw_address"]) == F.trim(t["raw_address"])).alias("address_raw_exact"),
         (q["n"]["unicode"] == t["n"]["unicode"]).alias("name_normalized_exact"), (q["a"]["unicode"] == t["a"]["unicode"]).alias("address_normalized_exact"),
-        ((size(q["a"]["digits"]) > 0) & (size(t["a"]["digits"]) > 0) & ~F.arrays_overlap(q["a"]["digits"], t["a"]["digits"])).alias("digit_conflict"),
-        (strip(q["raw_name"]) == "").alias("s1_name_missing"), (strip(t["raw_name"]) == "").alias("target_name_missing"), (strip(q["raw_address"]) == "").alias("s1_address_missing"), (strip(t["raw_address"]) == "").alias("target_address_missing"),
+        ((F.size(q["a"]["digits"]) > 0) & (F.size(t["a"]["digits"]) > 0) & ~F.arrays_overlap(q["a"]["digits"], t["a"]["digits"])).alias("digit_conflict"),
+        (F.trim(q["raw_name"]) == "").alias("s1_name_missing"), (F.trim(t["raw_name"]) == "").alias("target_name_missing"), (F.trim(q["raw_address"]) == "").alias("s1_address_missing"), (F.trim(t["raw_address"]) == "").alias("target_address_missing"),
         ratios.indel(q["n"]["unicode"], t["n"]["unicode"]).alias("name_char_similarity"), ratios.indel(q["a"]["unicode"], t["a"]["unicode"]).alias("address_char_similarity"),
         ratios.jaccard(q["n"]["tokens"], t["n"]["tokens"], 1.0).alias("name_token_jaccard"), ratios.jaccard(q["a"]["tokens"], t["a"]["tokens"], 1.0).alias("address_token_jaccard"), ratios.jaccard(q["a"]["digits"], t["a"]["digits"], 1.0).alias("digit_overlap"),
         ratios.length_ratio(F.length(q["raw_name"]), F.length(t["raw_name"]), 1.0).alias("name_length_ratio"), ratios.length_ratio(F.length(q["raw_address"]), F.length(t["raw_address"]), 1.0).alias("address_length_ratio"),

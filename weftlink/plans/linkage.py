@@ -313,29 +313,29 @@ def hard_negatives(spark, d):
     return sampling.hard_negatives(labelled, 2.0, 2, 4, 7).select("s1_id", "target_id", "target_source", "label")
 
 
+def _plain(df: DataFrame, names) -> DataFrame:
+    """Booleans as 0 and 1, numbers rounded."""
+    kinds = {x.name: x.dataType.typeName() for x in df.select(*names).schema.fields}
+    return df.select("s1_id", "target_id", "target_source", *[(F.round(c, 9) if kinds[c] == "double" else F.col(c) if kinds[c] == "string" else F.col(c).cast("int")).alias(c) for c in names])
+
+
 def token_features(spark, d):
     e = _e(spark, d)
     pairs = _exact(e).select("s1_id", "target_id", "target_source").distinct()
-    f = features.field_features("name", "n", "raw_name", False) | features.field_features("address", "a", "raw_address", False) | features.name_token_features() | features.address_features()
-    out = features.joined(pairs, e, STRICT).withColumns(f)
-    kinds = {x.name: x.dataType.typeName() for x in out.select(*f).schema.fields}
-    return out.select("s1_id", "target_id", *[(F.round(c, 9) if kinds[c] == "double" else F.col(c).cast("int")).alias(c) for c in f])
+    f = features.field_features("name") | features.field_features("address") | features.name_features() | features.address_features()
+    return _plain(features.joined(pairs, e, STRICT).withColumns(f), list(f))
 
 
 def support_features(spark, d):
-    e = _e(spark, d)
-    o = fusion.observed(_evidence(e), fusion.Budget())
+    o = fusion.observed(_evidence(_e(spark, d)), fusion.Budget())
     f = features.support_features()
-    out = o.withColumns(f)
-    kinds = {x.name: x.dataType.typeName() for x in out.select(*f).schema.fields}
-    keep = ["support_count", "exact_support_count", "best_score", "mean_score", "min_score", "min_rank", "mean_rank", "best_reciprocal_rank", "sum_reciprocal_rank", "fusion_score", "name_support_count", "name_best_score", "address_support_count", "exact_support_count", "independent_channel_agreement", "strongest_channel"]
-    return out.select("s1_id", "target_id", "target_source", *[(F.round(c, 9) if kinds[c] == "double" else F.col(c) if kinds[c] == "string" else F.col(c).cast("int")).alias(c) for c in dict.fromkeys(keep)])
+    return _plain(o.withColumns(f), list(f))
 
 
 def string_ratio_features(spark, d):
     e = _e(spark, d)
     pairs = _evidence(e).filter("channel = 'name_char_tfidf'").select("s1_id", "target_id", "target_source").distinct()
-    return features.joined(pairs, e).select("s1_id", "target_id", *[c.alias(k) for k, c in features.name_ratio_features().items()])
+    return features.joined(pairs, e).select("s1_id", "target_id", *[c.alias(k) for k, c in features.ratio_features().items()])
 
 
 def pair_features(spark, d):

@@ -177,10 +177,42 @@ O["macro_f05"] = q(E, EDGES, V, KEYS, EXACT, S1, FALLBACK, PER.format("ow"), f"p
   sum((f < 0.2)::int)::bigint as bin_0, sum((f >= 0.2 and f < 0.4)::int)::bigint as bin_1, sum((f >= 0.4 and f < 0.6)::int)::bigint as bin_2, sum((f >= 0.6 and f < 0.8)::int)::bigint as bin_3, sum((f >= 0.8)::int)::bigint as bin_4 from pf""")
 O["ranker_diagnostics"] = q(E, EDGES, V, KEYS, EXACT, S1, select="select *, case when truth > 0 then round(retrieved / truth::double, 9) end as recall from (select (select count(*) from edges) as truth, (select count(*) from edges t where exists (select 1 from exact x where x.s1_id = t.s1_id and x.target_id = t.target_id)) as retrieved, (select count(*) from s1 where s1_id not in (select s1_id from exact)) as candidate_free, (select count(*) from s1 where s1_id not in (select s1_id from edges)) as no_match)")
 O["submission_lists"] = q(E, V, KEYS, EXACT, S1, FALLBACK, select="select s1.s1_id, coalesce((select string_agg(target_id, ',' order by target_id) from ow where ow.s1_id = s1.s1_id), '') as matches, coalesce((select string_agg(distinct target_id, ',' order by target_id) from exact x where x.s1_id = s1.s1_id), '') as candidates from s1")
-_sup = """select s1_id, target_id, target_source, count(*)::int as support_count, sum(exact_match::int)::int as exact_support_count, round(max(retrieval_score), 9) as best_score, round(avg(retrieval_score), 9) as mean_score, round(min(retrieval_score), 9) as min_score, min(channel_rank)::int as min_rank, round(avg(channel_rank), 9) as mean_rank,
-  round(1.0::double / min(channel_rank), 9) as best_reciprocal_rank, round(sum(1.0::double / channel_rank), 9) as sum_reciprocal_rank, round(sum(1.0::double / (60 + channel_rank)), 9) as fusion_score, sum((channel like '%name%')::int)::int as name_support_count, round(coalesce(max(case when channel like '%name%' then retrieval_score end), 0.0), 9) as name_best_score,
-  sum((channel like '%address%')::int)::int as address_support_count, (bool_or(channel like '%name%') and bool_or(channel like '%address%'))::int as independent_channel_agreement, arg_min(channel, (not exact_match, -retrieval_score, channel_rank, channel)) as strongest_channel from ev group by 1, 2, 3"""
+_sup = """select s1_id, target_id, target_source, round(sum(1.0::double / (60 + channel_rank) order by channel), 9) as fusion_score, round(1.0::double / arg_min(channel_rank, (not exact_match, channel_rank, channel)), 9) as reciprocal_rank, count(*)::int as channel_support_count, sum(exact_match::int)::int as exact_support_count,
+  round(max(retrieval_score), 9) as support_best_score, round(avg(retrieval_score), 9) as support_mean_score, round(min(retrieval_score), 9) as support_min_score, round(max(retrieval_score), 9) as support_max_score, min(channel_rank)::double as support_min_rank, round(avg(channel_rank), 9) as support_mean_rank,
+  sum((channel like '%exact%')::int)::int as exact_support_family_count, sum((channel not like '%exact%')::int)::int as fuzzy_support_count, bool_or(exact_match)::int as has_exact_support, bool_or(channel not like '%exact%')::int as has_fuzzy_support, arg_min(channel, (not exact_match, -retrieval_score, channel_rank, channel)) as strongest_channel,
+  (bool_or(channel like '%name%') and bool_or(channel like '%address%'))::int as independent_channel_agreement, 0::int as source_support_count, 0::int as has_source_support, sum((channel like '%name%')::int)::int as name_support_count, bool_or(channel like '%name%')::int as has_name_support,
+  sum((channel like '%address%')::int)::int as address_support_count, bool_or(channel like '%address%')::int as has_address_support, case when target_source = 'S2' then count(*) else 0 end::int as s2_support_count, (target_source = 'S2')::int as has_s2_support,
+  case when target_source = 'S3' then count(*) else 0 end::int as s3_support_count, (target_source = 'S3')::int as has_s3_support from ev group by 1, 2, 3"""
 O["support_features"] = q(ALL, select=_sup)
 O["miss_audit"] = q(ALL, "sel as (select distinct s1_id, target_id from exact where field = 'address')", "fd as (select t.s1_id, count(*) as n_found from edges t join sel using (s1_id, target_id) group by 1)", "mt as (select s1_id, count(*) as n_true from edges group by 1)", "sn as (select s1_id, target_id, list(distinct channel) as channels, min(channel_rank) as best_rank, bool_and(exact_match) as only_exact from ev group by 1, 2)", "sg as (select entity_id, country, n_uni, a_uni, count(*) over (partition by country, n_uni, a_uni) as fr from v)", """fl as (select t.s1_id, t.target_id, t.target_source, coalesce(len(channels), 0) = 0 as never_retrieved, a.n_uni = '' or b.n_uni = '' or len(list_filter(coalesce(channels, []), lambda x: contains(x, 'name'))) = 0 as weak_or_missing_name, a.a_uni = '' or b.a_uni = '' as missing_address, a.country <> b.country as other_country,
   n_true > 1 and coalesce(n_found, 0) > 0 as multi_match_truncation, greatest(a.fr, b.fr) > 1 as common_signature, coalesce(best_rank > 20, false) as low_rank, coalesce(only_exact, false) as exact_only, coalesce(len(channels), 0) = 1 as single_channel, a.country = 'en' as watched_country, t.target_source = 'S3' as watched_source
   from edges t left join sn using (s1_id, target_id) left join fd on fd.s1_id = t.s1_id join mt on mt.s1_id = t.s1_id join sg a on a.entity_id = t.s1_id join sg b on b.entity_id = t.target_id where not exists (select 1 from sel where sel.s1_id = t.s1_id and sel.target_id = t.target_id))""", select="""select *, case when never_retrieved then 'never_retrieved' when weak_or_missing_name then 'weak_or_missing_name' when missing_address then 'missing_address' when other_country then 'other_country' when multi_match_truncation then 'multi_match_truncation' when common_signature then 'common_signature' when low_rank then 'low_rank' when exact_only then 'exact_only' when single_channel then 'single_channel' else 'other' end as primary_category from fl""")
+
+
+def _sides(f: str, u: str, d: str, raw: str) -> str:
+    """SQL of the features that name and address have in common."""
+    ok = f"(not (q.{f}_m or q.{f}_l or t.{f}_m or t.{f}_l))"
+    jac = "case when len(list_distinct(list_concat({0}, {1}))) = 0 then 0.0 else len(list_intersect(list_distinct({0}), list_distinct({1}))) / len(list_distinct(list_concat({0}, {1})))::double end"
+    con = "case when len({0}) = 0 then 0.0 else len(list_intersect(list_distinct({0}), list_distinct({1}))) / len(list_distinct({0}))::double end"
+    rat = "case when greatest({0}, {1}) = 0 then 0.0 else least({0}, {1}) / greatest({0}, {1})::double end"
+    q_, t_ = f"q.{f}_t", f"t.{f}_t"
+    cols = {
+        "s1_missing": f"q.{f}_m::int", "target_missing": f"t.{f}_m::int", "s1_null_like": f"q.{f}_l::int", "target_null_like": f"t.{f}_l::int", "raw_exact": f"({ok} and q.{raw} = t.{raw})::int", "normalized_exact": f"({ok} and q.{u} = t.{u})::int", "accent_exact": f"({ok} and q.{d} = t.{d})::int",
+        "token_jaccard": f"round({jac.format(q_, t_)}, 9)", "token_containment_s1": f"round({con.format(q_, t_)}, 9)", "token_containment_target": f"round({con.format(t_, q_)}, 9)", "token_count_diff": f"least(abs(len({q_}) - len({t_})), 32767)::int", "token_count_ratio": f"round({rat.format(f'len({q_})', f'len({t_})')}, 9)",
+        "char_length_diff": f"least(abs(length(q.{raw}) - length(t.{raw})), 32767)::int", "char_length_ratio": f"round({rat.format(f'length(q.{raw})', f'length(t.{raw})')}, 9)",
+    }
+    name = "name" if f == "n" else "address"
+    return ", ".join(f"{v} as {name}_{k}" for k, v in cols.items())
+
+
+_ok = {f: f"(not (q.{f}_m or q.{f}_l or t.{f}_m or t.{f}_l))" for f in "na"}
+_jac = "round(case when len(list_distinct(list_concat({0}, {1}))) = 0 then 0.0 else len(list_intersect(list_distinct({0}), list_distinct({1}))) / len(list_distinct(list_concat({0}, {1})))::double end, 9)"
+O["token_features"] = q(E, V, KEYS, EXACT, rf"""w as (select *, {missing('business_name')} as n_m, {null_like('business_name')} as n_l, {missing('business_address')} as a_m, {null_like('business_address')} as a_l,
+  regexp_extract_all(n_fold, '[\p{{L}}\p{{N}}_]+') as n_t, regexp_extract_all(a_fold, '[\p{{L}}\p{{N}}_]+') as a_t, {lowered('business_name')} as n_low, {punct('business_name')} as n_p, regexp_replace(n_fold, '[^\p{{L}}\p{{N}}_]', '', 'g') as n_c,
+  case when {missing('business_name')} or {null_like('business_name')} then [] else regexp_extract_all({lowered('business_name')}, '\d+') end as n_d, case when {missing('business_address')} or {null_like('business_address')} then [] else regexp_extract_all({lowered('business_address')}, '\d+') end as a_d from v)""", rf"""x as (select *,
+  regexp_replace(regexp_replace(n_p, '{_suffix}', ''), '^[ ,.]+|[ ,.]+$', '', 'g') as n_b, array_to_string(list_transform(n_t, lambda z: z[1]), '') as n_i, case when length(n_fold) < 3 then [] else list_transform(generate_series(1, length(n_fold) - 2), lambda i: substr(n_fold, i::int, 3)) end as n_g,
+  case when regexp_matches(regexp_replace(business_address, '\d{{5}}(?:[- ]?\d{{4}})?\s*$', ''), '\p{{L}}') then regexp_extract(business_address, '(^|[^\d])(\d{{5}}(?:[- ]?\d{{4}})?)\s*$', 2) else '' end as a_z from w)""", "pr as (select distinct s1_id, target_id, target_source from exact)", select=f"""
+select s1_id, target_id, target_source, {_sides('n', 'n_uni', 'n_fold', 'business_name')}, {_sides('a', 'a_uni', 'a_fold', 'business_address')}, ({_ok['n']} and q.n_low = t.n_low)::int as name_casefold_exact, ({_ok['n']} and q.n_p = t.n_p)::int as name_punctuation_agreement, ({_ok['n']} and q.n_b <> '' and q.n_b = t.n_b)::int as name_legal_suffix_agreement,
+  ({_ok['n']} and q.n_i <> '' and q.n_i = t.n_i)::int as name_initials_agreement, ({_ok['n']} and q.n_i <> '' and (q.n_i = t.n_c or t.n_i = q.n_c))::int as name_acronym_agreement, ({_ok['n']} and len(q.n_d) > 0 and q.n_d = t.n_d)::int as name_digit_agreement, {_jac.format('q.n_g', 't.n_g')} as name_char_3gram_jaccard,
+  ({_ok['a']} and len(q.a_d) > 0 and q.a_d = t.a_d)::int as address_number_exact, {_jac.format('q.a_d', 't.a_d')} as address_number_overlap, coalesce({_ok['a']} and q.a_d[1] = t.a_d[1], false)::int as address_house_number_agreement, ({_ok['a']} and q.a_z <> '' and q.a_z = t.a_z)::int as address_postal_agreement
+  from pr join x q on q.entity_id = s1_id join x t on t.entity_id = target_id""")
