@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 
 from .common import cut, trim, tune
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
+#: Replies of at most so many bytes are broadcast.
+BROADCAST_BYTES = 24 << 20
 #: Stands for a null id: larger than every other.
 NO_ID = np.iinfo(np.int64).max
 
@@ -105,11 +107,14 @@ def split(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.nd
 def per_chunk(chunks: DataFrame, replies: list[DataFrame], work, schema: str) -> DataFrame:
     """work(Chunk, chunk id, [replies of the chunk]) -> iterator of record batches, over each chunk.
 
-    replies: DataFrames of (chunk, bucket, reply binary); each chunk gets {bucket: reply}.
+    replies: written DataFrames of (chunk, bucket, reply binary); each chunk gets
+    {bucket: reply}. Replies of a few MB in all go to every worker; more are dealt by chunk.
     """
     joined = chunks
     for i, r in enumerate(replies):
         own = r.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "reply")).alias(f"reply{i}"))
+        if (r.agg(F.sum(F.length("reply"))).first()[0] or 0) <= BROADCAST_BYTES:
+            own = F.broadcast(own)
         joined = joined.join(own, "chunk", "left")
     k = len(replies)
 
@@ -162,7 +167,7 @@ def answer(requests: DataFrame) -> DataFrame:
         trim()
         return pa.table({"bucket": pa.array([table.column("bucket")[0].as_py()] * len(out), pa.int32()), "chunk": pa.array(chunks, pa.int64()), "reply": pa.array(out, pa.binary())})
 
-    return requests.groupBy("bucket").applyInArrow(work, REPLY)
+    return cut(requests.groupBy("bucket").applyInArrow(work, REPLY))
 
 
 def levels(keys: np.ndarray, reply: dict[int, bytes], buckets: int) -> np.ndarray:

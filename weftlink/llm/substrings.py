@@ -157,7 +157,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
             keys, owner = _distinct(runs.hash, runs.doc)
             yield C.ask(at, keys, owner, buckets)
 
-    first = cut(C.answer(C.per_chunk(packed, [], ask, C.ASK)))
+    first = C.answer(C.per_chunk(packed, [], ask, C.ASK))
 
     def shared(chunk, reply):
         """Runs whose seed other documents have too, their distinct contexts, and the context of each."""
@@ -224,7 +224,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
         trim()
         return pa.table({"bucket": pa.array(table.column("bucket").to_pylist(), pa.int32()), "chunk": pa.array(table.column("chunk").to_pylist(), pa.int64()), "reply": pa.array(reply, pa.binary())})
 
-    second = C.per_chunk(packed, [first], send, SHARE).groupBy("bucket").applyInArrow(settle, C.REPLY)
+    second = cut(C.per_chunk(packed, [first], send, SHARE).groupBy("bucket").applyInArrow(settle, C.REPLY))
 
     def finish(chunk, number, got):
         runs, at, context, group, where = shared(chunk, got[0])
