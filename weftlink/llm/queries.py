@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate, jaccard, langid, lm, packing, passages, quality, secrets, substrings, urls
 from .common import crc_mod
+from .oracles import ORACLES  # noqa: F401
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,4 +74,4 @@ def _of_kind(kind: str):
 
 
 QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_quality_rules, op4_lm_scores, op5_jaccard_join, op6_decontamination, op7_url_filters, op8_best_fit_packing, op9_substring_dedup, op10_secret_scans)}
-ORACLES: dict[str, str] = {}
+
