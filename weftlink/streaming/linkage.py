@@ -1,7 +1,6 @@
 """Exact blocking of a stream of queries against a table of targets.
 
-The reference tables have no streams; this is the batch join of the blocking
-operator with a streaming left side. It keeps no state: each micro-batch of S1
+This is the batch join of the blocking operator with a streaming left side. It keeps no state: each micro-batch of S1
 records meets the keys of the targets, so results equal those of the batch.
 """
 
