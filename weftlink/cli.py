@@ -14,8 +14,9 @@ from .session import session
 from .sources import records
 
 FIELDS = (("business_name", "name_char_tfidf"), ("business_address", "address_char_tfidf"))
-#: Profiles that look for more than equal keys, with their depth and threshold.
-DEPTH = {"safe_k40": (40, 0.2), "emergency_k20": (20, 0.2), "stretch_adaptive": (160, 0.2), "competitive_adaptive": (240, 0.2), "max_score": (2048, 0.18)}
+#: Similarity joins of all profiles but the fast one, and the rescue of weak queries of two of them.
+SPARSE = tfidf.Config(top_k=80, threshold=0.2)
+RESCUE = {"competitive_adaptive": tfidf.Config(top_k=80, threshold=0.2), "max_score": tfidf.Config(top_k=2048, threshold=0.18)}
 COLUMNS = ("s1_id", "target_id", "target_source", "channel", "retrieval_score", "channel_rank", "exact_match", "target_content_key")
 
 
@@ -28,17 +29,17 @@ def retrieve(e: DataFrame, name: str) -> tuple[DataFrame, DataFrame | None]:
     budget = fusion.PROFILES[name]
     if name == "fast_submission":
         return blocking.exact(blocking.melted(e, view_names=("unicode_preserving",))).select(*COLUMNS), None
-    depth, threshold = DEPTH[name]
-    config = tfidf.Config(top_k=depth, threshold=threshold)
     out = blocking.exact(blocking.melted(e)).select(*COLUMNS)
     for column, channel in FIELDS:
-        out = out.unionByName(tfidf.top_n(tfidf.grams(e, column), config, channel).select(*COLUMNS))
-    if budget.expanded_k is None and not budget.preserve_channel_union:
+        out = out.unionByName(tfidf.top_n(tfidf.grams(e, column), SPARSE, channel).select(*COLUMNS))
+    if budget.expanded_k is None:
         return out, None
     q = e.filter("source = 'S1'").select(F.col("entity_id").alias("s1_id"), views.field(F.col("business_name"))["unicode"].alias("name_view"), views.field(F.col("business_address"))["unicode"].alias("address_view"))
     quality = fusion.query_quality(out, q)
-    more = tfidf.rescue(e, fusion.rescue_queries(quality), tfidf.Config(top_k=depth, threshold=threshold))
-    return out.unionByName(more.select(*COLUMNS)), quality.filter("weak").select("s1_id")
+    weak = quality.filter("weak").select("s1_id")
+    if name in RESCUE:
+        out = out.unionByName(tfidf.rescue(e, fusion.rescue_queries(quality), RESCUE[name]).select(*COLUMNS))
+    return out, weak
 
 
 def candidates(e: DataFrame, name: str, run_id: str) -> DataFrame:

@@ -132,6 +132,10 @@ class Budget:
     preserve_channel_union: bool = False
 
     def __post_init__(self):
+        if not 0 < self.top_k <= (self.expanded_k or self.top_k) <= 32767 or self.rrf_k <= 0:
+            raise ValueError("0 < top_k <= expanded_k <= 32767, and rrf_k is positive")
+        if set(self.source_quotas) - {"S2", "S3"}:
+            raise ValueError("quotas are of S2 and S3")
         for quotas in (self.source_quotas, self.channel_quotas):
             if any(q < 0 for q in quotas.values()) or sum(quotas.values()) > self.top_k:
                 raise ValueError("quotas must be 0 or more and fit into top_k")
@@ -139,11 +143,15 @@ class Budget:
             raise ValueError("weights must be positive")
 
 
-#: The named profiles.
+# The named profiles.
 PROFILES = {
-    "fast_submission": Budget(top_k=40), "safe_k40": Budget(top_k=40), "emergency_k20": Budget(top_k=20),
-    "stretch_adaptive": Budget(top_k=160, expanded_k=320), "competitive_adaptive": Budget(top_k=240, expanded_k=480), "max_score": Budget(top_k=2048, preserve_channel_union=True),
-}
+    "fast_submission": Budget(top_k=40, preserve_channel_union=True),
+    "safe_k40": Budget(top_k=40),
+    "emergency_k20": Budget(top_k=20),
+    "stretch_adaptive": Budget(top_k=40, expanded_k=400, source_quotas={"S2": 20, "S3": 20}),
+    "competitive_adaptive": Budget(top_k=80, expanded_k=512, source_quotas={"S2": 40, "S3": 40}, preserve_channel_union=True),
+    "max_score": Budget(top_k=80, expanded_k=8192, source_quotas={"S2": 40, "S3": 40}, preserve_channel_union=True),
+}
 
 
 def observed(evidence: DataFrame, budget: Budget) -> DataFrame:

@@ -48,7 +48,7 @@ def lists_of(pairs: DataFrame, s1: DataFrame) -> DataFrame:
 
 def fallback_scores(candidates: DataFrame) -> DataFrame:
     """Score 1 for pairs that have an exact name and an exact address channel (support list), else 0."""
-    has = lambda part: F.exists("support", lambda x: x["exact"] & x["channel"].contains(part))
+    has = lambda part: F.exists("support", lambda x: x["exact"] & x["channel"].startswith(f"exact_{part}"))
     return candidates.select("s1_id", "target_id", "target_source", F.when(has("name") & has("address"), 1.0).otherwise(0.0).alias("score"))
 
 
