@@ -23,7 +23,7 @@ from .common import cut, trim, tune
 
 CHUNK_BYTES = 1 << 20
 #: Replies of at most so many bytes are broadcast.
-BROADCAST_BYTES = 24 << 20
+BROADCAST_BYTES = 64 << 20
 #: Stands for a null id: larger than every other.
 NO_ID = np.iinfo(np.int64).max
 
@@ -104,16 +104,17 @@ def split(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return u, edges, back
 
 
-def per_chunk(chunks: DataFrame, replies: list[DataFrame], work, schema: str) -> DataFrame:
+def per_chunk(chunks: DataFrame, replies: list[DataFrame], work, schema: str, small: bool = True) -> DataFrame:
     """work(Chunk, chunk id, [replies of the chunk]) -> iterator of record batches, over each chunk.
 
     replies: written DataFrames of (chunk, bucket, reply binary); each chunk gets
-    {bucket: reply}. Replies of a few MB in all go to every worker; more are dealt by chunk.
+    {bucket: reply}. Replies of some MB in all go to every worker; more are dealt by
+    chunk, as are those known not to be small.
     """
     joined = chunks
     for i, r in enumerate(replies):
         own = r.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "reply")).alias(f"reply{i}"))
-        if (r.agg(F.sum(F.length("reply"))).first()[0] or 0) <= BROADCAST_BYTES:
+        if small and (r.agg(F.sum(F.length("reply"))).first()[0] or 0) <= BROADCAST_BYTES:
             own = F.broadcast(own)
         joined = joined.join(own, "chunk", "left")
     k = len(replies)

@@ -173,7 +173,7 @@ def sets(docs: DataFrame, key: str, text: str, percent: int, chunk_bytes: int) -
         columns = [pa.array(chunk.ids, pa.int64()), pa.array(s.n, pa.int64()), pa.array(sigs, pa.binary()), pa.array(bodies, pa.binary()), pa.array([hashlib.md5(t).hexdigest() for t in given])]
         yield pa.RecordBatch.from_arrays(columns, ["id", "n", "sig", "body", "text_md5"])
 
-    return cut(C.per_chunk(packed, [levels], signed, SETS))
+    return cut(C.per_chunk(packed, [levels], signed, SETS, small=False))
 
 
 LISTS = "node long, n long, shared long, weight double, tokens array<struct<token:long,place:int>>"
