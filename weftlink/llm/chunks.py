@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import cut, trim, tune
 
 CHUNK_BYTES = 1 << 20
+#: A chunk has fewer documents than 2 ** DOC_BITS, a partition fewer chunks than 2 ** CHUNK_BITS.
+DOC_BITS, CHUNK_BITS = 16, 20
 #: Replies of at most so many bytes are broadcast.
 BROADCAST_BYTES = 64 << 20
 #: Stands for a null id: larger than every other.
@@ -57,13 +59,13 @@ def pack(docs: DataFrame, key: str, text: str, chunk_bytes: int = CHUNK_BYTES, s
 
         def row():
             a, b, c = _packed(ids, texts)
-            return pa.RecordBatch.from_arrays([pa.array([(part << 32) | n], pa.int64()), pa.array([a], pa.binary()), pa.array([b], pa.binary()), pa.array([c], pa.large_binary() if len(c) > 1 << 30 else pa.binary())], ["chunk", "ids", "sizes", "texts"])
+            return pa.RecordBatch.from_arrays([pa.array([(part << CHUNK_BITS) | n], pa.int64()), pa.array([a], pa.binary()), pa.array([b], pa.binary()), pa.array([c], pa.large_binary() if len(c) > 1 << 30 else pa.binary())], ["chunk", "ids", "sizes", "texts"])
 
         for batch in batches:
             for i, t in zip(batch.column(0), batch.column(1), strict=True):
                 t = t.as_buffer().to_pybytes() if t.is_valid else b""
                 t = unsqueeze(t) if squeezed and t else t
-                if size and size + len(t) > chunk_bytes:
+                if (size and size + len(t) > chunk_bytes) or len(ids) >= (1 << DOC_BITS) - 1:
                     yield row()
                     n, ids, texts, size = n + 1, [], [], 0
                 ids.append(i.as_py() if i.is_valid else NO_ID)
