@@ -172,7 +172,7 @@ def test_op3_boilerplate_goes_and_copies_make_none(spark):
     new = lambda k: " ".join(rng.choice(WORDS) for _ in range(k))
     rows = [(i, f"Buy now  {i}!\n{new(80)}" if i % 2 else new(80), "en", "a", 0) for i in range(60)]
     rows += [(100, "buy NOW 7!\nbuy now 8!\n" * 20 + new(30), "en", "a", 0), (101, "buy now 9!\n" + new(60), "en", "b", 0)]
-    rows += [(200 + i, "same copy line\n" + " ".join(WORDS[:90]), "en", "a", 0) for i in range(40)]
+    rows += [(200 + i, "same copy line\n" + " ".join(WORDS[:90]) + "\nedit " + WORDS[i], "en", "a", 0) for i in range(40)]
     got = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(rows, DOCS), rest=True).collect()}
     assert len(got) == len(rows)
     assert got[1]["kept"] and got[1]["text_left"] == rows[1][1].split("\n")[1]

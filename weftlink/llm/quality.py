@@ -35,9 +35,13 @@ def _hash(data: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
 
 
+def line_form(words: list[bytes]) -> bytes:
+    """A line in lower case, with digits alike and single spaces."""
+    return _DIGITS.sub(b"0", b" ".join(words).lower())
+
+
 def line_key(words: list[bytes]) -> int:
-    """Hash of a line by its words in lower case, digits alike and spaces single."""
-    return _hash(_DIGITS.sub(b"0", b" ".join(words).lower()))
+    return _hash(line_form(words))
 
 
 def _bytes(text) -> bytes:
@@ -96,26 +100,29 @@ def without_lines(text: str | None, gone: frozenset[int]) -> str | None:
     return "\n".join(x for x in text.split("\n") if not (w := _bytes(x).split()) or line_key(w) not in gone)
 
 
-@F.pandas_udf(fields("text_hash long, lines array<long>"))
+@F.pandas_udf(fields("sign long, lines array<long>"))
 def line_keys(texts: pd.Series) -> pd.DataFrame:
+    """Keys of a text's lines, and as the document's sign the key of its longest line (of equals the first in byte order)."""
     rows = []
     for t in texts:
-        data = _bytes(t)
-        rows.append((_hash(data), list({line_key(w) for line in data.split(b"\n") if (w := line.split())})))
+        own = {line_form(w): len(w) for line in _bytes(t).split(b"\n") if (w := line.split())}
+        longest = min(own, key=lambda x: (-own[x], x), default=None)
+        rows.append((None if longest is None else _hash(longest), [_hash(x) for x in own]))
     trim()
-    return pd.DataFrame(rows, columns=["text_hash", "lines"])
+    return pd.DataFrame({"sign": pd.array([r[0] for r in rows], "Int64"), "lines": pd.Series([r[1] for r in rows], dtype=object)})
 
 
 def boilerplate(docs: DataFrame, text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
     """(_wl_host, _wl_drop): each host's lines in more than min_docs and more than max_share of its distinct documents.
 
-    A host has at most (lines of a document) / max_share such lines, so the lists
-    stay short at any size. Counts are combined before each shuffle.
+    Documents of one longest line are copies or near copies, and count as one. A host
+    has at most (lines of a document) / max_share such lines, so the lists stay short
+    at any size. Counts are combined before each shuffle.
     """
-    keys = docs.select(_host(host), line_keys(F.col(text)).alias("_k")).select("_wl_host", "_k.*")
-    distinct = keys.groupBy("_wl_host", "text_hash").agg(F.first("lines").alias("lines"))
-    sizes = distinct.groupBy("_wl_host").agg(F.count("*").alias("_docs"))
-    often = distinct.select("_wl_host", F.explode("lines").alias("_h")).groupBy("_wl_host", "_h").agg(F.count("*").alias("_n")).filter(F.col("_n") > min_docs)
+    keys = docs.select(_host(host), line_keys(F.col(text)).alias("_k")).select("_wl_host", "_k.*").filter("sign is not null")
+    sizes = keys.select("_wl_host", "sign").distinct().groupBy("_wl_host").agg(F.count("*").alias("_docs"))
+    found = keys.select("_wl_host", "sign", F.explode("lines").alias("_h")).distinct()
+    often = found.groupBy("_wl_host", "_h").agg(F.count("*").alias("_n")).filter(F.col("_n") > min_docs)
     return often.join(sizes, "_wl_host").filter(F.col("_n") > max_share * F.col("_docs")).groupBy("_wl_host").agg(F.collect_list("_h").alias("_wl_drop"))
 
 
@@ -126,8 +133,8 @@ def _host(host: str):
 def judge(docs: DataFrame, text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT, rest: bool = False) -> DataFrame:
     """docs with the facts, ``drop_lines`` (keys of the host's boilerplate), ``n_words_left``, ``base_failed`` and ``kept``.
 
-    A null host is a host of its own. Equal texts of a host count as one document,
-    so copies don't make their lines boilerplate. With ``rest``, ``text_left`` is the
+    A null host is a host of its own. Documents of a host that have their longest line
+    in common count as one, so copies and near copies don't make their lines boilerplate. With ``rest``, ``text_left`` is the
     text without its boilerplate. Every input row is returned once,
     repeated rows too; an empty or null text has base_failed true and kept false.
     Columns whose names begin with ``_wl_`` are reserved; of clashing names the
