@@ -150,9 +150,10 @@ def leaks(items: Items, texts: list[bytes]) -> list[tuple[int, int, int, int, in
                 if np.array_equal(window, items.words[i]):
                     found[doc, i] = (0, start - a, start - a + n)
                     continue
-                if not limit or not items.like(i, window):
-                    continue
                 lo, hi = max(start - limit, a), min(start + n + limit, b)
+                # An edit changes one word, so the stretch must hold all but so many of the item's words.
+                if not limit or np.count_nonzero(np.isin(items.words[i], w.hash[lo:hi])) < n - limit or not items.like(i, window):
+                    continue
                 e, s, t = edits(items.words[i], w.hash[lo:hi], limit)
                 if e <= limit and e < found.get((doc, i), (limit + 1,))[0]:
                     found[doc, i] = (e, lo + s - a, lo + t - a)
