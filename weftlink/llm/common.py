@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 #: Rows and bytes that a Python worker gets at once. Texts can be long, so batches are small.
 BATCH_ROWS = 512
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 3 << 20
 
 #: Characters that separate words: the space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
