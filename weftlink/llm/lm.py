@@ -199,5 +199,5 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int =
             pa.array(np.full(len(chunk.ids), n), pa.int64()), pa.array(add(np.log10(word))), pa.array(add(np.log10(p))),
         ], ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    out = C.per_chunk(packed, [replies.filter("chunk >= 0")], rate, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = C.per_chunk(packed, [replies.filter("chunk >= 0")], rate, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double", small=False)
     return out.withColumnRenamed("id", key)
