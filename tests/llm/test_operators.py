@@ -477,6 +477,25 @@ def test_op9_finds_shared_passages(spark):
         assert abs(len(a & b) / len(a | b) - r["similarity"]) < 1e-5 and r["similarity"] >= 0.75
 
 
+def test_op9_finds_passages_with_a_word_more_or_less(spark):
+    rng = random.Random(11)
+    new = lambda k: [rng.choice(WORDS) for _ in range(k)]
+    # A line that many texts hold and that is no passage: its members stand before the true partner in every group.
+    line = new(30)
+    rows = [(i, " ".join(new(60) + line + new(60)), "", "", 0) for i in range(40)]
+    for g in range(60):
+        p = (line if g % 2 else new(30)) + new(23)
+        q = list(p)
+        if g % 4 < 2:
+            q.insert(rng.randrange(5, 48), "more")
+        else:
+            del q[rng.randrange(5, 48)]
+        rows += [(100 + 2 * g, " ".join(new(60) + p + new(60)), "", "", 0), (101 + 2 * g, " ".join(new(60) + q + new(60)), "", "", 0)]
+    flagged = {(r["doc_id"], r["other_doc_id"]) for r in passages.find(spark.createDataFrame(rows, DOCS), chunk_bytes=20_000).collect()}
+    assert sum((101 + 2 * g, 100 + 2 * g) in flagged for g in range(60)) >= 59
+    assert all(x // 2 == y // 2 for x, y in flagged)
+
+
 def test_op9_cases_and_empty(docs, empty):
     assert passages.find(docs).count() > 0
     assert passages.find(empty).count() == 0
