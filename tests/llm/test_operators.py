@@ -182,6 +182,18 @@ def test_op3_boilerplate_goes_and_copies_make_none(spark):
     assert quality.judge(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_op3_long_boilerplate_is_counted_by_documents(spark):
+    rng = random.Random(4)
+    new = lambda k: " ".join(rng.choice(WORDS) for _ in range(k))
+    # Texts that are mostly one line or two, longer than all else in them.
+    one, two = new(150), (new(70), new(60))
+    rows = [(i, f"{one}\n{new(20)}\n{new(10)}", "en", "a", 0) for i in range(100)]
+    rows += [(100 + i, f"{two[0]}\n{new(20)}\n{two[1]}\n{new(30)}", "en", "b", 0) for i in range(100)]
+    got = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(rows, DOCS), rest=True).collect()}
+    assert all(not got[i]["kept"] and got[i]["n_words_left"] == 30 for i in range(100))
+    assert all(not got[100 + i]["kept"] and got[100 + i]["n_words_left"] == 50 for i in range(100))
+
+
 # ---- 4
 
 
