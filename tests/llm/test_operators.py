@@ -223,6 +223,27 @@ def test_op4_filter_gives_levels_back():
     assert (lm.read_levels(np.concatenate(parts), buckets, other) > 0).mean() < 0.3
 
 
+def test_op4_every_pair_is_held_at_any_size():
+    rng = np.random.default_rng(3)
+    for n in (100, 400_000):
+        keys = np.unique(rng.integers(0, 1 << 32, n).astype(np.uint32))
+        counts = rng.integers(0, 4, len(keys))
+        part = lm.build_part(keys, counts, lm.part_bytes(counts))
+        got = lm.read_levels(part, 1, keys.astype(np.uint64))
+        assert (got[counts == 1] >= 1).all() and (got[counts >= 2] >= 2).all()
+        assert (got[counts == 0] > 0).mean() < 0.1
+
+
+def test_op4_pairs_seen_once_count(spark):
+    learned = next(i for i in range(100) if not lm.in_fold(i, 10, 0))
+    held = [i for i in range(100) if lm.in_fold(i, 10, 0)][:2]
+    w = WORDS[:200]
+    rows = [(learned, " ".join(w), "", "", 0), (held[0], " ".join(w), "", "", 0), (held[1], " ".join(w[::-1]), "", "", 0)]
+    got = {r["doc_id"]: r for r in lm.score(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got[held[0]]["held_out"] and got[held[1]]["held_out"]
+    assert got[held[0]]["score"] > got[held[1]]["score"] + 100
+
+
 # ---- 5
 
 

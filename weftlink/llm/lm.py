@@ -1,17 +1,17 @@
 """Language-model scores from a log-frequency Bloom filter.
 
 Word counts over the training documents are exact; counts of word pairs are
-quantised to powers of two and held in a Bloom filter of fixed size that goes to
-every worker: a pair at level q is entered as (pair, 1) to (pair, q), and its
+quantised to powers of two and held in a Bloom filter that grows with them: a
+pair at level q is entered as (pair, 1) to (pair, q), and its
 level is read back by probing level after level until one is missing. The
 probability of a word mixes the pair's relative frequency with the smoothed word
 frequency. Counts are gathered from all training text, chunk by chunk: a chunk
 sends each distinct word and pair once.
 
-The filter is built in parts, one for each bucket of pairs, so no part is ever
-sent twice. Pairs seen once say little and are left out; should the others not
-fit, each part raises the least level it holds until they do, so that the size of
-what is sent to workers is fixed (``filter_bytes``) and the rate of false hits bounded.
+The filter is built in parts, one for each bucket of pairs, sized by the bucket's
+counted entries, so that the rate of false hits is the same at every size. All
+pairs are held, those seen once too. A part is probed where it is built, for all
+chunks that asked, held-out texts too; chunks get one byte a distinct pair back.
 """
 
 from __future__ import annotations
@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 from . import chunks as C
 from .common import ROLL, Words, cut, mix, shuffles, trim
 
-FILTER_BYTES = 32 << 20
 #: Probes of one entry.
 HASHES = 4
 #: Weight of the word's own frequency in the mixture.
@@ -79,17 +78,18 @@ def _places(key: np.ndarray, level: int, bits: int) -> list[np.ndarray]:
     return [(h + np.uint64(i) * step) % np.uint64(bits) for i in range(HASHES)]
 
 
+def part_bytes(counts: np.ndarray) -> int:
+    """Bytes of a filter part that holds so many entries that half its bits are set."""
+    entries = int(_level(counts[counts > 0]).sum())
+    return max(1024, -(-int(entries * HASHES / np.log(2)) // 8))
+
+
 def build_part(keys: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
     """One part of the filter, of ``size`` bytes, from cut pair keys and their counts."""
-    level = np.where(counts > 1, _level(counts), 0)
-    room = size * 8 * np.log(2) / HASHES
-    entries = np.bincount(level, minlength=2) * np.arange(max(2, level.max(initial=0) + 1))
-    least = 2
-    while entries[least:].sum() > room:
-        least += 1
+    level = np.where(counts > 0, _level(counts), 0)
     part = np.zeros(size * 8, bool)
     for q in range(1, int(level.max(initial=0)) + 1):
-        for p in _places(keys[level >= max(q, least)], q, size * 8):
+        for p in _places(keys[level >= q], q, size * 8):
             part[p] = True
     return np.packbits(part)
 
@@ -112,7 +112,7 @@ def read_levels(filter_: np.ndarray, buckets: int, pairs: np.ndarray) -> np.ndar
     return out
 
 
-def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 10, fold: int = 0, filter_bytes: int = FILTER_BYTES, chunk_bytes: int = C.CHUNK_BYTES) -> DataFrame:
+def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 10, fold: int = 0, chunk_bytes: int = C.CHUNK_BYTES) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row.
 
     Learned from rows whose key's crc32 modulo ``folds`` is not ``fold``; null keys
@@ -123,7 +123,6 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int =
     """
     spark = docs.sparkSession
     buckets = shuffles(spark)
-    size = max(1024, filter_bytes // buckets)
     packed = C.pack(docs, key, text, chunk_bytes)
 
     def send(chunk, at, _):
@@ -136,15 +135,13 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int =
                 own.append(i)
                 keys.append(u[edges[i] : edges[i + 1]].tobytes())
                 counts.append(C.squeeze(count[edges[i] : edges[i + 1]].tobytes()))
-        pairs = t.pairs()[t.learned]
-        if len(pairs):
-            p, edges, back = C.split(pairs, buckets)
-            count = np.bincount(back, minlength=len(p)).astype(np.uint32)
-            for i in range(buckets):
-                if edges[i] < edges[i + 1]:
-                    own.append(buckets + i)
-                    keys.append(p[edges[i] : edges[i + 1]].astype(np.uint32).tobytes())
-                    counts.append(C.squeeze(count[edges[i] : edges[i + 1]].tobytes()))
+        p, edges, back = C.split(t.pairs(), buckets)
+        count = np.bincount(back[t.learned], minlength=len(p)).astype(np.uint32)
+        for i in range(buckets):
+            if edges[i] < edges[i + 1]:
+                own.append(buckets + i)
+                keys.append(p[edges[i] : edges[i + 1]].astype(np.uint32).tobytes())
+                counts.append(C.squeeze(count[edges[i] : edges[i + 1]].tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([at] * len(own), pa.int64()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], ["bucket", "chunk", "keys", "counts"])
 
     def settle(table: pa.Table) -> pa.Table:
@@ -154,40 +151,41 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int =
         u, back = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(back, weights=counts, minlength=len(u)).astype(np.int64)
         if bucket >= buckets:
-            chunk, reply = [-1], [C.squeeze(build_part(u, total, size).tobytes())]
+            answer = read_levels(build_part(u, total, part_bytes(total)), 1, u.astype(np.uint64)).astype(np.uint8)
         else:
-            chunk, reply, at = table.column("chunk").to_pylist(), [], 0
-            for k in keys:
-                reply.append(C.squeeze(total[back[at : at + len(k)]].tobytes()))
-                at += len(k)
+            answer = total
+        chunk, reply, at = table.column("chunk").to_pylist(), [], 0
+        for k in keys:
+            reply.append(C.squeeze(answer[back[at : at + len(k)]].tobytes()))
+            at += len(k)
+        if bucket < buckets:
             chunk.append(-1)
             reply.append(np.array([total.sum(), (total > 0).sum()], np.int64).tobytes())
         trim()
         return pa.table({"bucket": pa.array([bucket] * len(chunk), pa.int32()), "chunk": pa.array(chunk, pa.int64()), "reply": pa.array(reply, pa.binary())})
 
     replies = cut(C.per_chunk(packed, [], send, "bucket int, chunk long, keys binary, counts binary").groupBy("bucket").applyInArrow(settle, C.REPLY))
-    filter_, n, v = np.zeros(size * buckets, np.uint8), 0, 0
-    for r in replies.filter("chunk = -1").collect():  # the filter's parts, and two sums of each bucket
-        if r["bucket"] >= buckets:
-            b = r["bucket"] - buckets
-            filter_[b * size : (b + 1) * size] = np.frombuffer(C.unsqueeze(bytes(r["reply"])), np.uint8)
-        else:
-            a, b = np.frombuffer(bytes(r["reply"]), np.int64)
-            n, v = n + int(a), v + int(b)
-    shared = spark.sparkContext.broadcast(filter_.tobytes())
-    del filter_
+    n, v = 0, 0
+    for r in replies.filter("chunk = -1").collect():  # two sums of each bucket of words
+        a, b = np.frombuffer(bytes(r["reply"]), np.int64)
+        n, v = n + int(a), v + int(b)
 
     def rate(chunk, number, got):
         t = Tokens(chunk, folds, fold)
         u, edges, back = _words(t.hash, buckets)
         c = np.zeros(len(u), np.int64)
+        p, p_edges, p_back = C.split(t.pairs(), buckets)
+        level = np.zeros(len(p), np.int64)
         for i, r in got[0].items():
+            if i >= buckets:
+                level[p_edges[i - buckets] : p_edges[i - buckets + 1]] = np.frombuffer(C.unsqueeze(r), np.uint8)
+                continue
             c[edges[i] : edges[i + 1]] = np.frombuffer(C.unsqueeze(r), np.int64)
         c = c[back]
         word = (c + 0.1) / (n + 0.1 * (v + 1))
-        # The count of a pair at level q lies between 2 ** (q - 1) and 2 ** q.
-        level = read_levels(np.frombuffer(shared.value, np.uint8), buckets, t.pairs())
-        pair = np.where(level > 0, 1.5 * 2.0 ** (level - 1), 0.0)
+        # The count of a pair at level q lies between 2 ** (q - 1) and 2 ** q; at level 1 it is 1.
+        level = level[p_back]
+        pair = np.where(level > 1, 1.5 * 2.0 ** (level - 1), level)
         before = np.roll(c, 1)
         end = c[t.ends[0]] if len(t.ends) else 0
         before[np.concatenate([[0], t.ends[:-1] + 1])] = end
