@@ -19,11 +19,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, trim, tune
+from .common import cut, shuffles, trim, tune
 
 CHUNK_BYTES = 1 << 20
 #: A chunk has fewer documents than 2 ** DOC_BITS, a partition fewer chunks than 2 ** CHUNK_BITS.
 DOC_BITS, CHUNK_BITS = 16, 20
+#: Squeezed text whose keys share a bucket, about.
+BUCKET_BYTES = 8 << 20
 #: Replies of at most so many bytes are broadcast.
 BROADCAST_BYTES = 64 << 20
 #: Stands for a null id: larger than every other.
@@ -90,6 +92,21 @@ class Chunk:
         return [self.data[a:b] for a, b in zip(self.edges, self.edges[1:], strict=False)]
 
 
+def buckets(packed: DataFrame) -> int:
+    """Into how many buckets the keys of packed texts are dealt: each is one table in one worker, so there are more for more text."""
+    size = packed.agg(F.sum(F.length("texts"))).first()[0] or 0
+    return max(shuffles(packed.sparkSession), -(-size // BUCKET_BYTES))
+
+
+def distinct(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (key, doc) pairs."""
+    order = np.lexsort((docs, keys))
+    k, d = keys[order], docs[order]
+    new = np.ones(len(k), bool)
+    new[1:] = (k[1:] != k[:-1]) | (d[1:] != d[:-1])
+    return k[new], d[new]
+
+
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
 
