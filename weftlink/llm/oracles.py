@@ -23,7 +23,7 @@ OP3 = rf"""
 with d as (select doc_id, coalesce(source, chr(0)) as host, coalesce(text, '') as text from documents),
 l as (select doc_id, host, text, line, {_WORDS.format('line')} as ws from (select *, unnest(string_split(text, chr(10))) as line from d)),
 n as (select doc_id, host, text, line, len(ws) as k, regexp_replace({_LOW.format("array_to_string(ws, ' ')")}, '[0-9]+', '0', 'g') as norm from l where len(ws) > 0),
-signs as (select doc_id, arg_min(norm, (-k, norm)) as sign from n group by 1),
+signs as (select doc_id, md5(text) as sign from d),
 hosts as (select host, count(distinct sign) as docs from n join signs using (doc_id) group by 1),
 often as (select n.host, norm from n join signs using (doc_id) join hosts using (host) group by 1, 2 having count(distinct sign) > 10 and count(distinct sign) > 0.1 * any_value(docs)),
 left_ as (select doc_id, sum(k)::bigint as n_words_left from n where not exists (select 1 from often o where o.host = n.host and o.norm = n.norm) group by 1),

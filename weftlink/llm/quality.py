@@ -8,7 +8,6 @@ are removed; documents that lose too much of themselves are rejected.
 from __future__ import annotations
 
 import hashlib
-import heapq
 import re
 from collections import Counter
 
@@ -17,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, cut, fields, trim, tune
+from .common import cut, fields, trim, tune
 
 #: A line is boilerplate of a host beyond both limits: documents, and share of the host's documents.
 MIN_DOCS, MAX_SHARE = 10, 0.1
@@ -102,31 +101,14 @@ def without_lines(text: str | None, gone: frozenset[int]) -> str | None:
     return "\n".join(x for x in text.split("\n") if not (w := _bytes(x).split()) or line_key(w) not in gone)
 
 
-def _least(texts) -> list[bytes]:
-    """The least hash of each text's shingles of five words in lower case, digits alike; of shorter texts zeros."""
-    w = Words([_DIGITS.sub(b"0", _bytes(t).lower()) for t in texts])
-    grams, at = w.grams(5)
-    out = np.zeros(len(texts), np.uint64)
-    if len(grams):
-        doc = w.doc[at]
-        begin = np.flatnonzero(np.diff(doc, prepend=-1))
-        out[doc[begin]] = np.minimum.reduceat(grams, begin)
-    return [x.tobytes() for x in out]
-
-
 @F.pandas_udf(fields("sign long, lines array<long>"))
 def line_keys(texts: pd.Series) -> pd.DataFrame:
-    """Keys of a text's lines, and the document's sign.
-
-    The sign is made of the two longest lines (of equals the first in byte order)
-    and of the least of the text's five-word shingles under a hash: near copies
-    have it in common as a rule, texts that share a line or two do not.
-    """
+    """Keys of a text's distinct lines, and a hash of the whole text; of texts without words nulls."""
     rows = []
-    for t, least in zip(texts, _least(texts), strict=True):
-        own = {line_form(w): len(w) for line in _bytes(t).split(b"\n") if (w := line.split())}
-        longest = heapq.nsmallest(2, own, key=lambda x: (-own[x], x))
-        rows.append((_hash(b"\n".join(longest) + least) if longest else None, [_hash(x) for x in own]))
+    for t in texts:
+        data = _bytes(t)
+        own = {line_form(w) for line in data.split(b"\n") if (w := line.split())}
+        rows.append((_hash(data) if own else None, [_hash(x) for x in own]))
     trim()
     return pd.DataFrame({"sign": pd.array([r[0] for r in rows], "Int64"), "lines": pd.Series([r[1] for r in rows], dtype=object)})
 
@@ -134,15 +116,17 @@ def line_keys(texts: pd.Series) -> pd.DataFrame:
 def boilerplate(docs: DataFrame, text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
     """(_wl_host, _wl_drop): each host's lines in more than min_docs and more than max_share of its distinct documents.
 
-    Documents of one sign are copies or near copies, and count as one. A host
-    has at most (lines of a document) / max_share such lines, so the lists stay short
-    at any size. Counts are combined before each shuffle.
+    Rows of one text are one document; texts that differ anywhere are different ones.
+    A host has at most (lines of a document) / max_share such lines, so the lists stay
+    short at any size. Counts are combined before each shuffle; a null line stands for
+    the document itself, so that one pass counts lines and documents.
     """
     keys = docs.select(_host(host), line_keys(F.col(text)).alias("_k")).select("_wl_host", "_k.*").filter("sign is not null")
-    sizes = keys.select("_wl_host", "sign").distinct().groupBy("_wl_host").agg(F.count("*").alias("_docs"))
-    found = keys.select("_wl_host", "sign", F.explode("lines").alias("_h")).distinct()
-    often = found.groupBy("_wl_host", "_h").agg(F.count("*").alias("_n")).filter(F.col("_n") > min_docs)
-    return often.join(sizes, "_wl_host").filter(F.col("_n") > max_share * F.col("_docs")).groupBy("_wl_host").agg(F.collect_list("_h").alias("_wl_drop"))
+    found = keys.select("_wl_host", "sign", F.explode(F.concat("lines", F.array(F.lit(None).cast("long")))).alias("_h")).distinct()
+    counts = cut(found.groupBy("_wl_host", "_h").agg(F.count("*").alias("_n")).filter((F.col("_n") > min_docs) | F.col("_h").isNull()))
+    sizes = counts.filter("_h is null").select("_wl_host", F.col("_n").alias("_docs"))
+    often = counts.filter("_h is not null").join(sizes, "_wl_host").filter(F.col("_n") > max_share * F.col("_docs"))
+    return often.groupBy("_wl_host").agg(F.collect_list("_h").alias("_wl_drop"))
 
 
 def _host(host: str):
@@ -152,9 +136,9 @@ def _host(host: str):
 def judge(docs: DataFrame, text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT, rest: bool = False) -> DataFrame:
     """docs with the facts, ``drop_lines`` (keys of the host's boilerplate), ``n_words_left``, ``base_failed`` and ``kept``.
 
-    A null host is a host of its own. Documents of a host that have their
-    sign in common count as one, so copies and near copies don't make their lines boilerplate. With ``rest``, ``text_left`` is the
-    text without its boilerplate. Every input row is returned once,
+    A null host is a host of its own. Rows of a host that have one text count as one
+    document, so exact copies don't make their lines boilerplate; near copies are
+    documents of their own. With ``rest``, ``text_left`` is the text without its boilerplate. Every input row is returned once,
     repeated rows too; an empty or null text has base_failed true and kept false.
     Columns whose names begin with ``_wl_`` are reserved; of clashing names the
     operator's columns stay.
@@ -170,5 +154,3 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", min_docs: i
     out = out.withColumns({x.split()[0]: F.col("_wl_f")[x.split()[0]] for x in kinds.split(", ")}).drop("_wl_f", "_wl_host", "_wl_drop")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("n_words_left") >= min_left * F.col("n_words")))
-
-
