@@ -224,10 +224,52 @@ def test_op4_base_and_mixture(docs, rows, empty):
     want = sorted(((str(i), held(i), len(ws), sum(c[w] > 0 for w in ws), n, round(sum(log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws), 6)) for ws, i in tokens), key=str)
     got = lm.score(clashing(docs, "id", "score"), chunk_bytes=2000).collect()
     assert sorted(((str(r[0]), r[1], r[2], r[3], r[4], round(r[5], 6)) for r in got), key=str) == want
-    assert all(r["score"] < 0 for r in got)
+    # The model with exact counts of pairs, rounded down to powers of two; the filter's false hits can only add.
+    pairs = Counter(x for ws, i in tokens if not held(i) for x in zip([None, *ws[:-1]], ws))
+    word = lambda w: (c[w] + 0.1) / (n + 0.1 * (v + 1))
+
+    def probability(a, b):
+        if not c[a]:
+            return word(b)
+        k = pairs[a, b]
+        return 0.6 * min(1.0, 2 ** (k.bit_length() - 1) / c[a] if k else 0) + 0.4 * word(b)
+
+    want = defaultdict(list)
+    for ws, i in tokens:
+        want[i].append(sum(log10(probability(a, b)) for a, b in zip([None, *ws[:-1]], ws)))
+    have = defaultdict(list)
+    for r in got:
+        have[r[0]].append(r["score"])
+    close = 0
+    for i, x in want.items():
+        for a, b in zip(sorted(x), sorted(have[i]), strict=True):
+            assert a - 1e-6 <= b <= a + 0.05 * abs(a) + 3
+            close += abs(a - b) < 1e-6
+    assert close > 0.4 * len(tokens)
     assert lm.score(empty).count() == 0
 
 
+def test_op4_false_hits_are_rare():
+    rng = np.random.default_rng(5)
+    keys = rng.choice(1 << 32, 200_000, replace=False).astype(np.uint64)
+    counts = rng.geometric(0.6, 100_000)
+    part = lm.build_part(keys[:100_000].astype(np.uint32), counts, lm.part_bytes(counts))
+    level = lm.read_levels(part, 1, keys[100_000:])
+    assert (level > 0).mean() < 0.012 and (level > 1).mean() < 0.001
+    held = lm.read_levels(part, 1, keys[:100_000])
+    want = 1 + np.floor(np.log2(counts))
+    assert (held >= want).all() and (held > want).mean() < 0.012
+
+
+def test_op4_probabilities_of_next_words_sum_to_one_at_most(spark):
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choices(WORDS[:12], k=60)), "", "", 0) for i in range(1, 40)]
+    learned = [t.split() for i, t, *_ in rows if not lm.in_fold(i, 10, 0)]
+    c, pairs = Counter(w for t in learned for w in t), Counter(x for t in learned for x in zip(t, t[1:]))
+    for a in WORDS[:12]:
+        assert sum(2 ** (k.bit_length() - 1) for (x, _), k in pairs.items() if x == a) <= c[a]
+
+
 def test_op4_filter_gives_levels_back():
     rng = np.random.default_rng(2)
     keys = rng.integers(0, 1 << 63, 4000).astype(np.uint64)

@@ -24,10 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import chunks as C
-from .common import ROLL, Words, cut, mix, shuffles, trim
+from .common import ROLL, Words, cut, mix, trim
 
-#: Probes of one entry.
-HASHES = 4
+#: Probes of one entry: half of a part's bits are set, so a pair that isn't held reads as held once in 128 cases.
+HASHES = 7
 #: Weight of the word's own frequency in the mixture.
 BACKOFF = 0.4
 END = mix(np.array([7], np.uint64))[0]
@@ -119,11 +119,12 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int =
     are learned from. Null and empty texts have the end token alone. ``base_score``
     and ``score`` are sums of log10 probabilities: of the smoothed words, and of the
     mixture. With nothing to learn from, every count is 0 and probabilities are
-    those of the smoothing alone.
+    those of the smoothing alone. Repeated rows are learned from, and scored, as often
+    as they occur; an empty table gives none. Keys are integers; columns other than key
+    and text are ignored.
     """
-    spark = docs.sparkSession
-    buckets = shuffles(spark)
     packed = C.pack(docs, key, text, chunk_bytes)
+    buckets = C.buckets(packed)
 
     def send(chunk, at, _):
         t = Tokens(chunk, folds, fold)
@@ -183,13 +184,14 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int =
             c[edges[i] : edges[i + 1]] = np.frombuffer(C.unsqueeze(r), np.int64)
         c = c[back]
         word = (c + 0.1) / (n + 0.1 * (v + 1))
-        # The count of a pair at level q lies between 2 ** (q - 1) and 2 ** q; at level 1 it is 1.
+        # A pair at level q is counted 2 ** (q - 1) times or more; taking the least keeps the sum over next words within 1.
         level = level[p_back]
-        pair = np.where(level > 1, 1.5 * 2.0 ** (level - 1), level)
+        pair = np.where(level > 0, 2.0 ** (level - 1), 0.0)
         before = np.roll(c, 1)
         end = c[t.ends[0]] if len(t.ends) else 0
         before[np.concatenate([[0], t.ends[:-1] + 1])] = end
-        p = (1 - BACKOFF) * np.minimum(pair / np.maximum(before, 1), 1.0) + BACKOFF * word
+        # After a token that was never seen the word's own frequency is all there is.
+        p = np.where(before > 0, (1 - BACKOFF) * np.minimum(pair / np.maximum(before, 1), 1.0) + BACKOFF * word, word)
         add = lambda x: np.bincount(t.doc, weights=x, minlength=len(chunk.ids))
         known, total = np.bincount(t.doc[c > 0], minlength=len(chunk.ids)), np.bincount(t.doc, minlength=len(chunk.ids))
         yield pa.RecordBatch.from_arrays([
