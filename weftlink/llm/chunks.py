@@ -5,8 +5,7 @@ millions of positions runs on a chunk at a time, so memory is bounded by the
 chunk (or by one longer text). To learn which 64-bit keys of its texts occur
 elsewhere, a chunk sends its distinct keys, sorted and cut to 32 bits within
 their bucket, to the buckets' owners, and gets one small code for each key back.
-Keys travel packed: four bytes each, one row for each chunk and bucket, as a
-shuffle would hold them anyway. A cut key can only look more common than it is,
+Keys travel packed: three or four bytes each, one row for each chunk and bucket. A cut key can only look more common than it is,
 so callers verify what they get.
 """
 
@@ -149,6 +148,16 @@ def per_chunk(chunks: DataFrame, replies: list[DataFrame], work, schema: str, sm
     return joined.mapInArrow(each, schema)
 
 
+def steps(keys: np.ndarray) -> bytes:
+    """Ordered keys of one bucket as squeezed differences: these have leading zeros."""
+    low_ = keys.astype(np.uint32)
+    return squeeze(np.diff(low_, prepend=np.uint32(0)).tobytes())
+
+
+def unsteps(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(unsqueeze(data), np.uint32), dtype=np.uint32)
+
+
 def ask(chunk: int, keys: np.ndarray, docs: np.ndarray, buckets: int):
     """Record batch of requests: for each bucket the chunk's distinct keys and in how many of its documents each is.
 
@@ -158,7 +167,7 @@ def ask(chunk: int, keys: np.ndarray, docs: np.ndarray, buckets: int):
     count = np.minimum(np.bincount(back, minlength=len(u)), 255).astype(np.uint8)
     own = [i for i in range(buckets) if edges[i] < edges[i + 1]]
     body = [squeeze(count[edges[i] : edges[i + 1]].tobytes()) for i in own]
-    return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([chunk] * len(own), pa.int64()), pa.array([u[edges[i] : edges[i + 1]].astype(np.uint32).tobytes() for i in own], pa.binary()), pa.array(body, pa.binary())], ["bucket", "chunk", "keys", "counts"])
+    return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([chunk] * len(own), pa.int64()), pa.array([steps(u[edges[i] : edges[i + 1]]) for i in own], pa.binary()), pa.array(body, pa.binary())], ["bucket", "chunk", "keys", "counts"])
 
 
 ASK = "bucket int, chunk long, keys binary, counts binary"
@@ -175,7 +184,7 @@ def answer(requests: DataFrame) -> DataFrame:
 
     def work(table: pa.Table) -> pa.Table:
         chunks = table.column("chunk").to_pylist()
-        keys = [np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("keys")]
+        keys = [unsteps(x.as_py()) for x in table.column("keys")]
         counts = [np.frombuffer(unsqueeze(x.as_py()), np.uint8) for x in table.column("counts")]
         u, back = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(back, weights=np.concatenate(counts), minlength=len(u))
