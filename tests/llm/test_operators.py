@@ -460,6 +460,38 @@ def test_op7_model_learns(spark):
     got = urls.judge(pages, RULES, labelled).collect()
     assert all((r["verdict"] == "block") == ("casino" in r["url"]) for r in got)
     assert {r["verdict"] for r in urls.judge(pages, [], labelled.limit(0)).collect()} == {"block"}
+    assert {r["verdict"] for r in urls.judge(pages, [], labelled.filter("not blocked")).collect()} == {"allow"}
+    assert urls.judge(pages.limit(0), RULES).count() == 0
+
+
+def test_op7_model_against_plain_regression(spark):
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    rows = [(f"{'x' if y else ''}{word(6)}.org", f"/{word(4)}{'/bad' if y and i % 3 else ''}", bool(y)) for i in range(150) for y in (0, 1)]
+    labelled = spark.createDataFrame(rows, "host string, path string, blocked boolean")
+    slots = labelled.select(urls.features(F.col("host"), F.col("path")).alias("x"), F.col("blocked").cast("int").alias("y")).collect()
+    x = np.zeros((len(slots), urls.SLOTS))
+    for i, r in enumerate(slots):
+        assert len(set(r["x"])) == len(r["x"]) and r["x"][0] == 0
+        x[i, r["x"]] = 1 / np.sqrt(len(r["x"]))
+    y, w = np.array([r["y"] for r in slots]), np.zeros(urls.SLOTS)
+    for _ in range(urls.ROUNDS):
+        w -= urls.STEP * (x.T @ (1 / (1 + np.exp(-x @ w)) - y) / len(y) + urls.RIDGE * w)
+    pages = spark.createDataFrame([(i, f"http://{h}{p}") for i, (h, p, _) in enumerate(rows)], "page_id int, url string")
+    got = {r["page_id"]: r["p_block"] for r in urls.judge(pages, [], labelled).collect()}
+    assert np.allclose([got[i] for i in range(len(rows))], 1 / (1 + np.exp(-x @ w)), atol=1e-6)
+
+
+def test_op7_one_url_cannot_take_the_sample(spark):
+    rng = random.Random(13)
+    rows = [(f"{x}{i}.org", f"/{x}/{rng.randrange(10**6)}", x == "b") for i in range(300) for x in "ab"]
+    hot = spark.createDataFrame(rows, "host string, path string, blocked boolean")
+    first = hot.filter("blocked").orderBy(F.xxhash64("host", "path")).first()
+    copies = spark.createDataFrame([tuple(first)] * 5000, hot.schema)
+    assert urls.fit(hot.union(copies), limit=400) == urls.fit(hot, limit=400)
+    few = spark.createDataFrame(rows[:200] + [r for r in rows[200:] if r[2]] * 3, hot.schema)
+    labels = [y for _, y in urls.sample(few, "host", "path", "blocked", 400)]
+    assert labels.count(0) == 100 and labels.count(1) == 200
 
 
 # ---- 8

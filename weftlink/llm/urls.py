@@ -61,27 +61,52 @@ def _logit(slots: Column, weights: list[float]) -> Column:
     return total / F.sqrt(F.size(slots))
 
 
-def fit(labelled: DataFrame, host: str = "host", path: str = "path", label: str = "blocked", limit: int = MAX_LABELLED) -> list[float]:
-    """Weights by gradient descent over at most ``limit`` labelled rows (those of the smallest hash of host and path).
+def sample(labelled: DataFrame, host: str, path: str, label: str, limit: int) -> list[tuple[list[int], int]]:
+    """(slots, label) of at most limit / 2 distinct URLs of each label, those of the smallest hash of host and path.
 
-    The rows' slots, at most ``limit`` times a URL's length, are collected once and
-    the descent runs over them. An empty table, or one label only, gives a constant.
+    A URL counts once, however often it occurs. A share of the smallest hashes that
+    holds enough of them is taken before anything is ordered or made distinct.
     """
     own = labelled.select(F.col(host).alias("a"), F.col(path).alias("b"), F.col(label).cast("int").alias("y"), F.xxhash64(host, path).alias("h"))
-    n = own.count()
-    if n > 4 * limit:  # a share of the smallest hashes holds them all, and spares the driver each partition's top rows
-        few = own.filter(F.col("h") < int(-(1 << 63) + (1 << 64) * 2 * limit / n))
-        own = few if few.count() >= limit else own
-    rows = own.orderBy("h", "a", "b", "y").limit(limit).select(features(F.col("a"), F.col("b")).alias("x"), "y").collect()
+    sizes = own.filter("y is not null").groupBy("y").agg(F.approx_count_distinct("h").alias("n")).collect()  # two rows at most
+    half, out = limit // 2, []
+    for y, n in sorted((r["y"], r["n"]) for r in sizes):
+        part = own.filter(F.col("y") == y)
+        found: list = []
+        if n > 4 * half:
+            found = _smallest(part.filter(F.col("h") < int(-(1 << 63) + (1 << 64) * 2 * half / n)), half)
+        if len(found) < half:
+            found = _smallest(part, half)
+        out += [(r["x"], y) for r in found]
+    return out
+
+
+def _smallest(part: DataFrame, n: int) -> list:
+    return part.distinct().orderBy("h", "a", "b").limit(n).select(features(F.col("a"), F.col("b")).alias("x")).collect()
+
+
+def fit(labelled: DataFrame, host: str = "host", path: str = "path", label: str = "blocked", limit: int = MAX_LABELLED) -> list[float]:
+    """Weights by gradient descent over at most ``limit`` distinct labelled URLs, in which both labels weigh the same.
+
+    The URLs' slots, at most ``limit`` times a URL's length, are collected once and
+    the descent runs over them. An empty table gives weights of 0, one label only a
+    constant on its side. Null labels are left out.
+    """
+    return descent(sample(labelled, host, path, label, limit))
+
+
+def descent(rows: list[tuple[list[int], int]]) -> list[float]:
     w = [0.0] * SLOTS
-    if not rows:
+    count = {y: sum(1 for _, z in rows if z == y) for _, y in rows}
+    if len(count) < 2:
+        w[0] = 0.0 if not count else 1.0 if 1 in count else -1.0
         return w
-    data = [(r["x"], r["y"], 1 / math.sqrt(len(r["x"]))) for r in rows]
+    data = [(x, y, 1 / math.sqrt(len(x)), 0.5 / count[y]) for x, y in rows]
     for _ in range(ROUNDS):
         g = [RIDGE * x for x in w]
-        for x, y, scale in data:
+        for x, y, scale, weight in data:
             z = scale * sum(w[i] for i in x)
-            d = (1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) - y) * scale / len(data)
+            d = (1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) - y) * scale * weight
             for i in x:
                 g[i] += d
         w = [a - STEP * b for a, b in zip(w, g, strict=True)]
@@ -93,8 +118,9 @@ def judge(urls: DataFrame, rules: list[tuple[str, str]], labelled: DataFrame | N
 
     Where no rule fits, the model decides: block from a probability of 0.5.
     ``labelled`` has host, path and blocked; by default the rules label the urls
-    themselves and a bounded sample of those is learned from. Null urls and urls
-    without ``://`` have empty host and path. Rows repeat as they come.
+    themselves and a bounded sample of distinct ones is learned from. Null urls and
+    urls without ``://`` have empty host and path. Rows repeat as they come; an empty
+    table gives an empty one. Columns of the five names are replaced by these.
     """
     verdicts = {rule: verdict for verdict, rule in rules}
     h, p = host_of(F.col(url)), path_of(F.col(url))
