@@ -423,6 +423,40 @@ def test_op6_finds_edited_items(spark):
             assert distance(it, texts[r["doc_id"]][r["start_word"] : r["end_word"]]) == r["edits"] <= decontaminate.allowed(len(it))
 
 
+@pytest.mark.parametrize("size", [7, 8, 9, 14, 15, 20, 40, 80, 150])
+def test_op6_recall_at_the_limit(size):
+    rng = random.Random(size)
+    new = lambda k: [rng.choice(WORDS) for _ in range(k)]
+    own = [new(size) for _ in range(40)]
+    items = decontaminate.Items([" ".join(x) for x in own], decontaminate.PERCENT)
+    limit, texts = decontaminate.allowed(size), []
+    for x in own:
+        w = list(x)
+        for _ in range(limit):
+            kind, at = rng.choice("sid"), rng.randrange(len(w))
+            w[at : at + (kind != "i")] = [] if kind == "d" else ["edit"]
+        texts.append(" ".join(new(60) + w + new(50)).encode())
+    texts += [" ".join(new(200)).encode() for _ in range(40)]
+    found = {(d, i) for d, i, *_ in decontaminate.leaks(items, texts)}
+    assert len({(i, i) for i in range(40)} & found) >= 39
+    # Brute force over all texts and items: nothing else leaks, and nothing is found that doesn't.
+    words = [t.decode().split() for t in texts]
+    code = {w: k for k, w in enumerate(sorted({w for t in words for w in t} | {w for x in own for w in x}))}
+    number = lambda x: np.array([code[w] for w in x], np.uint64)
+    want = {(d, i) for d, t in enumerate(words) for i, x in enumerate(own) if decontaminate.edits(number(x), number(t), limit)[0] <= limit} if size <= 20 else found
+    assert found <= want and len(found) >= 0.97 * len(want)
+
+
+def test_op6_blocks_and_one_key_name(spark, monkeypatch):
+    rng = random.Random(16)
+    new = lambda k: " ".join(rng.choice(WORDS) for _ in range(k))
+    items = [(i, new(20)) for i in range(30)]
+    rows = [(i, new(40) + " " + t + " " + new(5), "", "", 0) for i, t in items]
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 4000)
+    got = decontaminate.find(spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "doc_id int, text string"), item_key="doc_id").collect()
+    assert sorted((r["doc_id"], r["item_doc_id"], r["edits"], r["start_word"]) for r in got) == [(i, i, 0, 40) for i in range(30)]
+
+
 def test_op6_empty(docs, empty, spark):
     none = spark.createDataFrame([], "item_id int, text string")
     assert decontaminate.find(docs, none).count() == 0
