@@ -134,17 +134,50 @@ def test_op2_without_labels(spark, docs, empty):
     assert langid.predict(empty, docs).count() == 0
 
 
-def test_op2_automaton_finds_longest_phrases():
-    p = langid.CrossParser([("a", "abracadabra alakazam"), ("b", "zyx")], 1000)
-    text = "abra kadabra zam"
-    want, pos, sample = 0, 0, "abracadabra alakazam"
+def brute_phrases(text, sample):
+    pos = count = 0
     while pos < len(text):
         n = 1
         while pos + n <= len(text) and text[pos : pos + n] in sample:
             n += 1
         pos += max(1, n - 1)
-        want += 1
-    assert p.phrases([text])[0][0, 0] == want
+        count += 1
+    return count
+
+
+@pytest.mark.parametrize("segment, block, dense", [(1024, 1 << 21, 8 << 20), (7, 1 << 21, 0), (1024, 3000, 0), (5, 64, 8 << 20)])
+def test_op2_phrases_against_brute_force(monkeypatch, segment, block, dense):
+    monkeypatch.setattr(langid, "SEGMENT", segment)
+    monkeypatch.setattr(langid, "BLOCK", block)
+    monkeypatch.setattr(langid, "DENSE", dense)
+    rng = random.Random(3)
+    said = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    samples = [("a", "abracadabra alakazam " + said("abc ", 300)), ("b", "zyx" + said("xyz é", 200)), ("c", "aaaaaaaaaaaaaaaaaaaaaaaaaa")]
+    p = langid.CrossParser(samples, 1000)
+    texts = ["abra kadabra zam", "?", "q", "", "ab12cd", "a" * 300, "zzqzz", samples[0][1] * 9] + [said("abcxyz éq", n) for n in (3, 40, 700, 2500)] + [said("ab ", 4000)]
+    plain = lambda t: re.sub(r"[^a-zé]+", " ", t.lower())
+    got, letter = p.phrases(texts)
+    for t, row, some in zip(texts, got, letter):
+        assert row.tolist() == [brute_phrases(plain(t), plain(s)) for _, s in samples]
+        assert some == any(c.isalpha() for c in t)
+
+
+def test_op2_large_alphabets_take_little_memory():
+    rng = random.Random(1)
+    han = "".join(chr(0x4E00 + min(int(rng.expovariate(1 / 900)), 8000)) for _ in range(48_000))
+    p = langid.CrossParser([("en", "the quick brown fox " * 2000), ("zh", han)], 48_000)
+    assert p.letters > 2612 and sum(a.nbytes() for a in p.automata) < 64 << 20
+    count, _ = p.phrases([han[100:160], "the quick brown fox the quick"])
+    assert count[0, 1] < count[0, 0] and count[1, 0] < count[1, 1]
+
+
+def test_op2_sample_is_of_distinct_texts_and_dealt_evenly(spark):
+    long, short = "wort " * 50_000, [f"satz nummer {chr(97 + i % 26)}{chr(97 + i // 26)} hier" for i in range(60)]
+    rows = [(0, long, "de", "", 0)] + [(1 + i, t, "de", "", 0) for i, t in enumerate(short)] + [(100 + i, short[0], "de", "", 0) for i in range(400)]
+    got = langid.training_sample(spark.createDataFrame(rows, DOCS), "text", "lang", 48, 48_000)
+    assert len(got) == 48 and len(set(got)) == 48
+    cut = langid.dealt([long, *short], 3000)
+    assert sum(map(len, cut)) <= 3000 and cut[1:] == short
 
 
 # ---- 3
