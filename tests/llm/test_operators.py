@@ -689,6 +689,14 @@ def test_op9_finds_passages_with_a_word_more_or_less(spark):
     assert all(x // 2 == y // 2 for x, y in flagged)
 
 
+def test_op9_partners_cover_all_stretches():
+    y = np.array([5, 5, 7, 8, 9, 4])
+    low, high = np.array([0, 60, 0, 40, 50, 200]), np.array([50, 120, 120, 100, 160, 260])
+    firm = np.array([1, 1, 1, 1, 0, 0], bool)
+    assert passages.chosen(y, low, high, firm) == {7, 9, 4}
+    assert passages.chosen(y, low, high, ~firm) == {9, 4, 5, 7, 8}
+
+
 def test_op9_cases_and_empty(docs, empty):
     assert passages.find(docs).count() > 0
     assert passages.find(empty).count() == 0
