@@ -280,12 +280,67 @@ def test_pareto(spark):
 
 
 def test_variations(spark):
-    def rec(i, n, a="1 Rd"):
-        return [(f"S1-{i}", n[0], a, "US"), (f"S2-{i}", n[1], a, "US")]
-
-    cases = [("Acme", "ACME."), ("Café", "Cafe"), ("Red Fox", "Fox Red"), ("Acme Inc", "Acme LLC"), ("Alpha Beta", "Alpha Beta Gamma"), ("", "Acme")]
-    df = spark.createDataFrame([r for i, n in enumerate(cases) for r in rec(i, n)], "entity_id string, business_name string, business_address string, country string")
-    pairs = spark.createDataFrame([(f"S1-{i}", f"S2-{i}") for i in range(len(cases))], "s1_id string, target_id string")
+    def rec(i, n, a):
+        return [(f"S1-{i}", "S1", n[0], a[0], "US"), (f"S2-{i}", "S2", n[1], a[1], "US")]
+
+    road = ("1 Rd", "1 Rd")
+    cases = [
+        (("Zoë Hill", "Zoe Hill"), road, "accent_unicode"),
+        (("Green Moss", "Moss Green"), road, "token_reorder"),
+        (("Fern Inc", "Fern LLC"), road, "legal_suffix"),
+        (("Mill Pond", "Millpond"), road, "token_segmentation"),
+        (("Grand Oak Yard", "GOY"), road, "abbreviation_initials"),
+        (("Bramble Works", "Brambel Works"), road, "typographical_corruption"),
+        (("Lark", "Ларк"), road, "cross_language_like"),
+        (("", "Heron"), road, "missing_or_null_name"),
+        (("Heron", "Heron"), ("", "2 Rd"), "missing_address"),
+        (("Heron", "Heron"), ("12 Rd", "21 Rd"), "digit_address_conflict"),
+        (("Ab", "Heron"), ("", "9 Long Road"), "both_fields_sparse"),
+        (("Heron Bay", "Otter Works Depot"), road, "other_unknown"),
+    ]
+    df = spark.createDataFrame([r for i, (n, a, _) in enumerate(cases) for r in rec(i, n, a)], "entity_id string, source string, business_name string, business_address string, country string")
+    pairs = spark.createDataFrame([(f"S1-{i}", f"S2-{i}", i % 2 == 0) for i in range(len(cases))], "s1_id string, target_id string, present boolean")
     got = {r["s1_id"]: r for r in audit.variations(pairs, df).collect()}
-    for i, flag in enumerate(("case_or_punctuation", "accents", "word_order", "legal_suffix", "added_or_dropped_words", "missing_name")):
-        assert got[f"S1-{i}"][flag], flag
+    for i, (*_, flag) in enumerate(cases):
+        row = got[f"S1-{i}"]
+        assert row[flag], flag
+        assert row["fusion_truncation"] == (i % 2 == 0) and row["absent_every_channel"] == (i % 2 == 1)
+        assert row["other_unknown"] == (not any(row[f] for f in audit.TAXONOMY[:11]))
+    table = {r["flag"]: r for r in audit.flag_table(audit.variations(pairs, df), audit.TAXONOMY).collect()}
+    assert table["token_reorder"]["n_rows"] == 2 and table["token_reorder"]["examples"] == "S1-0>S2-0;S1-1>S2-1"
+
+
+def test_missed_categories(spark):
+    records = [("S1-1", "S1", "Fern", "1 Rd", "India"), ("S2-1", "S2", "Fern", "", "India"), ("S2-2", "S2", "Fern Inc", "1 Rd", "India"), ("S3-1", "S3", "Fern", "9 Rd", "India"), ("S3-2", "S3", "Moss", "9 Rd", "India")]
+    df = spark.createDataFrame(records, "entity_id string, source string, business_name string, business_address string, country string")
+    edges = spark.createDataFrame([("S1-1", t, t[:2]) for t in ("S2-1", "S2-2", "S3-1", "S3-2")], "s1_id string, target_id string, target_source string")
+    evidence = spark.createDataFrame([("S1-1", "S3-1", "name_char_tfidf"), ("S1-1", "S3-2", "address_char_tfidf")], "s1_id string, target_id string, channel string")
+    got = {r["target_id"]: r for r in audit.missed(edges, edges.limit(0), evidence, df).collect()}
+    want = {"S2-1": "absent_top80_target_address_missing", "S2-2": "absent_top80_weak_name", "S3-1": "name_evidence_fusion_truncation", "S3-2": "address_evidence_fusion_truncation"}
+    assert {t: r["primary_category"] for t, r in got.items()} == want
+    assert got["S2-2"]["legal_suffix_or_token_order_variation"] and got["S3-1"]["s3_specific_concentration"] and got["S2-1"]["india_specific_concentration"]
+    kept = edges.filter("target_id = 'S2-1'")
+    assert {r["primary_category"] for r in audit.missed(edges, kept, evidence, df).collect()} == {"absent_top80_weak_name", "multi_match_truncation"}
+    table = {r["primary_category"]: r["n_rows"] for r in audit.category_table(audit.missed(edges, edges.limit(0), evidence, df)).collect()}
+    assert table == {c: 1 for c in want.values()} and set(table) <= set(audit.CATEGORIES)
+
+
+def test_specs_and_weights():
+    weights = {s: {"name": 1.0, "address": 1.0, "exact": 1.0} for s in ("S2", "S3")}
+    grid = fusion.specs((20, 40), ("rrf", "source_specific"), ((10, 30),), (20, 60), weights)
+    assert len(grid) == 2 * 3 + 2 and len({x.key for x in grid}) == len(grid)
+    assert {x.rescue_budget for x in grid} == {0, 60} and {"S2": 10, "S3": 30} in [x.source_budgets for x in grid]
+    with pytest.raises(ValueError):
+        fusion.fusion_score(fusion.FusionSpec("source_specific", 40))
+
+
+def test_tune_searches_ownership_margins_and_sources(spark):
+    scored = [("S1-1", "S2-1", "S2", 0.62), ("S1-1", "S3-1", "S3", 0.86), ("S1-2", "S2-1", "S2", 0.58), ("S1-2", "S3-2", "S3", 0.78), ("S1-2", "S3-1", "S3", 0.70)]
+    df = spark.createDataFrame(scored, "s1_id string, target_id string, target_source string, score double")
+    truth = spark.createDataFrame([("S1-1", "S2-1"), ("S1-1", "S3-1"), ("S1-2", "S3-2")], "s1_id string, target_id string")
+    s1 = spark.createDataFrame([("S1-1",), ("S1-2",)], "s1_id string")
+    best = decode.tune(df, truth, s1, (0.5, 0.7), (1, 3))
+    got = {r["s1_id"]: r["targets"] for r in decode.decode(df, s1, best).collect()}
+    assert got == {"S1-1": ["S2-1", "S3-1"], "S1-2": ["S3-2"]}
+    shared = truth.union(spark.createDataFrame([("S1-2", "S2-1"), ("S1-2", "S3-1")], truth.schema))
+    assert not decode.tune(df, shared, s1, (0.5, 0.7), (1, 3)).ownership

@@ -32,9 +32,17 @@ def exact(keys: DataFrame, by_country: bool = True) -> DataFrame:
 
 
 def exact_top_k(keys: DataFrame, k: int = 80, by_country: bool = True) -> DataFrame:
-    """Exact evidence ranked by content within query, source and channel, the first k."""
-    rank = F.row_number().over(Window.partitionBy("s1_id", "target_source", "channel").orderBy("target_content_key", "target_id"))
-    return exact(keys, by_country).withColumn("channel_rank", rank).filter(F.col("channel_rank") <= k)
+    """Exact evidence ranked by content within query, source and channel, the first k.
+
+    A query has one key of a field and view, so its first k are the first k targets of
+    that key: these are ranked before the join, which then has k rows a query at most.
+    """
+    on = ["field", "view", "key", *(["country"] if by_country else [])]
+    rank = F.row_number().over(Window.partitionBy(*on, "source").orderBy("tie", "entity_id"))
+    first = keys.filter("source <> 'S1'").withColumn("channel_rank", rank).filter(F.col("channel_rank") <= k)
+    found = exact(keys.filter("source = 'S1'").unionByName(first.drop("channel_rank")), by_country).drop("channel_rank")
+    ranked = first.select(F.col("entity_id").alias("target_id"), "field", F.col("view").alias("normalization_view"), "channel_rank")
+    return found.join(ranked, ["target_id", "field", "normalization_view"])
 
 
 def save_index(keys: DataFrame, table: str, buckets: int = 64) -> None:
@@ -77,7 +85,7 @@ def prefix_negatives(records: DataFrame, truth: DataFrame, limit: int = 500, per
     q = keys.filter("source = 'S1'").select(F.col("entity_id").alias("s1_id"), "sample_type", "country", "block")
     t = keys.filter("source <> 'S1'").select(F.col("entity_id").alias("target_id"), F.col("source").alias("target_source"), "sample_type", "country", "block")
     pairs = q.join(t, ["sample_type", "country", "block"]).select("s1_id", "target_id", "target_source", "sample_type").join(truth.select("s1_id", "target_id"), ["s1_id", "target_id"], "left_anti")
-    order = F.row_number().over(Window.partitionBy("sample_type").orderBy(F.xxhash64("s1_id", "target_id"), "s1_id", "target_id"))
+    order = F.row_number().over(Window.partitionBy("sample_type").orderBy(F.sha2(F.concat_ws("|", "s1_id", "target_id"), 256), "s1_id", "target_id"))
     return pairs.withColumn("_r", order).filter(F.col("_r") <= limit).drop("_r")
 
 

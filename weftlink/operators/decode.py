@@ -30,8 +30,8 @@ class Decoder:
         return self.source_thresholds.get(source, self.threshold or 0.0)
 
 
-def pairs(scored: DataFrame, d: Decoder, by: tuple[str, ...] = (), threshold: Column | None = None, margin: Column | None = None, top_k: Column | None = None) -> DataFrame:
-    """The pairs that stay. ``by`` are further keys, so that several settings are decoded in one plan."""
+def pairs(scored: DataFrame, d: Decoder, by: tuple[str, ...] = (), threshold: Column | None = None, margin: Column | None = None, top_k: Column | None = None, owned: Column | None = None) -> DataFrame:
+    """The pairs that stay. ``by`` are further keys, so that several settings are decoded in one plan; ``owned`` says which of them let a target have one owner only."""
     best = F.row_number().over(Window.partitionBy(*by, "s1_id", "target_id").orderBy(F.desc("score"), "target_source"))
     df = scored.withColumn("_n", best).filter("_n = 1")
     if d.min_evidence is not None:
@@ -47,11 +47,12 @@ def pairs(scored: DataFrame, d: Decoder, by: tuple[str, ...] = (), threshold: Co
         df = df.withColumn("_n", rank).filter(F.col("_n") <= k)
     if d.ownership:
         order = Window.partitionBy(*by, "target_id").orderBy(F.desc("score"), "s1_id")
-        df = df.withColumns({"_n": F.row_number().over(order), "_next": F.lead("score").over(order)}).filter("_n = 1")
+        free = ~owned if owned is not None else F.lit(False)
+        df = df.withColumns({"_n": F.row_number().over(order), "_next": F.lead("score").over(order)}).filter(free | (F.col("_n") == 1))
         m = margin if margin is not None else F.lit(float(d.margin))
         gap = F.col("score") - F.col("_next")
         # A gap counts as the margin when it is as close as numpy's isclose asks.
-        df = df.filter(F.col("_next").isNull() | (gap >= m) | (F.abs(gap - m) <= 1e-12 + 1e-12 * F.abs(m)))
+        df = df.filter(free | F.col("_next").isNull() | (gap >= m) | (F.abs(gap - m) <= 1e-12 + 1e-12 * F.abs(m)))
     return df.drop("_n", "_next")
 
 
@@ -61,28 +62,36 @@ def decode(scored: DataFrame, s1: DataFrame, d: Decoder) -> DataFrame:
     return s1.select("s1_id").join(lists, "s1_id", "left").select("s1_id", F.coalesce("targets", F.array().cast("array<string>")).alias("targets"))
 
 
-def search(scored: DataFrame, truth: DataFrame, s1: DataFrame, thresholds=(0.3, 0.5, 0.7), ks=(1, 3), margins=(0.0,), source_offsets=((0.0, 0.0),)) -> DataFrame:
-    """Macro F of each setting, the best first; ties (to 1e-9) prefer higher thresholds, then larger margins, then smaller k.
+def search(scored: DataFrame, truth: DataFrame, s1: DataFrame, thresholds=(0.3, 0.5, 0.7), ks=(1, 3), owners=((True, 0.0),), source_thresholds=None) -> DataFrame:
+    """Macro F of each setting, the best first; ties (to 1e-9) prefer higher thresholds (global, S2, S3), then larger margins, then smaller k.
 
-    Settings are a small table joined to the scores, and a key of every window, so the grid is one plan.
+    ``owners`` are (ownership, margin); ``source_thresholds`` are (S2, S3) pairs, by
+    default the global threshold for both. Settings are a small table joined to the
+    scores, and a key of every window, so the grid is one plan.
     """
     spark = scored.sparkSession
-    grid = [(i, float(t), float(t + a), float(t + b), k, float(m)) for i, (t, k, m, (a, b)) in enumerate(product(thresholds, ks, margins, source_offsets))]
-    settings = F.broadcast(spark.createDataFrame(grid, "setting int, threshold double, t2 double, t3 double, k int, m double"))
-    df = scored.crossJoin(settings)
+    pairs_of = lambda t: source_thresholds if source_thresholds is not None else ((t, t),)
+    rows = [(float(t), float(a), float(b), k, bool(o), float(m)) for t in thresholds for a, b in pairs_of(t) for k, (o, m) in product(ks, owners)]
+    grid = [(i, *r) for i, r in enumerate(rows)]
+    settings = F.broadcast(spark.createDataFrame(grid, "setting int, threshold double, t2 double, t3 double, k int, owned boolean, m double"))
+    # The lowest threshold searched cuts the scores before they meet the settings.
+    df = scored.filter(F.col("score") >= min(min(r[1], r[2]) for r in rows)).crossJoin(settings)
     cut = F.when(F.col("target_source") == "S2", F.col("t2")).otherwise(F.col("t3"))
-    kept = pairs(df, Decoder(ownership=True), by=("setting",), threshold=cut, margin=F.col("m"), top_k=F.col("k"))
-    hit = kept.join(truth.select("s1_id", "target_id").distinct().withColumn("_t", F.lit(1)), ["s1_id", "target_id"], "left").groupBy("setting", "s1_id").agg(F.count("*").alias("n_pred"), F.count("_t").alias("tp"))
+    kept = pairs(df, Decoder(ownership=True), by=("setting",), threshold=cut, margin=F.col("m"), top_k=F.col("k"), owned=F.col("owned"))
+    marked = truth.select("s1_id", "target_id").distinct().withColumn("_t", F.lit(1))
+    hit = kept.join(marked, ["s1_id", "target_id"], "left").groupBy("setting", "s1_id").agg(F.count("*").alias("n_pred"), F.count("_t").alias("tp"))
     n_true = truth.groupBy("s1_id").agg(F.countDistinct("target_id").alias("n_true"))
-    rows = s1.select("s1_id").crossJoin(settings).join(n_true, "s1_id", "left").join(hit, ["setting", "s1_id"], "left").fillna(0, ["n_true", "n_pred", "tp"])
+    per = s1.select("s1_id").crossJoin(settings).join(n_true, "s1_id", "left").join(hit, ["setting", "s1_id"], "left").fillna(0, ["n_true", "n_pred", "tp"])
     f = metrics.f_beta(F.col("tp"), F.col("n_pred"), F.col("n_true"))
-    out = rows.groupBy("setting", "threshold", "t2", "t3", "k", "m").agg(F.round(F.avg(f), 9).alias("macro_f"))
-    return out.orderBy(F.desc("macro_f"), F.desc("threshold"), F.desc("t2"), F.desc("t3"), F.desc("m"), "k")
-
-
-def tune(scored: DataFrame, truth: DataFrame, s1: DataFrame) -> Decoder:
-    """A coarse grid, then a finer one around its best setting."""
-    best = search(scored, truth, s1, thresholds=[i / 10 for i in range(1, 10)], ks=(1, 2, 3, 5, 8)).first()
-    near = [round(best["threshold"] + x / 100, 4) for x in (-6, -4, -2, 0, 2, 4, 6)]
-    best = search(scored, truth, s1, thresholds=near, ks=(best["k"],), margins=(best["m"],)).first()
-    return Decoder(threshold=best["threshold"], top_k=best["k"], ownership=True, margin=best["m"])
+    out = per.groupBy("setting", "threshold", "t2", "t3", "k", "owned", "m").agg(F.round(F.avg(f), 9).alias("macro_f"))
+    return out.orderBy(F.desc("macro_f"), F.desc("threshold"), F.desc("t2"), F.desc("t3"), F.desc("m"), "k", "owned")
+
+
+def tune(scored: DataFrame, truth: DataFrame, s1: DataFrame, thresholds=(0.3, 0.5, 0.7, 0.8, 0.9), ks=(1, 3, 5), step: float = 0.05) -> Decoder:
+    """Thresholds, sizes and ownership (off, on, on with a margin of 0.05) first, then seven settings of both sources' thresholds around the best."""
+    best = search(scored, truth, s1, thresholds, ks, ((False, 0.0), (True, 0.0), (True, 0.05))).first()
+    at = best["threshold"]
+    held = lambda x: min(1.0, max(0.0, round(at + x, 9)))
+    near = [(held(a), held(b)) for a, b in ((0, 0), (-step, -step), (step, step), (-step, 0), (0, -step), (step, 0), (0, step))]
+    best = search(scored, truth, s1, (at,), (best["k"],), ((best["owned"], best["m"]),), near).first()
+    return Decoder(threshold=at, source_thresholds={"S2": best["t2"], "S3": best["t3"]}, top_k=best["k"], ownership=best["owned"], margin=best["m"])

@@ -15,10 +15,11 @@ from . import fusion, metrics
 class Gates:
     """What a setting must reach: recall and oracle score at least, mean and 95th percentile of candidates at most."""
 
-    recall: float = 0.95
-    oracle_f: float = 0.97
-    mean: float = 100.0
-    p95: float = 150.0
+    # The default gates.
+    recall: float = 0.985
+    oracle_f: float = 0.99
+    mean: float = 50.0
+    p95: float = 100.0
 
     def volume(self, m: dict) -> bool:
         return m["mean"] <= self.mean and m["p95"] <= self.p95

@@ -40,14 +40,17 @@ def provenance(evidence: DataFrame, channels: tuple[str, ...] = CHANNELS) -> Dat
 
 
 def aggregated(evidence: DataFrame, k: int = K, depth: int = 80, channels: tuple[str, ...] = CHANNELS) -> DataFrame:
-    """Pairs with reciprocal-rank scores: 1 / (k + rank) of each channel, sums by family, and ranks normalised by depth."""
+    """Pairs with reciprocal-rank scores: 1 / (k + rank) of each channel, sums by family, and ranks normalised by depth.
+
+    The sums of names and addresses hold all channels of the field, exact ones too.
+    """
     p = evidence.groupBy(*PAIR).pivot("channel", list(channels)).agg(F.min("channel_rank"))
     content = evidence.groupBy(*PAIR).agg(F.min("target_content_key").alias("target_content_key"))
     rrf = {c: F.coalesce(1 / (k + F.col(c)), F.lit(0.0)) for c in channels}
     total = lambda test: sum((rrf[c] for c in channels if test(c)), F.lit(0.0))
     out = p.select(
         *PAIR, *[rrf[c].alias(f"rrf_{c}") for c in channels], *[F.coalesce(1 - (F.col(c) - 1) / (depth - 1), F.lit(0.0)).alias(f"normalized_rank_{c}") for c in channels],
-        total(lambda c: c.startswith("name")).alias("rrf_name"), total(lambda c: c.startswith("address")).alias("rrf_address"),
+        total(lambda c: "name" in c).alias("rrf_name"), total(lambda c: "address" in c).alias("rrf_address"),
         total(lambda c: c.startswith("exact_name")).alias("rrf_exact_name"), total(lambda c: c.startswith("exact_address")).alias("rrf_exact_address"), total(lambda c: True).alias("rrf_total"),
         sum((F.col(c).isNotNull().cast("int") for c in channels), F.lit(0)).alias("supporting_channels"),
         F.coalesce(*[F.when(F.col(c).isNotNull(), True) for c in channels if c.startswith("exact_name")], F.lit(False)).alias("exact_name"),
@@ -78,19 +81,34 @@ class FusionSpec:
         return f"{self.strategy}:{budgets}" + (f":rescue={self.rescue_budget}" if self.rescue_budget else "")
 
 
-def specs(budgets=(20, 40, 80), strategies=("rrf", "exact_first"), sources=("S2", "S3"), rescue=(0,)) -> list[FusionSpec]:
-    out = [FusionSpec(s, b, None, r) for s in strategies for b in budgets for r in rescue]
-    return out + [FusionSpec("source_specific", None, {x: b for x in sources}, r) for b in budgets for r in rescue]
+def specs(budgets=(20, 40, 80), strategies=("rrf", "exact_first"), source_budgets=(), adaptive=None, weights=None) -> list[FusionSpec]:
+    """The grid: for each strategy each global budget and each (S2, S3) pair of budgets, then the adaptive (base, rescue) budgets.
 
-
-def fusion_score(spec: FusionSpec) -> Column:
+    ``weights`` go to the source-specific strategy, which can't be scored without them.
+    """
+    own = lambda s: dict(weights or {}) if s == "source_specific" else {}
+    out = []
+    for s in strategies:
+        out += [FusionSpec(s, b, weights=own(s)) for b in budgets]
+        out += [FusionSpec(s, None, {"S2": x, "S3": y}, weights=own(s)) for x, y in source_budgets]
+    if adaptive is not None:
+        base, rescue = adaptive
+        out += [FusionSpec(s, base, rescue_budget=rescue, weights=own(s)) for s in strategies]
+    return out
+
+
+def fusion_score(spec: FusionSpec, sources: tuple[str, ...] = ("S2", "S3")) -> Column:
+    """The sum over channels, or for each source its weights times fuzzy names, fuzzy addresses and exact channels."""
     if spec.strategy != "source_specific":
         return F.col("rrf_total")
+    if lacking := [s for s in sources if set(spec.weights.get(s, ())) != {"name", "address", "exact"}]:
+        raise ValueError(f"weights of name, address and exact are needed for {', '.join(lacking)}")
     out = F.lit(None).cast("double")
     for source, w in spec.weights.items():
-        own = w.get("name", 1.0) * F.col("rrf_name") + w.get("address", 1.0) * F.col("rrf_address") + w.get("exact", 1.0) * (F.col("rrf_exact_name") + F.col("rrf_exact_address"))
+        fuzzy = lambda f: F.col(f"rrf_{f}") - F.col(f"rrf_exact_{f}")
+        own = w["name"] * fuzzy("name") + w["address"] * fuzzy("address") + w["exact"] * (F.col("rrf_exact_name") + F.col("rrf_exact_address"))
         out = F.when(F.col("target_source") == source, own).otherwise(out)
-    return F.coalesce(out, F.col("rrf_total"))
+    return out
 
 
 def _with_ties(rank: Column, take: Column, key: Column, group) -> Column:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import hashing, views
+from ..functions import hashing, ratios, views
 from ..operators import audit, blocking, decode, features, fusion, metrics, profile, ranker, sampling, sinks, tfidf
 from ..sources import entities as source
 from ..sources import records
@@ -282,8 +282,114 @@ def miss_flag_table(spark, d):
 
 def taxonomy_flags(spark, d):
     e = _e(spark, d)
-    pairs = _evidence(e).filter("channel = 'name_char_tfidf' and channel_rank = 1").select("s1_id", "target_id")
-    return audit.flag_table(audit.variations(pairs, e, STRICT), audit.VARIATIONS)
+    return audit.flag_table(audit.variations(_varied(e), e, STRICT), audit.TAXONOMY)
+
+
+def _varied(e: DataFrame) -> DataFrame:
+    """The best fuzzy name of each query and source; present where the address has a channel too."""
+    best = _fuzzy(e, "business_name", "name_char_tfidf").filter("channel_rank = 1").select("s1_id", "target_id")
+    address = _exact(e).filter("field = 'address'").select("s1_id", "target_id").distinct().withColumn("_a", F.lit(True))
+    return best.join(address, ["s1_id", "target_id"], "left").select("s1_id", "target_id", F.coalesce("_a", F.lit(False)).alias("present"))
+
+
+def taxonomy_pairs(spark, d):
+    """The flags that need no edit ratio and no script names."""
+    e = _e(spark, d)
+    names = [x for x in audit.TAXONOMY if x not in ("typographical_corruption", "cross_language_like", "other_unknown")]
+    return audit.variations(_varied(e), e, STRICT).select("s1_id", "target_id", *names)
+
+
+def miss_categories(spark, d):
+    return audit.category_table(miss_audit(spark, d))
+
+
+def miss_overlaps(spark, d):
+    return audit.overlaps(miss_audit(spark, d))
+
+
+def truth_summary(spark, d):
+    return records.truth_summary(source.truth_file(_e(spark, d)))
+
+
+def truth_onto_s2(spark, d):
+    return records.onto_source(_truth(_e(spark, d)), "S2").select("s1_id", F.array_join("targets", ",").alias("targets"))
+
+
+def fetched_targets(spark, d):
+    """The records of all true targets; a target without one is an error."""
+    e = _e(spark, d)
+    return records.fetch(e, source.edges(e).select(F.col("target_id").alias("entity_id"))).select("entity_id", "business_name", "country")
+
+
+def _sample(e: DataFrame) -> DataFrame:
+    rows = sampling.lowest_hashes(_strata(e).select("s1_id", "tie"), "tie", 30)
+    return rows.withColumn("_order", F.row_number().over(Window.orderBy("tie", "s1_id")))
+
+
+def sampled_queries(spark, d):
+    e = _e(spark, d)
+    return records.sample_queries(e, _sample(e)).select("entity_id", "business_name", F.col("_order").alias("place"))
+
+
+def sampled_truth(spark, d):
+    e = _e(spark, d)
+    return records.sample_truth(_truth(e), _sample(e)).select("s1_id", F.array_join("targets", ",").alias("targets"))
+
+
+def hash_prefilter(spark, d):
+    """Records whose content hash modulo 100 is below 3."""
+    tie = hashing.tie_key(F.col("business_name"), F.col("business_address"), F.col("country"))
+    return _e(spark, d).select("entity_id", hashing.bucket(tie, 100).alias("bucket")).filter("bucket < 3")
+
+
+def seeded_order(spark, d):
+    return source.edges(_e(spark, d)).select("s1_id", "target_id", hashing.seeded(13, F.col("s1_id"), F.col("target_id")).alias("order_key"))
+
+
+def redacted_keys(spark, d):
+    return _e(spark, d).select("entity_id", hashing.redacted(F.col("business_name"), F.col("business_address")).alias("redacted"))
+
+
+def digit_agreement(spark, d):
+    e = _e(spark, d)
+    pairs = _exact(e).select("s1_id", "target_id").distinct()
+    return blocking.with_digit_agreement(pairs, e, STRICT).select("s1_id", "target_id", "digit_overlap", "digits_equal")
+
+
+def fold_counts(spark, d):
+    t = sampling.fold_table(folds(spark, d), 5)
+    return t.select("stratum", *[F.col(str(i)).cast("long").alias(f"fold_{i}") for i in range(5)])
+
+
+def token_overlap_neutral(spark, d):
+    """Token Jaccard and length ratio of name pairs, 1 where both are empty."""
+    e = _e(spark, d)
+    own = e.select("entity_id", views.field(F.col("business_name"), STRICT).alias("n"))
+    pairs = source.edges(e).select("s1_id", "target_id")
+    df = pairs.join(own.select(F.col("entity_id").alias("s1_id"), F.col("n").alias("q")), "s1_id").join(own.select(F.col("entity_id").alias("target_id"), F.col("n").alias("t")), "target_id")
+    q, t = F.col("q"), F.col("t")
+    return df.select("s1_id", "target_id", F.round(ratios.jaccard(q["tokens"], t["tokens"], 1.0), 9).alias("jaccard"), F.round(ratios.length_ratio(F.length(q["unicode"]), F.length(t["unicode"]), 1.0), 9).alias("lengths"))
+
+
+def per_s1_scores(spark, d):
+    """Counts and F0.5 of each S1 under the fallback decoder."""
+    e = _e(spark, d)
+    matches = decode.pairs(sinks.fallback_scores(fusion.observed(_exact(e).select(*COLUMNS), fusion.Budget())), sinks.FALLBACK)
+    return metrics.per_s1(source.edges(e), matches, _s1(e)).withColumn("f", F.round("f", 9))
+
+
+def source_specific_scores(spark, d):
+    """Weighted fusion scores by source."""
+    weights = {"S2": {"name": 1.0, "address": 0.5, "exact": 2.0}, "S3": {"name": 0.7, "address": 1.0, "exact": 1.5}}
+    a = fusion.aggregated(_evidence(_e(spark, d)))
+    score = fusion.fusion_score(fusion.FusionSpec("source_specific", 40, weights=weights))
+    return a.select("s1_id", "target_id", "target_source", F.round(score, 9).alias("fusion_score"))
+
+
+def norm_views_strict_ascii(spark, d):
+    """The strict views of names in ASCII, where case folding is lower-casing."""
+    ascii_ids = _e(spark, d).filter(~F.col("business_name").rlike(r"[^\x00-\x7F]")).select("entity_id")
+    return norm_views_strict(spark, d).join(ascii_ids, "entity_id", "left_semi")
 
 
 def _strata(e):

@@ -126,7 +126,7 @@ O["provenance"] = q(ALL, select=f"""select s1_id, target_id, target_source, bool
   {_ch.format('name_char_tfidf', 'retrieval_score')} as score_name_char_tfidf, coalesce({_ch.format('name_char_tfidf', 'channel_rank::int')}, 0) as rank_name_char_tfidf, {_ch.format('address_char_tfidf', 'retrieval_score')} as score_address_char_tfidf,
   coalesce({_ch.format('address_char_tfidf', 'channel_rank::int')}, 0) as rank_address_char_tfidf, bool_or(channel = 'exact_name_accent_folded') as has_exact_name_accent_folded from ev group by 1, 2, 3""")
 _rrf = "round(coalesce(sum(case when {0} then 1.0::double / (60 + channel_rank) end), 0.0), 9) as {1}"
-O["rrf_pivot"] = q(ALL, select=f"""select s1_id, target_id, target_source, {_rrf.format("channel = 'name_char_tfidf'", 'rrf_name')}, {_rrf.format("channel = 'address_char_tfidf'", 'rrf_address')}, {_rrf.format("channel like 'exact_name%'", 'rrf_exact_name')}, {_rrf.format("channel like 'exact_address%'", 'rrf_exact_address')},
+O["rrf_pivot"] = q(ALL, select=f"""select s1_id, target_id, target_source, {_rrf.format("channel like '%name%'", 'rrf_name')}, {_rrf.format("channel like '%address%'", 'rrf_address')}, {_rrf.format("channel like 'exact_name%'", 'rrf_exact_name')}, {_rrf.format("channel like 'exact_address%'", 'rrf_exact_address')},
   {_rrf.format('true', 'rrf_total')}, round(coalesce(max(case when channel = 'name_char_tfidf' then 1 - (channel_rank - 1) / 9.0::double end), 0.0), 9) as normalized_rank_name_char_tfidf, count(*) as supporting_channels from ev group by 1, 2, 3""")
 _take = """rk as (select *, row_number() over (partition by s1_id, x order by {score} desc, {n} desc, tie, {last}) as r, sum(x::int) over (partition by s1_id) as ne from {t}),
 ed as (select *, max(case when r = greatest({b} - ne, 0) then {score} end) over (partition by s1_id, x) as e1, max(case when r = greatest({b} - ne, 0) then {n} end) over (partition by s1_id, x) as e2, max(case when r = greatest({b} - ne, 0) then tie end) over (partition by s1_id, x) as e3 from rk),
@@ -184,9 +184,75 @@ _sup = """select s1_id, target_id, target_source, round(sum(1.0::double / (60 +
   sum((channel like '%address%')::int)::int as address_support_count, bool_or(channel like '%address%')::int as has_address_support, case when target_source = 'S2' then count(*) else 0 end::int as s2_support_count, (target_source = 'S2')::int as has_s2_support,
   case when target_source = 'S3' then count(*) else 0 end::int as s3_support_count, (target_source = 'S3')::int as has_s3_support from ev group by 1, 2, 3"""
 O["support_features"] = q(ALL, select=_sup)
-O["miss_audit"] = q(ALL, "sel as (select distinct s1_id, target_id from exact where field = 'address')", "fd as (select t.s1_id, count(*) as n_found from edges t join sel using (s1_id, target_id) group by 1)", "mt as (select s1_id, count(*) as n_true from edges group by 1)", "sn as (select s1_id, target_id, list(distinct channel) as channels, min(channel_rank) as best_rank, bool_and(exact_match) as only_exact from ev group by 1, 2)", "sg as (select entity_id, country, n_uni, a_uni, count(*) over (partition by country, n_uni, a_uni) as fr from v)", """fl as (select t.s1_id, t.target_id, t.target_source, coalesce(len(channels), 0) = 0 as never_retrieved, a.n_uni = '' or b.n_uni = '' or len(list_filter(coalesce(channels, []), lambda x: contains(x, 'name'))) = 0 as weak_or_missing_name, a.a_uni = '' or b.a_uni = '' as missing_address, a.country <> b.country as other_country,
-  n_true > 1 and coalesce(n_found, 0) > 0 as multi_match_truncation, greatest(a.fr, b.fr) > 1 as common_signature, coalesce(best_rank > 20, false) as low_rank, coalesce(only_exact, false) as exact_only, coalesce(len(channels), 0) = 1 as single_channel, a.country = 'en' as watched_country, t.target_source = 'S3' as watched_source
-  from edges t left join sn using (s1_id, target_id) left join fd on fd.s1_id = t.s1_id join mt on mt.s1_id = t.s1_id join sg a on a.entity_id = t.s1_id join sg b on b.entity_id = t.target_id where not exists (select 1 from sel where sel.s1_id = t.s1_id and sel.target_id = t.target_id))""", select="""select *, case when never_retrieved then 'never_retrieved' when weak_or_missing_name then 'weak_or_missing_name' when missing_address then 'missing_address' when other_country then 'other_country' when multi_match_truncation then 'multi_match_truncation' when common_signature then 'common_signature' when low_rank then 'low_rank' when exact_only then 'exact_only' when single_channel then 'single_channel' else 'other' end as primary_category from fl""")
+_bare = rf"regexp_replace(regexp_replace({{0}}, '{_suffix}', ''), '^[ ,.]+|[ ,.]+$', '', 'g')"
+_words = r"regexp_extract_all({0}, '[\p{{L}}\p{{N}}_]+')"
+#: What the audit compares of each record.
+CONTENTS = f"""ct as (select *, {punct('business_name')} as p, strip_accents({punct('business_name')}) as sf, {_bare.format(punct('business_name'))} as bare,
+  list_sort({_words.format(f"strip_accents({punct('business_name')})")}) as sorted, {_words.format('n_fold')} as toks, regexp_replace(n_fold, '[^\\p{{L}}\\p{{N}}_]', '', 'g') as compact,
+  {missing('business_name')} as n_m, {missing('business_address')} as a_m, case when a_uni = '' then [] else regexp_extract_all({lowered('business_address')}, '\\d+') end as digits, count(*) over (partition by source, country, n_uni, a_uni) as fr from v)"""
+AUDIT = [
+    "sel as (select distinct s1_id, target_id from exact where field = 'address')",
+    "te as (select distinct s1_id, target_id, target_source from edges)",
+    "fd as (select t.s1_id, count(*) as n_found from te t join sel using (s1_id, target_id) group by 1)",
+    "mt as (select s1_id, count(*) as n_true from te group by 1)",
+    "sn as (select s1_id, target_id, bool_or(channel like '%name%') as by_name, bool_or(channel like '%address%') as by_address from ev group by 1, 2)",
+    CONTENTS,
+    """fl as (select t.s1_id, t.target_id, t.target_source, a.country, b.a_m as target_address_missing, a.n_m or b.n_m or not coalesce(by_name, false) as weak_or_missing_name_evidence,
+  coalesce(by_name, false) as name_retrieved_below_selected_budget, coalesce(by_address, false) as address_retrieved_below_selected_budget, by_name is null as absent_from_every_existing_top80_channel,
+  b.fr > 1 as duplicate_common_normalized_signature, a.p <> '' and a.p <> b.p and a.sf = b.sf as accent_unicode_normalization_issue,
+  a.p <> '' and a.p <> b.p and (a.bare = b.bare or a.sorted = b.sorted) as legal_suffix_or_token_order_variation, a.country = 'en' as india_specific_concentration, t.target_source = 'S3' as s3_specific_concentration,
+  n_true > 1 and coalesce(n_found, 0) > 0 as multi_match_truncation, substr(sha256(concat_ws(chr(31), a.business_name, a.business_address, b.business_name, b.business_address)), 1, 16) as redacted_content_key
+  from te t left join sn using (s1_id, target_id) left join fd on fd.s1_id = t.s1_id join mt on mt.s1_id = t.s1_id join ct a on a.entity_id = t.s1_id join ct b on b.entity_id = t.target_id
+  where not exists (select 1 from sel where sel.s1_id = t.s1_id and sel.target_id = t.target_id))""",
+    """audit as (select *, case when absent_from_every_existing_top80_channel then case when target_address_missing then 'absent_top80_target_address_missing' when weak_or_missing_name_evidence then 'absent_top80_weak_name'
+  when accent_unicode_normalization_issue then 'absent_top80_accent_unicode' when legal_suffix_or_token_order_variation then 'absent_top80_name_variation' when duplicate_common_normalized_signature then 'absent_top80_common_signature' else 'absent_top80_other' end
+  when multi_match_truncation then 'multi_match_truncation' when name_retrieved_below_selected_budget then 'name_evidence_fusion_truncation' when address_retrieved_below_selected_budget then 'address_evidence_fusion_truncation' else 'other_fusion_truncation' end as primary_category from fl)""",
+]
+_FLAGS = (
+    "target_address_missing", "weak_or_missing_name_evidence", "name_retrieved_below_selected_budget", "address_retrieved_below_selected_budget", "absent_from_every_existing_top80_channel",
+    "duplicate_common_normalized_signature", "accent_unicode_normalization_issue", "legal_suffix_or_token_order_variation", "india_specific_concentration", "s3_specific_concentration", "multi_match_truncation",
+)
+_LONG = "lg as (" + " union all ".join(f"select s1_id, target_id, '{x}' as flag from audit where {x}" for x in _FLAGS) + ")"
+O["miss_audit"] = q(ALL, *AUDIT, select="select * from audit")
+O["miss_flag_table"] = q(ALL, *AUDIT, _LONG, "rk as (select *, row_number() over (partition by flag order by s1_id, target_id) as r from lg)", select="""
+select flag, count(*) as n_rows, count(*) / (select count(*) from audit)::double as share, string_agg(s1_id || '>' || target_id, ';' order by s1_id || '>' || target_id) filter (r <= 3) as examples from rk group by 1""")
+O["miss_categories"] = q(ALL, *AUDIT, select="select primary_category, count(*) as n_rows, min(redacted_content_key) as example from audit group by 1")
+O["miss_overlaps"] = q(ALL, *AUDIT, _LONG, select="select a.flag as flag_a, b.flag as flag_b, count(*) as n_rows from lg a join lg b on a.s1_id = b.s1_id and a.target_id = b.target_id and a.flag < b.flag group by 1, 2")
+_short = "(len({0}.toks) > 1 and list_reduce(list_concat([''], list_transform({0}.toks, lambda w: w[1])), lambda x, y: x || y) = {1}.compact)"
+_differ = "(a.n_uni <> '' and b.n_uni <> '' and a.n_uni <> b.n_uni)"
+O["taxonomy_pairs"] = q(ALL, CONTENTS, "pr as (select s1_id, target_id, exists (select 1 from exact x where x.field = 'address' and x.s1_id = nm_t.s1_id and x.target_id = nm_t.target_id) as present from nm_t where channel_rank = 1)", select=f"""
+select pr.s1_id, pr.target_id, a.n_uni = '' or b.n_uni = '' as missing_or_null_name, a.a_uni = '' or b.a_uni = '' as missing_address,
+  (length(a.n_uni) < 3 and length(a.a_uni) < 5) or (length(b.n_uni) < 3 and length(b.a_uni) < 5) as both_fields_sparse, {_differ} and a.n_fold = b.n_fold as accent_unicode, {_differ} and a.bare <> '' and a.bare = b.bare as legal_suffix,
+  {_differ} and list_sort(a.toks) = list_sort(b.toks) as token_reorder, {_differ} and a.compact = b.compact as token_segmentation, {_differ} and ({_short.format('a', 'b')} or {_short.format('b', 'a')}) as abbreviation_initials,
+  len(a.digits) > 0 and len(b.digits) > 0 and a.digits <> b.digits as digit_address_conflict, present as fusion_truncation, not present as absent_every_channel
+from pr join ct a on a.entity_id = pr.s1_id join ct b on b.entity_id = pr.target_id""")
+O["truth_summary"] = q(E, EDGES, LISTS, select="select count(*) as n_rows, sum(len(targets))::bigint as positive_edges from lists")
+O["truth_onto_s2"] = q(E, EDGES, LISTS, select="select s1_id, array_to_string(list_filter(targets, lambda t: starts_with(t, 'S2-')), ',') as targets from lists")
+O["fetched_targets"] = q(E, EDGES, select="select entity_id, business_name, country from e where entity_id in (select target_id from edges)")
+_SAMPLE = "sm as (select entity_id as s1_id, tie, row_number() over (order by tie, entity_id) as place from v where source = 'S1' and tie in (select distinct tie from v where source = 'S1' order by tie limit 30))"
+O["sampled_queries"] = q(E, V, _SAMPLE, select="select entity_id, business_name, place::int as place from sm join e on e.entity_id = sm.s1_id")
+O["sampled_truth"] = q(E, EDGES, LISTS, V, _SAMPLE, select="select sm.s1_id, array_to_string(targets, ',') as targets from sm join lists on lists.s1_id = sm.s1_id")
+O["hash_prefilter"] = q(E, V, select="select entity_id, ('0x' || substr(tie, 1, 8))::bigint % 100 as bucket from v where ('0x' || substr(tie, 1, 8))::bigint % 100 < 3")
+O["seeded_order"] = q(E, EDGES, select="""select s1_id, target_id, sha256('[13, "' || s1_id || '", "' || target_id || '"]') as order_key from edges""")
+O["redacted_keys"] = q(E, select="select entity_id, substr(sha256(concat_ws(chr(31), business_name, business_address)), 1, 16) as redacted from e")
+_runs = rf"regexp_extract_all({lowered('business_address')}, '\d+')"
+O["digit_agreement"] = q(E, V, KEYS, EXACT, f"dg as (select entity_id, {_runs} as d from e)", select="select x.s1_id, x.target_id, len(list_intersect(a.d, b.d)) > 0 as digit_overlap, len(a.d) > 0 and a.d = b.d as digits_equal from (select distinct s1_id, target_id from exact) x join dg a on a.entity_id = x.s1_id join dg b on b.entity_id = x.target_id")
+O["fold_counts"] = f"select stratum, {', '.join(f'sum((fold = {i})::int)::bigint as fold_{i}' for i in range(5))} from ({O['folds']}) group by 1"
+O["token_overlap_neutral"] = q(E, EDGES, V, f"tk as (select entity_id, n_uni, {_words.format('n_fold')} as w from v)", select="""
+select t.s1_id, t.target_id, round(case when len(a.w) = 0 and len(b.w) = 0 then 1.0 else len(list_intersect(list_distinct(a.w), list_distinct(b.w))) / len(list_distinct(list_concat(a.w, b.w)))::double end, 9) as jaccard,
+  round(case when a.n_uni = '' and b.n_uni = '' then 1.0 else least(length(a.n_uni), length(b.n_uni)) / greatest(length(a.n_uni), length(b.n_uni))::double end, 9) as lengths from edges t join tk a on a.entity_id = t.s1_id join tk b on b.entity_id = t.target_id""")
+O["per_s1_scores"] = q(E, EDGES, V, KEYS, EXACT, S1, FALLBACK, PER.format("ow"), select=f"select s1_id, n_true, n_pred, tp, round({F}, 9) as f from ps")
+O["source_specific_scores"] = q(ALL, """ws as (select s1_id, target_id, target_source, channel, 1.0::double / (60 + channel_rank) * case when channel like 'exact%' then case when target_source = 'S2' then 2.0 else 1.5 end
+  when channel like '%name%' then case when target_source = 'S2' then 1.0 else 0.7 end else case when target_source = 'S2' then 0.5 else 1.0 end end as w from ev)""", select="select s1_id, target_id, target_source, round(sum(w), 9) as fusion_score from ws group by 1, 2, 3")
+O["norm_views_strict_ascii"] = f"select * from ({O['norm_views']}) where entity_id in (with {E} select entity_id from e where not regexp_matches(business_name, '[^\\x00-\\x7F]'))"
+_BLOCKS = r"""bk as (
+  select entity_id, source, country, tie, 'name_prefix' as sample_type, substr(c, 1, 6) as block from cp where length(c) >= 6 union all select entity_id, source, country, tie, 'address_prefix', substr(ac, 1, 8) from cp where length(ac) >= 8
+  union all select entity_id, source, country, tie, 'exact_name', n_fold from cp where n_fold <> ''),
+fw as (select * from (select *, row_number() over (partition by sample_type, country, block, source = 'S1' order by tie, entity_id) as r from bk) where r <= 8),
+nx as (select a.entity_id as s1_id, b.entity_id as target_id, b.source as target_source, a.sample_type, row_number() over (partition by a.sample_type order by sha256(a.entity_id || '|' || b.entity_id), a.entity_id, b.entity_id) as r
+  from fw a join fw b on a.sample_type = b.sample_type and a.country = b.country and a.block = b.block where a.source = 'S1' and b.source <> 'S1' and not exists (select 1 from edges t where t.s1_id = a.entity_id and t.target_id = b.entity_id))"""
+_compact = r"regexp_replace({0}, '[^\p{{L}}\p{{N}}_]', '', 'g')"
+O["prefix_block_negatives"] = q(E, EDGES, V, f"cp as (select *, {_compact.format('n_fold')} as c, {_compact.format('a_fold')} as ac from v)", _BLOCKS, select="select s1_id, target_id, target_source, sample_type from nx where r <= 500")
 
 
 def _sides(f: str, u: str, d: str, raw: str) -> str:
