@@ -6,13 +6,12 @@ return the columns of documents; the last returns packed pieces.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftlink.llm import decontaminate, jaccard, packing, quality, secrets
+from weftlink.llm import common, decontaminate, jaccard, packing, quality, secrets
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A side of fewer rows than this is broadcast; rows are 32-character digests.
@@ -29,7 +28,7 @@ def _sized(df: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go; boilerplate lines go from the others."""
+    """Rejected documents go, null and empty texts with them; boilerplate lines go from the others."""
     kept = quality.judge(docs, rest=True).filter("kept")
     return _sized(kept.withColumn("text", F.col("text_left")), docs)
 
@@ -45,7 +44,7 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go; whether one does depends on its text alone."""
+    """Documents that hold a benchmark item go; whether one does depends on its text alone. Null and empty texts stay."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     mine = docs.withColumn("_md5", _md5())
     found = _written(decontaminate.find(mine.select("_md5", "text"), items, key="_md5").select("_md5").distinct())
@@ -55,12 +54,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are blanked out of the texts."""
+    """Secrets are blanked out of the texts; null texts stay null. Every row stays."""
     found = secrets.scan(docs)
     return _sized(found.withColumn("text", secrets.redacted(F.col("text"), F.col("secrets"))), docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, packed; a null or empty text is one piece of the end id. An empty table gives none."""
     return packing.pack(docs.select("doc_id", "text"))
 
 
@@ -79,8 +79,7 @@ ORACLE_SQL = None
 def _written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder."""
     spark = df.sparkSession
-    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftlink-")
-    path = f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
+    path = f"{common.shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
 
