@@ -1,6 +1,7 @@
 """The corpus operators against brute force on small fixtures, with nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -733,6 +734,38 @@ def test_op10_base_spans_and_random_ones(spark):
     assert found(50, 90) == 0
 
 
+def test_op10_p_values(spark):
+    """The approximation of the tests' p-values, against the error function."""
+    z = [-3.0, -1.0, 0.0, 0.5, 1.96, 2.5, 5.0]
+    rows = [(x, sides) for x in z for sides in (1, 2)]
+    df = spark.createDataFrame(rows, "z double, sides int")
+    got = df.select("z", "sides", secrets._p_values(F.array(F.struct("z", "sides")))[0].alias("p")).collect()
+    for x, sides, p in got:
+        assert p == pytest.approx(math.erfc(abs(x) / 2**0.5) if sides == 2 else math.erfc(x / 2**0.5) / 2, abs=1e-6)
+
+
+def test_op10_random_tokens_reach_levels_as_often_as_they_say(spark):
+    """The p-value is uniform enough on random tokens: a level is missed by about its share of them."""
+    rng = random.Random(23)
+    alphabets = {"hex": "0123456789abcdef", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+    rows = [(i, "".join(rng.choice(letters) for _ in range(n))) for letters in alphabets.values() for n in (24, 48, 96) for i in range(600)]
+    df = spark.createDataFrame(rows, "i long, text string").select(F.explode(secrets.candidates(F.col("text"))).alias("c"))
+    for r in df.groupBy("c.enc", "c.band").agg(F.count("*").alias("n"), *[F.avg((F.col("c.p") < v).cast("double")).alias(f"x{i}") for i, v in enumerate(secrets.LEVELS)]).filter("n > 200").collect():
+        for i, level in enumerate(secrets.LEVELS):
+            assert r[f"x{i}"] <= 1.3 * level + 0.05, r
+
+
+def test_op10_bands_get_their_own_level():
+    """A band that natural words reach too often at the lowest level gets a higher one, or none."""
+    row = lambda enc, band, n, *d: {"enc": enc, "band": band, "n": n, **{f"d{i}": x for i, x in enumerate(d)}}
+    natural = [row("lower", 3, 999, 100, 20, 0, 0)]
+    assert secrets._level(row("base64", 3, 1000, 960, 900, 700, 500), natural, 0.05) == 0.03  # all random
+    assert secrets._level(row("base64", 3, 1000, 535, 460, 350, 250), natural, 0.05) == 0.1  # half natural
+    assert secrets._level(row("base64", 3, 1000, 105, 25, 2, 1), natural, 0.05) is None  # all natural
+    assert secrets._level(row("base64", 3, 10, 0, 0, 0, 0), natural, 0.05) is None
+    assert secrets._level(row("base64", 2, 10, 9, 9, 7, 5), [], 0.05) in (0.03, None)  # nothing known of natural words
+
+
 def test_op10_redaction(spark):
     rows = secret_rows()[:10]
     df = secrets.scan(spark.createDataFrame(rows, DOCS), bands=[])
@@ -763,6 +796,18 @@ def test_chunks_keep_every_row(docs, rows):
     assert got == Counter((i, (t or "").encode()) for i, t, *_ in rows)
 
 
+def test_pipeline_join_tells_groups_apart_by_text(spark, tmp_path):
+    """Rows that share an id or have none: one of each group of linked texts stays, and every text that has no copy."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(31)
+    a, b, c, d = (" ".join(rng.choice(WORDS) for _ in range(60)) for _ in range(4))
+    rows = [(7, a), (7, b), (None, c), (None, c + " more"), (None, d), (9, a + " more"), (3, d), (5, ""), (6, None), (5, "")]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCS)
+    got = Counter((r["doc_id"], r["text"]) for r in pipeline.jaccard_join(spark, df, str(tmp_path)).collect())
+    third = next(x for x in ((None, c), (None, c + " more")) if x in got)
+    assert got == Counter([(7, a), (7, b), third, (3, d), (5, ""), (6, None)])
+
+
 def test_pipeline_stages(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     rng = random.Random(9)

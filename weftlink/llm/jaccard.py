@@ -216,11 +216,12 @@ def _subset_keys(percent: int):
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, chunk_bytes: int = C.CHUNK_BYTES) -> DataFrame:
-    """(key, n_shingles, component_id, text_md5): each row's set size and the smallest key reachable over links; md5 of its text.
+    """(key, n_shingles, component_id, text_md5, comp): each row's set size and the smallest key reachable over links; md5 of its text.
 
     Sets without shingles (no words, empty or null text) link with nothing. A null
     key is larger than all others; a component of null keys alone has a null id, as
-    has a lone row with a null key. Rows that repeat a key each get a result.
+    has a lone row with a null key. Rows that repeat a key each get a result. ``comp`` is
+    a number of the component, for where keys are null or repeat; without shingles null.
     """
     rows = sets(docs, key, text, percent, chunk_bytes)
     nodes = rows.filter("body is not null").groupBy("sig").agg(F.first("n").alias("n"), F.first("body").alias("body"))
@@ -249,10 +250,10 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     own = nodes.select("sig", "node").join(comps, "node", "left").select("sig", F.coalesce("comp", "node").alias("comp"))
     ids = rows.filter("sig is not null").groupBy("sig").agg(F.min("id").alias("id")).join(own, "sig")
     least = ids.groupBy("comp").agg(F.min("id").alias("component_id"))
-    named = own.join(least, "comp").select("sig", "component_id")
+    named = own.join(least, "comp").select("sig", "component_id", "comp")
     out = rows.select("id", "n", "sig", "text_md5").join(named, "sig", "left")
     known = lambda c: F.when(c != C.NO_ID, c)
-    return out.select(known(F.col("id")).alias(key), F.col("n").alias("n_shingles"), known(F.coalesce("component_id", "id")).alias("component_id"), "text_md5")
+    return out.select(known(F.col("id")).alias(key), F.col("n").alias("n_shingles"), known(F.coalesce("component_id", "id")).alias("component_id"), "text_md5", "comp")
 
 
 def _fits(small: int, percent: int):

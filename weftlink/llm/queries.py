@@ -37,7 +37,7 @@ def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.join(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text_md5")
+    return jaccard.join(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text_md5", "comp")
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,12 +2,14 @@
 
 Native: only DataFrame expressions. A candidate is a run of 20 or more characters
 of base-64 alphabets. Its encoding is inferred from its characters; under that
-encoding's uniform distribution it takes a chi-squared test, a runs test and a
-serial-correlation test. Candidates that pass all look random; short natural
-words can do so too. So discoveries are accepted by band of encoding and length:
-the share of natural candidates in a band is estimated from how many pass, with
-the pass rate of plain lower-case words of that length as the rate of false
-passes, and a band counts only while its false discoveries stay below ``FDR``.
+encoding's uniform distribution a chi-squared test, a runs test and a
+serial-correlation test give a p-value each, and the least of the three one p-value
+(Sidak): random tokens reach a level of it with probability 1 - level. Short natural
+words reach it too. So each band of encoding and length gets its own level: the
+lowest at which the estimated share of natural tokens among its discoveries is at
+most ``FDR``. The estimate takes the rate at which plain lower-case words of that
+length reach the level for that of all natural tokens; a band in which no level
+serves has no discoveries.
 """
 
 from __future__ import annotations
@@ -26,9 +28,11 @@ _LIKELY = {"assign": ASSIGN, "access": r"AKIA[A-Z0-9]{16}", "hex": r"[0-9a-f]{24
 MIN_LENGTH = 20
 CANDIDATE = r"([A-Za-z0-9+/_=-]{20,})"
 FDR = 0.05
-#: Two-sided 1 % limits of the tests (one-sided for chi-squared).
-CHI, RUNS, SERIAL = 2.33, 2.58, 2.58
-PASS_IF_RANDOM = 0.97
+#: Levels of the p-value that a band can get, lowest first.
+LEVELS = (0.03, 0.1, 0.3, 0.5)
+#: A rational approximation of exp(x * x) * erfc(x) in 1 / (1 + ERFC_T * x), within 1.5e-7 (Abramowitz and Stegun 7.1.26).
+ERFC_T = 0.3275911
+ERFC = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
 #: Encodings in the order they are tried, with their alphabets.
 _UP, _LOW, _DIG = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 ENCODINGS = (
@@ -80,13 +84,29 @@ def _encoding(token: Column) -> Column:
     return out
 
 
+def _p_values(scores: Column) -> Column:
+    """array<double>: the p-values of an array of structs of a normal score z and its number of sides."""
+    at = F.transform(scores, lambda x: F.struct(x["z"].alias("z"), x["sides"].alias("sides"), (1 / (1 + ERFC_T / 2**0.5 * F.abs(x["z"]))).alias("t")))
+
+    def p(x):
+        tail = F.lit(0.0)
+        for c in reversed(ERFC):
+            tail = (tail + c) * x["t"]
+        return F.struct((tail * F.exp(-x["z"] * x["z"] / 2)).alias("both"), x["z"].alias("z"), x["sides"].alias("sides"))
+
+    upper = lambda x: F.when(x["sides"] == 2, x["both"]).when(x["z"] > 0, x["both"] / 2).otherwise(1 - x["both"] / 2)
+    return F.transform(F.transform(at, p), upper)
+
+
 def battery(x: Column) -> Column:
-    """struct<s, e, enc, band, random> of a candidate that has s, e, m (token) and t (its encoding)."""
+    """struct<s, e, enc, band, p> of a candidate that has s, e, m (token) and t (its encoding)."""
     token, letters = x["m"], x["t"]["a"]
     n, k = F.length(token).cast("double"), F.length(letters).cast("double")
     chars = F.split(token, "")
     squares = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda a, c: a + F.pow(n - F.length(F.replace(token, c, F.lit(""))), F.lit(2.0)))
-    chi = (squares * k / n - n - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n)
+    # Pearson's statistic has mean k - 1 and variance 2 (k - 1) (n - 1) / n: a scaled chi-squared, whose cube root is nearly normal.
+    wide = 2 * (n - 1) / (9 * (k - 1) * n)
+    chi = (F.pow(F.greatest(squares * k / n - n, F.lit(0.0)) / (k - 1), F.lit(1 / 3)) - 1 + wide) / F.sqrt(wide)
     # One pass over the characters: runs of the alphabet's halves, and products of neighbours' deviations.
     zero = F.struct(F.lit(-1.0).alias("x"), F.lit(0.0).alias("hi"), F.lit(0.0).alias("runs"), F.lit(0.0).alias("prod"))
     mean = (k + 1) / 2
@@ -108,10 +128,11 @@ def battery(x: Column) -> Column:
         var = (expect - 1) * (expect - 2) / (n - 1)
         runs = F.when(var > 0, F.abs(a["runs"] - expect) / F.sqrt(var)).otherwise(99.0)
         serial = F.abs(a["prod"]) / ((k * k - 1) / 12 * F.sqrt(n - 1))
-        return (chi <= CHI) & (runs <= RUNS) & (serial <= SERIAL)
+        return F.array(*[F.struct(z.alias("z"), F.lit(sides).alias("sides")) for z, sides in ((chi, 1), (runs, 2), (serial, 2))])
 
-    passed = F.aggregate(chars, zero, step, tests)
-    return F.struct(x["s"].alias("s"), x["e"].alias("e"), x["t"]["enc"].alias("enc"), F.least(F.floor(n / 8).cast("int"), F.lit(32)).alias("band"), passed.alias("random"))
+    least = F.array_min(_p_values(F.aggregate(chars, zero, step, tests)))
+    p = 1 - F.pow(1 - least, F.lit(3.0))
+    return F.struct(x["s"].alias("s"), x["e"].alias("e"), x["t"]["enc"].alias("enc"), F.least(F.floor(n / 8).cast("int"), F.lit(32)).alias("band"), p.alias("p"))
 
 
 def candidates(text: Column) -> Column:
@@ -119,31 +140,38 @@ def candidates(text: Column) -> Column:
     return F.transform(found, battery)
 
 
-def accepted_bands(docs: DataFrame, text: str = "text", fdr: float = FDR) -> list[tuple[str, int]]:
-    """The (encoding, length band) pairs whose estimated false-discovery rate is at most fdr; few, whatever the input.
+def accepted_bands(docs: DataFrame, text: str = "text", fdr: float = FDR) -> list[tuple[str, int, float]]:
+    """(encoding, length band, level): the lowest level at which the band's estimated false-discovery rate is at most fdr; few, whatever the input.
 
-    Of N candidates in a band D pass; with r the pass rate of random ones and b that
-    of natural ones of this length, (r N - D) / (r - b) are natural and b times as
-    many of them pass. b is at least half a token's share. A band in which natural
-    words pass as often as random ones is refused.
+    Of N candidates in a band D reach a level; with r = 1 - level the rate of random ones
+    and b that of natural ones of this length, (r N - D) / (r - b) are natural and b
+    times as many of them reach it. One more natural token is counted, as the level is
+    chosen after the fact; b is at least half a token's share. A level that natural
+    words reach as often as random ones is refused.
     """
-    rows = docs.select(F.explode(candidates(F.coalesce(F.col(text), F.lit("")))).alias("c")).groupBy("c.enc", "c.band").agg(F.count("*").alias("n"), F.sum(F.col("c.random").cast("long")).alias("d")).collect()
-    natural = {r["band"]: (r["d"] + 0.5) / (r["n"] + 1) for r in rows if r["enc"] == "lower"}
-    out = []
-    for r in rows:
-        if not r["d"]:
-            continue
+    reach = [F.sum((F.col("c.p") >= level).cast("long")).alias(f"d{i}") for i, level in enumerate(LEVELS)]
+    found = docs.select(F.explode(candidates(F.coalesce(F.col(text), F.lit("")))).alias("c"))
+    rows = found.groupBy("c.enc", "c.band").agg(F.count("*").alias("n"), *reach).collect()
+    return sorted(
+        (r["enc"], r["band"], level)
+        for r in rows
+        if (level := _level(r, [x for x in rows if x["enc"] == "lower"], fdr)) is not None
+    )
+
+
+def _level(row, natural, fdr: float) -> float | None:
+    """The level of one band, given the counts of plain lower-case words by band."""
+    for i, level in enumerate(LEVELS):
+        d, n, r = row[f"d{i}"], row["n"], 1 - level
+        rates = {x["band"]: (x[f"d{i}"] + 0.5) / (x["n"] + 1) for x in natural}
         # Longer words than any seen: the longest known band's rate, which is an upper bound, as power grows with length.
-        b = natural.get(r["band"], min((v for k, v in natural.items() if k <= r["band"]), default=0.5))
-        if b >= PASS_IF_RANDOM:
-            continue
-        plain = max(0.0, (PASS_IF_RANDOM * r["n"] - r["d"]) / (PASS_IF_RANDOM - b))
-        if min(plain, r["n"]) * b <= fdr * r["d"]:
-            out.append((r["enc"], r["band"]))
-    return sorted(out)
+        b = rates.get(row["band"], min((v for k, v in rates.items() if k <= row["band"]), default=0.5))
+        if d and b < r and (min(max(0.0, (r * n - d) / (r - b)), n) + 1) * b <= fdr * d:
+            return level
+    return None
 
 
-def scan(docs: DataFrame, text: str = "text", bands: list[tuple[str, int]] | None = None) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", bands: list[tuple[str, int, float]] | None = None) -> DataFrame:
     """docs with ``secrets``: array<struct<s, k, e, kind>> by start, then kind (assign, access, hex, random).
 
     Places count code points, ends are exclusive. A random span is added where it
@@ -154,8 +182,8 @@ def scan(docs: DataFrame, text: str = "text", bands: list[tuple[str, int]] | Non
     t = F.coalesce(F.col(text), F.lit(""))
     out = docs.withColumn("_base", base_spans(t))
     if bands:
-        keys = F.array(*[F.lit(f"{enc}:{band}") for enc, band in bands])
-        good = F.filter(candidates(t), lambda c: c["random"] & F.array_contains(keys, F.concat_ws(":", c["enc"], c["band"].cast("string"))))
+        levels = F.create_map(*[F.lit(x) for enc, band, level in bands for x in (f"{enc}:{band}", level)])
+        good = F.filter(candidates(t), lambda c: c["p"] >= F.element_at(levels, F.concat_ws(":", c["enc"], c["band"].cast("string"))))
         free = F.filter(good, lambda c: ~F.exists(F.col("_base"), lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])))
         more = F.transform(free, _as_kind(len(BASE), "random"))
     else:
