@@ -34,9 +34,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones stays, that of the smallest doc_id. Rows without an id stay."""
+    """One document of each group of linked ones stays: the smallest doc_id, nulls last, then the smallest md5 of the text.
+
+    Groups are told apart by the operator's own number, so rows that share an id or have none are judged by their texts.
+    Texts without words are linked with nothing and stay; rows of one id and text stay once.
+    """
     found = jaccard.join(docs.select("doc_id", "text"))
-    first = found.filter("doc_id <=> component_id").groupBy(F.col("doc_id").alias("_id"), F.when(F.col("doc_id").isNull(), F.col("text_md5")).alias("_n")).agg(F.min("text_md5").alias("_md5")).select("_id", "_md5")
+    alone = F.col("comp").isNull()
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_md5").alias("md5"))).alias("x")
+    first = found.groupBy("comp", F.when(alone, F.col("doc_id")).alias("_i"), F.when(alone, F.col("text_md5")).alias("_t")).agg(best)
+    first = first.select(F.col("x.id").alias("_id"), F.col("x.md5").alias("_md5"))
     one = F.row_number().over(Window.partitionBy("doc_id", "_md5").orderBy(F.lit(1)))
     mine = docs.withColumn("_md5", _md5())
     stay = mine.join(first.select(F.col("_id"), F.col("_md5").alias("_m")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_md5") == F.col("_m")), "left_semi")
