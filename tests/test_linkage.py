@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import functions as F
 
 from weftlink.operators import audit, blocking, decode, features, fusion, metrics, ranker, sampling, sinks, tfidf
@@ -344,3 +345,105 @@ def test_tune_searches_ownership_margins_and_sources(spark):
     assert got == {"S1-1": ["S2-1", "S3-1"], "S1-2": ["S3-2"]}
     shared = truth.union(spark.createDataFrame([("S1-2", "S2-1"), ("S1-2", "S3-1")], truth.schema))
     assert not decode.tune(df, shared, s1, (0.5, 0.7), (1, 3)).ownership
+
+
+def _brute(g, top_k, threshold, min_df=2):
+    """Lists of (target, source, score, rank) by query out of gram rows, by plain loops."""
+    from collections import Counter, defaultdict
+    from math import log, sqrt
+
+    rows = [(r["entity_id"], r["source"], r["country"], r["tie"], r["gram"], r["tf"]) for r in g.collect()]
+    out = {}
+    for src in ("S2", "S3"):
+        n = len({r[0] for r in rows if r[1] == src})
+        df = Counter(r[4] for r in rows if r[1] == src)
+        idf = {x: log((1 + n) / (1 + c)) + 1 for x, c in df.items() if c >= min_df}
+        raw = [(*r[:5], (1 + log(r[5])) * idf[r[4]]) for r in rows if r[4] in idf]
+        norm = defaultdict(float)
+        for r in raw:
+            norm[r[0]] += r[5] ** 2
+        of = defaultdict(list)
+        for r in raw:
+            if r[1] == src and r[2] is not None:
+                of[r[2], r[4]].append((r[0], r[3], r[5] / sqrt(norm[r[0]])))
+        score = defaultdict(float)
+        for r in raw:
+            for t, tie, w in of[r[2], r[4]] if r[1] == "S1" else ():
+                score[r[0], t, tie] += r[5] / sqrt(norm[r[0]]) * w
+        for q in {k[0] for k in score}:
+            best = sorted((-round(s, 6), tie, t) for (a, t, tie), s in score.items() if a == q and round(s, 6) > threshold)[:top_k]
+            out |= {(q, t, tie): (src, -s, i + 1) for i, (s, tie, t) in enumerate(best)}
+    return out
+
+
+def test_joined_in_tiles_against_brute_force(spark, monkeypatch):
+    draw = random.Random(5)
+    words = ["".join(draw.choices("abcdeo", k=draw.randint(1, 6))) for _ in range(60)]
+    names = [" ".join(draw.choices(words, k=draw.randint(1, 6))) for _ in range(90)]
+    rows = [(f"S{i % 3 + 1}-{i}", f"S{i % 3 + 1}", draw.choice(names), str(i % 7), draw.choice(["A", "A", "B", None])) for i in range(420)]
+    # Many copies, a record that is there twice, ids that are there with several names and countries, names without a gram.
+    rows += [(f"S{i % 3 + 1}-{i}", f"S{i % 3 + 1}", names[0], "x", "A") for i in range(420, 480)] + [rows[0], rows[1]]
+    rows += [(rows[i][0], rows[i][1], names[i + 5], "y", c) for i, c in ((3, "A"), (3, "B"), (4, "A"), (5, "B"))] + [("S1-e", "S1", "", "", "A"), ("S2-e", "S2", " - ", "", "A")]
+    e = spark.createDataFrame(rows, "entity_id string, source string, business_name string, business_address string, country string")
+    monkeypatch.setattr(tfidf, "TILE_Q", 16)
+    monkeypatch.setattr(tfidf, "TILE_T", 24)
+    config = tfidf.Config(top_k=4, threshold=0.3)
+    g = tfidf.grams(e, "business_name")
+    want = _brute(g, 4, 0.3)
+    assert len(want) > 500
+    for df in (tfidf.joined(tfidf.bags(e, "business_name"), config, "name"), tfidf.top_n(g, config, "name")):
+        got = [((r["s1_id"], r["target_id"], r["target_content_key"]), (r["target_source"], r["retrieval_score"], r["channel_rank"])) for r in df.collect()]
+        assert len(got) == len(dict(got)) and dict(got) == want
+
+
+def test_joined_shuffles_texts_not_products(spark, tmp_path):
+    """One common word in all names: each pair of records has products, but the rows between stages stay a few a record."""
+    n = 1500
+    e = spark.range(n).selectExpr("concat('S', id % 3 + 1, '-', id) as entity_id", "concat('S', id % 3 + 1) as source", "concat('common ', substr(md5(cast(id as string)), 1, 8)) as business_name", "'' as business_address", "'A' as country")
+    spark.sparkContext.setJobGroup("joined", "joined")
+    df = tfidf.top_n(tfidf.grams(e, "business_name"), tfidf.Config(top_k=3, threshold=0.1), "name")
+    df.write.parquet(str(tmp_path / "out"))
+    store, ids = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext.statusTracker().getJobIdsForGroup("joined")
+    written = []
+    for stage in {x for j in ids for x in spark.sparkContext.statusTracker().getJobInfo(j).stageIds}:
+        try:
+            written.append(store.lastStageAttempt(stage).shuffleWriteRecords())
+        except Py4JJavaError:  # skipped
+            pass
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert written and max(written) < 40 * n
+
+
+def test_best_is_exact_for_dense_and_rare_grams(monkeypatch):
+    import numpy as np
+
+    draw = np.random.default_rng(3)
+
+    class Side:
+        def __init__(self, n):
+            self.n, self.size = n, draw.integers(1, 12, n)
+            self.start = np.cumsum(self.size) - self.size
+            self.row = np.repeat(np.arange(n), self.size)
+            self.ids = (draw.random(self.size.sum()) ** 3 * 50).astype(np.int64)
+            self.w = draw.random(self.size.sum()) / 6
+
+        def full(self):
+            m = np.zeros((self.n, 50))
+            np.add.at(m, (self.row, self.ids), self.w)
+            return m
+
+    q, t = Side(40), Side(70)
+    place, config = draw.integers(0, 9, 70), tfidf.Config(top_k=5, threshold=0.05)
+    score = np.round(q.full() @ t.full().T, 6)
+    want = set()
+    for i in range(40):
+        order = np.lexsort((place, -score[i]))
+        edge = order[4]
+        want |= {(i, j, score[i, j]) for j in range(70) if score[i, j] > 0.05 and (-score[i, j], place[j]) <= (-score[i, edge], place[edge])}
+    monkeypatch.setattr(tfidf, "STEP", 7)
+    for part, dense in ((0.0, 2048), (0.1, 6), (2.0, 2048)):
+        monkeypatch.setattr(tfidf, "PART", part)
+        monkeypatch.setattr(tfidf, "DENSE", dense)
+        got = {(a, b, round(c, 6)) for a, b, c in zip(*(v.tolist() for v in tfidf.best(q, t, place, 50, config)), strict=True)}
+        assert {x[:2] for x in got} == {x[:2] for x in want}
+        assert got == {(a, b, round(float(c), 6)) for a, b, c in want}

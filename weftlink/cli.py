@@ -31,7 +31,7 @@ def retrieve(e: DataFrame, name: str) -> tuple[DataFrame, DataFrame | None]:
         return blocking.exact(blocking.melted(e, view_names=("unicode_preserving",))).select(*COLUMNS), None
     out = blocking.exact(blocking.melted(e)).select(*COLUMNS)
     for column, channel in FIELDS:
-        out = out.unionByName(tfidf.top_n(tfidf.grams(e, column), SPARSE, channel).select(*COLUMNS))
+        out = out.unionByName(tfidf.joined(tfidf.bags(e, column), SPARSE, channel).select(*COLUMNS))
     if budget.expanded_k is None:
         return out, None
     q = e.filter("source = 'S1'").select(F.col("entity_id").alias("s1_id"), views.field(F.col("business_name"))["unicode"].alias("name_view"), views.field(F.col("business_address"))["unicode"].alias("address_view"))
