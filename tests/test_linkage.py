@@ -400,18 +400,22 @@ def test_joined_shuffles_texts_not_products(spark, tmp_path):
     """One common word in all names: each pair of records has products, but the rows between stages stay a few a record."""
     n = 1500
     e = spark.range(n).selectExpr("concat('S', id % 3 + 1, '-', id) as entity_id", "concat('S', id % 3 + 1) as source", "concat('common ', substr(md5(cast(id as string)), 1, 8)) as business_name", "'' as business_address", "'A' as country")
-    spark.sparkContext.setJobGroup("joined", "joined")
     df = tfidf.top_n(tfidf.grams(e, "business_name"), tfidf.Config(top_k=3, threshold=0.1), "name")
-    df.write.parquet(str(tmp_path / "out"))
-    store, ids = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext.statusTracker().getJobIdsForGroup("joined")
-    written = []
-    for stage in {x for j in ids for x in spark.sparkContext.statusTracker().getJobInfo(j).stageIds}:
+    assert max(_written(spark, df, tmp_path)) < 40 * n
+
+
+def _written(spark, df, folder):
+    """Records that each stage shuffles as df is written."""
+    spark.sparkContext.setJobGroup(str(folder), "")
+    df.write.parquet(str(folder / "out"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker, store, out = spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().statusStore(), []
+    for stage in {x for j in tracker.getJobIdsForGroup(str(folder)) for x in tracker.getJobInfo(j).stageIds}:
         try:
-            written.append(store.lastStageAttempt(stage).shuffleWriteRecords())
+            out.append(store.lastStageAttempt(stage).shuffleWriteRecords())
         except Py4JJavaError:  # skipped
             pass
-    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
-    assert written and max(written) < 40 * n
+    return out
 
 
 def test_best_is_exact_for_dense_and_rare_grams(monkeypatch):
@@ -447,3 +451,22 @@ def test_best_is_exact_for_dense_and_rare_grams(monkeypatch):
         got = {(a, b, round(c, 6)) for a, b, c in zip(*(v.tolist() for v in tfidf.best(q, t, place, 50, config)), strict=True)}
         assert {x[:2] for x in got} == {x[:2] for x in want}
         assert got == {(a, b, round(float(c), 6)) for a, b, c in want}
+
+
+def test_exact_pairs_are_the_distinct_ones_and_not_shuffled(spark, monkeypatch, tmp_path):
+    draw = random.Random(8)
+    names, streets = ["Café One", "Cafe One", "cafe one ", "Two", "\uff9e", "\uff9e ", "", "null"], ["1 Rd", "1 rd.", "2 Rue É", "2 rue e", "", "n/a"]
+    rows = [(f"S{i % 3 + 1}-{i}", f"S{i % 3 + 1}", draw.choice(names), draw.choice(streets), draw.choice(["A", "A", "B", None])) for i in range(150)]
+    # A record that is there twice, and ids with several contents.
+    rows += [rows[0], rows[1], (rows[3][0], rows[3][1], "Two", "9 Rd", "A"), (rows[4][0], rows[4][1], "Two", "", "B")]
+    e = spark.createDataFrame(rows, "entity_id string, source string, business_name string, business_address string, country string")
+    pairs = blocking.exact(blocking.melted(e, strict=False)).select("s1_id", "target_id", "target_source").distinct()
+    columns = ["s1_id", "target_id", "target_source", "q.raw_name", "q.raw_address", "t.raw_name", "t.raw_address"]
+    want = sorted(map(str, features.joined(pairs, e, False).select(*columns).collect()))
+    for size in (40, 500_000):
+        monkeypatch.setattr(features, "PART_PAIRS", size)
+        assert sorted(map(str, features.exactly_joined(e, False).select(*columns).collect())) == want
+    n = 900
+    e = spark.range(n).selectExpr("concat('S', id % 3 + 1, '-', id) as entity_id", "concat('S', id % 3 + 1) as source", "'Common' as business_name", "cast(id as string) as business_address", "'A' as country")
+    f = features.field_features("name") | features.name_features()
+    assert max(_written(spark, features.exactly_joined(e, False).select("s1_id", "target_id", *[c.alias(k) for k, c in f.items()]), tmp_path)) < 10 * n
