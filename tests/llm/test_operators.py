@@ -671,6 +671,26 @@ def test_op9_finds_shared_passages(spark):
         assert abs(len(a & b) / len(a | b) - r["similarity"]) < 1e-5 and r["similarity"] >= 0.75
 
 
+def test_op9_classes_meet_in_all_pairs():
+    """Six classes of one group, a word apart each: all 15 pairs are linked, not only as many as cover each class."""
+    width, common = 20, 16
+    base = np.arange(1, 2 * width + 2, dtype=np.uint16)
+    marks = np.stack([base] * 6)
+    for i in range(6):
+        marks[i, 3 * i] = 100 + i
+    start, row = np.zeros(6, np.int64), np.arange(6)
+    every = [(x, y) for x in range(6) for y in range(x)]
+    x, y, *_ = passages.class_pairs(start, row, marks, width, common)
+    assert sorted(zip(x.tolist(), y.tolist(), strict=True)) == every
+
+
+def test_op9_names_every_earlier_text_with_the_passage(spark):
+    words = [f"w{i}" for i in range(90)]
+    texts = [" ".join(words[:i] + [f"own{i}"] + words[i + 1 :]) for i in range(2, 90, 8)]
+    got = passages.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id", "other_doc_id").distinct().collect()
+    assert {tuple(r) for r in got} == {(a, b) for a in range(len(texts)) for b in range(a)}
+
+
 def test_op9_finds_passages_with_a_word_more_or_less(spark):
     rng = random.Random(11)
     new = lambda k: [rng.choice(WORDS) for _ in range(k)]

@@ -9,9 +9,8 @@ centre has the centre as its least shingle. Only windows at least a passage wide
 kept, O(n / width) of them. Passages of similarity s share a centre's shingle in each
 order with probability s at least, so windows are grouped by (order, shingle). Within
 a group, windows that have the same shared shingles around the centre are one class,
-met through its first member; the classes' intervals are joined: each class with the
-earlier ones, by marks of the shared shingles around the centre, until each of its
-stretches has a partner. What passes is verified on the texts.
+met through its first member; the classes' intervals are joined: each class with all
+earlier ones, by marks of the shared shingles around the centre. What passes is verified on the texts.
 """
 
 from __future__ import annotations
@@ -175,17 +174,17 @@ def _bits(sketch: np.ndarray) -> np.ndarray:
 BLOCK = 1 << 13
 
 
-def class_pairs(start: np.ndarray, row: np.ndarray, marks: np.ndarray, width: int, common: int) -> tuple[np.ndarray, ...]:
+def class_pairs(start: np.ndarray, row: np.ndarray, marks: np.ndarray, width: int, common: int, cover: bool = False) -> tuple[np.ndarray, ...]:
     """(x, y, low, high, firm) of classes of one group, y before x, that have a passage in common by their marks; classes are ordered, start is the place of each one's group.
 
     low and high are the shingles of x in common, counted from the centre; firm says
     that the shingles of y are in x as well, in one stretch.
 
     A stretch of x of a passage's width around the centre is linked with y if ``common``
-    of its shingles are in y. A pair is left out only where each of its linked stretches
-    has an earlier partner that shares all that any can share, or clearly enough. A class
-    is done when all its stretches have one, so a group of near copies meets in a few
-    steps, however many they are.
+    of its shingles are in y. All pairs of classes with a linked stretch are returned. With
+    ``cover`` a pair is left out where each of its linked stretches has an earlier partner
+    that shares all that any can share, or clearly enough: a class is done when all its
+    stretches have one, so a group of near copies meets in a few steps.
     """
     out: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(5)]
     size = np.bincount(start, minlength=len(start))[start]
@@ -228,7 +227,8 @@ def class_pairs(start: np.ndarray, row: np.ndarray, marks: np.ndarray, width: in
             m = np.minimum(marks[y], _NONE - 1).astype(np.int64)
             back = held[y] & ((fine[x[:, None], m >> 3] >> (m & 7).astype(np.uint8)) & 1).astype(bool)
             alike = _stretches(back, width).max(axis=1, initial=0) >= common
-            left[x[alike]] &= (got < enough[x])[alike]
+            if cover:
+                left[x[alike]] &= (got < enough[x])[alike]
             low, high, one = _reach(linked, width)
             for held_, v in zip(out, (several[x], several[y], low, high, (alike & one).astype(np.int64)), strict=True):
                 held_.append(v)
@@ -414,27 +414,33 @@ def chosen(y: np.ndarray, low: np.ndarray, high: np.ndarray, firm: np.ndarray) -
     return out
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("y", T.LongType()), T.StructField("shifts", T.ArrayType(T.IntegerType()))])))
-def _partners(matches: pd.Series) -> pd.Series:
-    out = []
-    for m in matches:
-        y, shift, low, high, firm = (np.fromiter((r[n] for r in m), np.int64, len(m)) for n in ("y", "shift", "low", "high", "firm"))
-        stay = chosen(y, low, high, firm.astype(bool))
-        shifts: dict[int, list[int]] = {}
-        for a, b in zip(y.tolist(), shift.tolist(), strict=True):
-            if a in stay:
-                shifts.setdefault(a, []).append(b)
-        out.append([{"y": a, "shifts": _places(b)} for a, b in sorted(shifts.items())])
-    return pd.Series(out, dtype=object)
-
-
-def find(docs: DataFrame, key: str = "doc_id", text: str = "text", passage: int = PASSAGE, percent: int = PERCENT, chunk_bytes: int = C.CHUNK_BYTES) -> DataFrame:
+def _partners(cover: bool):
+    """Each partner of a text with its diagonals; with ``cover`` the chosen ones only."""
+
+    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("y", T.LongType()), T.StructField("shifts", T.ArrayType(T.IntegerType()))])))
+    def partners(matches: pd.Series) -> pd.Series:
+        out = []
+        for m in matches:
+            y, shift, low, high, firm = (np.fromiter((r[n] for r in m), np.int64, len(m)) for n in ("y", "shift", "low", "high", "firm"))
+            stay = chosen(y, low, high, firm.astype(bool)) if cover else set(y.tolist())
+            shifts: dict[int, list[int]] = {}
+            for a, b in zip(y.tolist(), shift.tolist(), strict=True):
+                if a in stay:
+                    shifts.setdefault(a, []).append(b)
+            out.append([{"y": a, "shifts": _places(b)} for a, b in sorted(shifts.items())])
+        return pd.Series(out, dtype=object)
+
+    return partners
+
+
+def find(docs: DataFrame, key: str = "doc_id", text: str = "text", passage: int = PASSAGE, percent: int = PERCENT, chunk_bytes: int = C.CHUNK_BYTES, cover: bool = False) -> DataFrame:
     """(key, start_word, end_word, other_<key>, other_start, other_end, similarity): each passage of a document with one of an earlier document that is near it.
 
     Passages have ``passage`` words or more, ends are exclusive, similarity is the
     Jaccard index of the two stretches' shingles. A document is earlier by key, then
     by place in the input; null keys come last. A group of copies gives each member
-    a few earlier ones (the group's representatives), never all pairs. Passages that
+    a few earlier ones (the group's representatives), never all pairs; classes that differ
+    meet in all pairs, but with ``cover`` only until each stretch has a partner. Passages that
     repeat within one document only are not looked for. Repeated rows are documents of
     their own. Texts of fewer words, null and empty texts have no passages; an empty
     table gives none. Keys are integers; columns other than key and text are ignored.
@@ -505,7 +511,7 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", passage: int
         rank = np.lexsort((c[begin], row[begin], ids[begin], k[begin]))
         head = begin[rank]
         start = np.maximum.accumulate(np.where(_changes(k[head], k[head]), np.arange(len(head)), 0))
-        cx, cy, clow, chigh, cfirm = class_pairs(start, row[head], marks[rank], width, common)
+        cx, cy, clow, chigh, cfirm = class_pairs(start, row[head], marks[rank], width, common, cover)
         # What the first member of a class meets, its own text's other members meet too.
         mates = np.flatnonzero(row == row[first])
         mates = mates[np.argsort(member[mates], kind="stable")]
@@ -524,7 +530,7 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", passage: int
 
     matches = C.per_chunk(packed, [levels], send, SENT).groupBy("bucket").applyInArrow(meet, MATCH)
     partners = matches.groupBy("x").agg(F.collect_list(F.struct("y", "shift", "low", "high", "firm")).alias("m"))
-    pairs = cut(partners.select("x", F.explode(_partners("m")).alias("p")).select("x", "p.y", "p.shifts"))
+    pairs = cut(partners.select("x", F.explode(_partners(cover)("m")).alias("p")).select("x", "p.y", "p.shifts"))
 
     def fetch(chunk, at, got):
         own = [int(d) for d in got[0].get(0, b"").split(b",") if d]
