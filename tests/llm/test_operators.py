@@ -710,6 +710,28 @@ def test_op9_finds_passages_with_a_word_more_or_less(spark):
     assert all(x // 2 == y // 2 for x, y in flagged)
 
 
+def test_op9_sends_a_text_to_few_cells(spark, monkeypatch):
+    rng = random.Random(3)
+    # One group of 60 rows in which each meets all earlier ones, and small groups.
+    pairs = [(0, x, y, [0]) for x in range(60) for y in range(x)] + [(100 + 2 * i, 101 + 2 * i, 100 + 2 * i, [0]) for i in range(50)]
+    rng.shuffle(pairs)
+    monkeypatch.setattr(passages, "CELL_PAIRS", 200)
+    got = passages.dealt(spark.createDataFrame(pairs, "root long, x long, y long, shifts array<int>")).collect()
+    assert sorted((r["root"], r["x"], r["y"], r["shifts"]) for r in got) == sorted(pairs)
+    sent = {(r["cell"], r[c]) for r in got for c in ("x", "y")}
+    assert len(sent) <= 60 * 2 * 3 + 100  # a text of each pair: 3640
+    assert max(sum(r["cell"] == c for r in got) for c in {c for c, _ in sent}) < 400
+
+
+def test_op9_is_the_same_whatever_the_cells(spark, monkeypatch):
+    words = [f"w{i}" for i in range(90)]
+    texts = [" ".join(words[:i] + [f"own{i}"] + words[i + 1 :]) for i in range(2, 90, 8)] * 2 + [" ".join(f"v{i}" for i in range(70))] * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = sorted(map(tuple, passages.find(docs).collect()))
+    monkeypatch.setattr(passages, "CELL_PAIRS", 4)
+    assert sorted(map(tuple, passages.find(docs).collect())) == want
+
+
 def test_op9_partners_cover_all_stretches():
     y = np.array([5, 5, 7, 8, 9, 4])
     low, high = np.array([0, 60, 0, 40, 50, 200]), np.array([50, 120, 120, 100, 160, 260])

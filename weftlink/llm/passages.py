@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import chunks as C
-from .common import ROLL, Words, cut, mix, sliding_min, trim
+from .common import ROLL, Words, cut, mix, shuffles, sliding_min, trim
 
 WORDS = 5
 #: A passage has so many words at least.
@@ -255,19 +255,22 @@ MATCH = "x long, y long, shift int, low int, high int, firm int"
 class Places:
     """Where the shingles of x are in y, for any diagonal."""
 
-    def __init__(self, hx: np.ndarray, hy: np.ndarray):
-        self.hx, self.hy, n = hx, hy, len(hy)
+    def __init__(self, hx: np.ndarray, hy: np.ndarray, known: tuple | None = None):
+        self.hx, self.hy = hx, hy
+        distinct, self.places = known or self.ordered(hy)
+        k = np.minimum(np.searchsorted(distinct, hx), max(len(distinct) - 1, 0))
+        #: The shingles of x that are in y, with the index of each among y's distinct ones.
+        self.at = np.flatnonzero(distinct[k] == hx) if len(hy) else np.empty(0, np.int64)
+        self.kind = k[self.at]
+
+    @staticmethod
+    def ordered(hy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct shingles of y, and (shingle, place) of all in order."""
         order = np.argsort(hy, kind="stable")
         ids = hy[order]
-        new = np.ones(n, bool)
+        new = np.ones(len(hy), bool)
         new[1:] = ids[1:] != ids[:-1]
-        heads = np.flatnonzero(new)
-        k = np.minimum(np.searchsorted(ids[heads], hx), max(len(heads) - 1, 0))
-        #: The shingles of x that are in y, with the index of each among y's distinct ones.
-        self.at = np.flatnonzero(ids[heads][k] == hx) if n else np.empty(0, np.int64)
-        self.kind = k[self.at]
-        # (shingle, place) of y in order.
-        self.places = (np.cumsum(new) - 1) * n + order
+        return ids[new], (np.cumsum(new) - 1) * len(hy) + order
 
     def partners(self, shift: int) -> np.ndarray:
         """For each shingle of x the equal one of y nearest to the diagonal, -1 if none is near."""
@@ -317,32 +320,38 @@ def matched_runs(places: Places, shift: int, width: int, percent: int) -> list[t
 
 #: Text compared at once.
 CHECK_BYTES = 1 << 20
-
-
-def _checked(pairs: list, width: int, percent: int) -> list[list[dict]]:
-    n, out = len(pairs), []
-    same = [a == b for a, b, _ in pairs]
-    sides = Shingled([b"" if e else p[0] for p, e in zip(pairs, same, strict=True)] + [b"" if e else p[1] for p, e in zip(pairs, same, strict=True)])
-    for i, (text, _, shifts) in enumerate(pairs):
-        if same[i]:  # copies are one stretch
-            m = len(text.split())
-            out.append([{"a": 0, "b": m, "c": 0, "d": m, "s": 1.0}])
+#: Pairs of one cell, about.
+CELL_PAIRS = 8192
+
+
+def _checked(texts: list[bytes], pairs: list, width: int, percent: int) -> list[list[tuple]]:
+    """(start, end, other start, other end, similarity; ends exclusive, in words) of the stretches in common, for each pair (place of x in texts, place of y, shifts)."""
+    out: list[list[tuple]] = []
+    sh = Shingled(texts)
+    hashes = [sh.hash[a:b] for a, b in zip(sh.first, sh.stop, strict=True)]
+    ordered: dict[int, tuple] = {}
+    for i, j, shifts in pairs:
+        if texts[i] == texts[j]:  # copies are one stretch
+            m = len(texts[i].split())
+            out.append([(0, m, 0, m, 1.0)])
             continue
-        hx, hy = sides.hash[sides.first[i] : sides.stop[i]], sides.hash[sides.first[n + i] : sides.stop[n + i]]
-        found, places = {}, Places(hx, hy)
+        hx, hy = hashes[i], hashes[j]
+        if j not in ordered:
+            ordered[j] = Places.ordered(hy)
+        found, places = {}, Places(hx, hy, ordered[j])
         for s in shifts:
             for a, b, c, d in matched_runs(places, int(s), width, percent):
                 if (a, b, c, d) in found:
                     continue
-                j = _similarity(hx[a : b + 1], hy[c : d + 1])
-                if 100 * j >= percent:  # less only where a text repeats itself, as the sets then hold less than the places
-                    found[a, b, c, d] = j
+                similarity = _similarity(hx[a : b + 1], hy[c : d + 1])
+                if 100 * similarity >= percent:  # less only where a text repeats itself, as the sets then hold less than the places
+                    found[a, b, c, d] = similarity
         # Stretches inside another one found with the same text say nothing more.
         reach, kept = -1, []
-        for (a, b, c, d), j in sorted(found.items(), key=lambda x: (x[0][0], -x[0][1], x[0])):
+        for (a, b, c, d), similarity in sorted(found.items(), key=lambda x: (x[0][0], -x[0][1], x[0])):
             if b > reach:
                 reach = b
-                kept.append({"a": a, "b": b + WORDS, "c": c, "d": d + WORDS, "s": round(j, 6)})
+                kept.append((a, b + WORDS, c, d + WORDS, round(similarity, 6)))
         out.append(kept)
     return out
 
@@ -354,22 +363,46 @@ def _similarity(a: np.ndarray, b: np.ndarray) -> float:
     return inter / (len(both) - inter)
 
 
+NEAR = "id_x long, a int, b int, id_y long, c int, d int, s double"
+
+
 def _check(width: int, percent: int):
-    kind = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in ("a", "b", "c", "d")] + [T.StructField("s", T.DoubleType())]))
-
-    @F.pandas_udf(kind)
-    def check(x: pd.Series, y: pd.Series, shifts: pd.Series) -> pd.Series:
-        out, held, size = [], [], 0
-        for row in zip(x, y, shifts, strict=True):
-            a, b = C.unsqueeze(row[0]), C.unsqueeze(row[1])
-            held.append((a, b, row[2]))
-            size += len(a) + len(b)
+    """What the pairs of a cell have in common; each text of the cell is there once."""
+
+    def check(pairs: pa.Table, texts: pa.Table) -> pa.Table:
+        place = {r: i for i, r in enumerate(texts.column("row").to_pylist())}
+        ids, bodies = texts.column("id").to_pylist(), texts.column("body")
+        names = [c.split()[0] for c in NEAR.split(", ")]
+        out: list[list] = [[] for _ in names]
+        held: dict[int, int] = {}
+        here: list[bytes] = []
+        some: list[tuple] = []
+
+        def flush() -> None:
+            for (i, j, _, x, y), stretches in zip(some, _checked(here, [p[:3] for p in some], width, percent), strict=True):
+                for a, b, c, d, s in stretches:
+                    for column, v in zip(out, (ids[x], a, b, ids[y], c, d, s), strict=True):
+                        column.append(v)
+            held.clear(), here.clear(), some.clear()
+
+        size = 0
+        # A group's pairs share texts.
+        for root, x, y, shifts in sorted(zip(*[pairs.column(c).to_pylist() for c in ("root", "x", "y", "shifts")], strict=True)):
+            at = []
+            for r in (place[x], place[y]):
+                if r not in held:
+                    held[r] = len(here)
+                    here.append(C.unsqueeze(bodies[r].as_py()))
+                    size += len(here[-1])
+                at.append(held[r])
+            some.append((*at, shifts, place[x], place[y]))
             if size >= CHECK_BYTES:
-                out += _checked(held, width, percent)
-                held, size = [], 0
-        out += _checked(held, width, percent) if held else []
+                flush()
+                size = 0
+        flush()
         trim()
-        return pd.Series(out, dtype=object)
+        kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64()}
+        return pa.table([pa.array(v, kinds[c.split()[1]]) for v, c in zip(out, NEAR.split(", "), strict=True)], names=names)
 
     return check
 
@@ -433,6 +466,21 @@ def _partners(cover: bool):
     return partners
 
 
+def dealt(pairs: DataFrame) -> DataFrame:
+    """The written pairs (root, x, y, ...) with the cell in which they are compared.
+
+    A root with many pairs has several cells, its x and y dealt to parts of them; roots with
+    few share cells. So a text goes to few cells, and not once for each of its pairs.
+    """
+    counted = pairs.groupBy("root").agg(F.count("*").alias("n")).filter(F.col("n") > CELL_PAIRS)
+    large = F.broadcast(counted.select("root", F.ceil(F.sqrt(F.col("n") / CELL_PAIRS)).alias("parts")))
+    few = max(shuffles(pairs.sparkSession), -(-pairs.count() // CELL_PAIRS))
+    part = lambda c: F.pmod(F.xxhash64(c), "parts")
+    # Two cells of one name are only compared together.
+    cell = F.when(F.col("parts").isNull(), F.pmod(F.xxhash64("root"), F.lit(few))).otherwise(F.xxhash64("root", part("x"), part("y")))
+    return pairs.join(large, "root", "left").withColumn("cell", cell).drop("parts")
+
+
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text", passage: int = PASSAGE, percent: int = PERCENT, chunk_bytes: int = C.CHUNK_BYTES, cover: bool = False) -> DataFrame:
     """(key, start_word, end_word, other_<key>, other_start, other_end, similarity): each passage of a document with one of an earlier document that is near it.
 
@@ -494,8 +542,12 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", passage: int
 
     def meet(table: pa.Table) -> pa.Table:
         parts = [np.frombuffer(C.unsqueeze(x.as_py()), np.int64).reshape(5, -1) for x in table.column("body")]
+        # In the order of their chunks, so that a class has the same marks in every run.
+        turn = sorted(range(len(parts)), key=lambda i: int(parts[i][2, 0]))
+        parts = [parts[i] for i in turn]
         held = np.concatenate([_changes(p[0], p[4]) for p in parts])
-        marks = np.concatenate([np.frombuffer(C.unsqueeze(x.as_py()), np.uint16).reshape(-1, 2 * width + 1) for x in table.column("marks")])
+        bodies = table.column("marks")
+        marks = np.concatenate([np.frombuffer(C.unsqueeze(bodies[i].as_py()), np.uint16).reshape(-1, 2 * width + 1) for i in turn])
         a = np.concatenate(parts, axis=1)
         # The marks of each window that has its own; others have those of their class.
         own = np.where(held, np.cumsum(held) - 1, -1)
@@ -530,19 +582,23 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", passage: int
 
     matches = C.per_chunk(packed, [levels], send, SENT).groupBy("bucket").applyInArrow(meet, MATCH)
     partners = matches.groupBy("x").agg(F.collect_list(F.struct("y", "shift", "low", "high", "firm")).alias("m"))
-    pairs = cut(partners.select("x", F.explode(_partners(cover)("m")).alias("p")).select("x", "p.y", "p.shifts"))
+    listed = partners.select("x", _partners(cover)("m").alias("p"))
+    # A text's pairs meet at its least partner, so texts that are near each other meet in one place.
+    root = F.least("x", F.array_min(F.transform("p", lambda r: r["y"])))
+    pairs = dealt(cut(listed.select("x", root.alias("root"), F.explode("p").alias("p")).select("root", "x", "p.y", "p.shifts")))
 
     def fetch(chunk, at, got):
-        own = [int(d) for d in got[0].get(0, b"").split(b",") if d]
+        own = [[int(v) for v in d.split(b":")] for d in got[0].get(0, b"").split(b",") if d]
         if own:
             texts = chunk.texts()
-            yield pa.RecordBatch.from_arrays([pa.array([(at << C.DOC_BITS) | d for d in own], pa.int64()), pa.array([int(chunk.ids[d]) for d in own], pa.int64()), pa.array([C.squeeze(texts[d]) for d in own], pa.binary())], ["row", "id", "body"])
-
-    # Only texts that are in a pair are taken out of their chunks.
-    needed = pairs.select(F.col("x").alias("row")).union(pairs.select("y")).distinct()
-    listed = needed.groupBy(F.shiftright("row", C.DOC_BITS).alias("chunk")).agg(F.array_join(F.collect_list(F.col("row").bitwiseAND((1 << C.DOC_BITS) - 1)), ",").cast("binary").alias("reply"))
-    texts = cut(C.per_chunk(packed, [cut(listed.withColumn("bucket", F.lit(0)))], fetch, "row long, id long, body binary"))
-    side = lambda c: texts.select(F.col("row").alias(c), F.col("id").alias(f"id_{c}"), F.col("body").alias(f"t_{c}"))
-    both = pairs.join(side("x"), "x").join(side("y"), "y").withColumn("p", F.explode(_check(width, percent)("t_x", "t_y", "shifts")))
+            squeezed = {d: C.squeeze(texts[d]) for d in sorted({d for d, _ in own})}
+            yield pa.RecordBatch.from_arrays([pa.array([g for _, g in own], pa.int64()), pa.array([(at << C.DOC_BITS) | d for d, _ in own], pa.int64()), pa.array([int(chunk.ids[d]) for d, _ in own], pa.int64()), pa.array([squeezed[d] for d, _ in own], pa.binary())], ["cell", "row", "id", "body"])
+
+    # Only texts that are in a pair are taken out of their chunks, once for each cell they are in.
+    needed = pairs.select("cell", F.col("x").alias("row")).union(pairs.select("cell", "y")).distinct()
+    place = F.concat_ws(":", F.col("row").bitwiseAND((1 << C.DOC_BITS) - 1), "cell")
+    wanted = needed.groupBy(F.shiftright("row", C.DOC_BITS).alias("chunk")).agg(F.array_join(F.collect_list(place), ",").cast("binary").alias("reply"))
+    texts = C.per_chunk(packed, [cut(wanted.withColumn("bucket", F.lit(0)))], fetch, "cell long, row long, id long, body binary")
+    both = pairs.groupBy("cell").cogroup(texts.groupBy("cell")).applyInArrow(_check(width, percent), NEAR)
     known = lambda c: F.when(F.col(c) != C.NO_ID, F.col(c))
-    return both.select(known("id_x").alias(key), F.col("p.a").alias("start_word"), F.col("p.b").alias("end_word"), known("id_y").alias(f"other_{key}"), F.col("p.c").alias("other_start"), F.col("p.d").alias("other_end"), F.col("p.s").alias("similarity"))
+    return both.select(known("id_x").alias(key), F.col("a").alias("start_word"), F.col("b").alias("end_word"), known("id_y").alias(f"other_{key}"), F.col("c").alias("other_start"), F.col("d").alias("other_end"), F.col("s").alias("similarity"))
