@@ -6,7 +6,7 @@ import pytest
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import functions as F
 
-from weftlink.operators import audit, blocking, decode, features, fusion, metrics, ranker, sampling, sinks, tfidf
+from weftlink.operators import audit, blocking, decode, features, fusion, metrics, pairs, ranker, sampling, sinks, tfidf
 from weftlink.sources import evidence as checks
 from weftlink.sources import records
 
@@ -470,3 +470,27 @@ def test_exact_pairs_are_the_distinct_ones_and_not_shuffled(spark, monkeypatch,
     e = spark.range(n).selectExpr("concat('S', id % 3 + 1, '-', id) as entity_id", "concat('S', id % 3 + 1) as source", "'Common' as business_name", "cast(id as string) as business_address", "'A' as country")
     f = features.field_features("name") | features.name_features()
     assert max(_written(spark, features.exactly_joined(e, False).select("s1_id", "target_id", *[c.alias(k) for k, c in f.items()]), tmp_path)) < 10 * n
+
+
+def test_gathered_pairs_say_what_evidence_says_and_are_not_shuffled(spark, monkeypatch, tmp_path):
+    draw = random.Random(9)
+    names, streets = ["Café One", "Cafe One", "cafe one ", "Two", "\uff9e", "", "null"], ["1 Rd", "1 rd.", "2 Rue É", "2 rue e", ""]
+    rows = [(f"S{i % 3 + 1}-{i}", f"S{i % 3 + 1}", draw.choice(names), draw.choice(streets), draw.choice(["A", "A", "B", None])) for i in range(90)]
+    # An id that occurs with several contents on both sides, and a record that is there twice.
+    rows += [rows[1], (rows[3][0], "S1", "Two", "1 Rd", "A"), (rows[3][0], "S1", "Cafe One", "1 Rd", "A"), (rows[4][0], "S2", "Two", "1 Rd", "A"), (rows[4][0], "S2", "Café One", "1 rd.", "A")]
+    schema = "entity_id string, source string, business_name string, business_address string, country string"
+    e = spark.createDataFrame(rows, schema)
+    found = [(f"S1-{i}", f"S{s}-{i + s - 1 + 3 * k}", f"S{s}", c, 0.9 - k / 10, k + 1, False, f"k{k}") for i in range(0, 60, 3) for s in (2, 3) for k in range(3) for c in ("name_char_tfidf", "address_char_tfidf")]
+    fuzzy = spark.createDataFrame(found, EVIDENCE)
+    evidence = blocking.exact(blocking.melted(e, strict=False)).select(*fuzzy.columns).unionByName(fuzzy)
+    budget = fusion.Budget(top_k=4, source_quotas={"S2": 1, "S3": 2}, channel_quotas={"address_char_tfidf": 1})
+    kinds = (fusion.provenance, lambda x: fusion.observed(x, fusion.Budget()).drop("exact_only"), lambda x: fusion.aggregated(x).drop("exact_only"), lambda x: fusion.fuse(x, budget), lambda x: fusion.select_candidates(fusion.aggregated(x), fusion.FusionSpec("rrf", 3, rescue_budget=1)))
+    monkeypatch.setattr(features, "PART_PAIRS", 40)
+    gathered = pairs.gathered(e, fuzzy, False)
+    for f in kinds:
+        want, got = f(evidence), f(gathered)
+        assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+    monkeypatch.setattr(features, "PART_PAIRS", 500_000)
+    n = 900
+    e = spark.range(n).selectExpr("concat('S', id % 3 + 1, '-', id) as entity_id", "concat('S', id % 3 + 1) as source", "'Common' as business_name", "cast(id as string) as business_address", "'A' as country")
+    assert max(_written(spark, fusion.provenance(pairs.gathered(e, fuzzy, False)), tmp_path)) < 10 * n
