@@ -7,6 +7,8 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import functions as F
 
 from weftlink.operators import audit, blocking, decode, features, fusion, metrics, pairs, ranker, sampling, sinks, tfidf
+from weftlink.plans import linkage
+from weftlink.sources import entities as entities_source
 from weftlink.sources import evidence as checks
 from weftlink.sources import records
 
@@ -494,3 +496,44 @@ def test_gathered_pairs_say_what_evidence_says_and_are_not_shuffled(spark, monke
     n = 900
     e = spark.range(n).selectExpr("concat('S', id % 3 + 1, '-', id) as entity_id", "concat('S', id % 3 + 1) as source", "'Common' as business_name", "cast(id as string) as business_address", "'A' as country")
     assert max(_written(spark, fusion.provenance(pairs.gathered(e, fuzzy, False)), tmp_path)) < 10 * n
+
+
+def _mixed(spark):
+    """Records with copies, without country, there twice, and ids with several contents."""
+    draw = random.Random(10)
+    texts = [(n, a) for n in ("Café One", "Cafe One", "Two", "", "null") for a in ("1 Rd", "2 Rue É", "")]
+    rows = [(f"S{i % 3 + 1}-{i}", f"S{i % 3 + 1}", *draw.choice(texts), draw.choice(["A", "A", "B", None])) for i in range(120)]
+    rows += [rows[0], rows[1], *[(rows[k][0], rows[k][1], *t, "A") for k in (3, 4, 6, 7) for t in texts[:7:2]]]
+    return spark.createDataFrame([(*r, f"{r[2]}|{r[3]}") for r in rows], "entity_id string, source string, business_name string, business_address string, country string, content string")
+
+
+def test_true_edges_by_class_are_those_of_records(spark, tmp_path):
+    e = _mixed(spark)
+    exact = blocking.exact(blocking.melted(e, strict=False))
+    edges = entities_source.edges(e).distinct()
+    seen = exact.groupBy("s1_id", "target_id").agg(F.array_sort(F.collect_set("channel")).alias("channels"))
+    every = {(r["s1_id"], r["target_id"]): set(r["channels"] or ()) for r in edges.join(seen, ["s1_id", "target_id"], "left").collect()}
+    true = audit.TrueEdges(e, False)
+    for prefix in ("exact_address_", "exact_"):
+        held = F.exists("channels", lambda c: c.startswith(prefix))  # noqa: B023
+        keep = {k for k, v in every.items() if any(c.startswith(prefix) for c in v)}
+        lost = true.lost(held).collect()
+        assert 0 < len(lost) == len(every) - len(keep) and {(r["s1_id"], r["target_id"]): set(r["channels"]) for r in lost} == {k: v for k, v in every.items() if k not in keep}
+        for r in true.counts(held).collect():
+            assert r["n_true"] == sum(k[0] == r["s1_id"] for k in every) and r["n_found"] == sum(k[0] == r["s1_id"] for k in keep)
+    near = pairs.exact_of(edges, e, False).collect()
+    assert len(near) == len(every) and all(set(r["channels"]) == every[r["s1_id"], r["target_id"]] for r in near)
+    # Copies that an address channel has are counted, their pairs aren't made.
+    n = 900
+    e = spark.range(n).selectExpr("concat('S', id % 3 + 1, '-', id) as entity_id", "concat('S', id % 3 + 1) as source", "'Common' as business_name", "'1 Rd' as business_address", "'A' as country", "'c' as content")
+    held = F.exists("channels", lambda c: c.startswith("exact_address_"))
+    true = audit.TrueEdges(e, False)
+    assert true.lost(held).count() == 0 and true.counts(held).agg(F.sum("n_found")).first()[0] == 300 * 600
+    assert max(_written(spark, true.counts(held), tmp_path)) < 10 * n
+
+
+@pytest.mark.parametrize("name", ["miss_audit"])
+def test_audits_make_no_exact_pairs(spark, monkeypatch, name):
+    """The pairs of a frequent key are as many as the product of its sides."""
+    monkeypatch.setattr(blocking, "exact", lambda *_: pytest.fail("all exact pairs"))
+    assert linkage.__dict__[name](spark, "/root/testdata/sf0.01").count() > 0
