@@ -532,7 +532,15 @@ def test_true_edges_by_class_are_those_of_records(spark, tmp_path):
     assert max(_written(spark, true.counts(held), tmp_path)) < 10 * n
 
 
-@pytest.mark.parametrize("name", ["miss_audit"])
+@pytest.mark.parametrize("few", [4, 1, 0])
+def test_exact_targets_are_counted_without_their_pairs(spark, few):
+    e = _mixed(spark)
+    want = blocking.exact(blocking.melted(e, strict=False)).groupBy("s1_id").agg(F.countDistinct("target_id").alias("n_exact"))
+    got = pairs.n_exact(e, False, few)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("name", ["miss_audit", "pareto_frontier"])
 def test_audits_make_no_exact_pairs(spark, monkeypatch, name):
     """The pairs of a frequent key are as many as the product of its sides."""
     monkeypatch.setattr(blocking, "exact", lambda *_: pytest.fail("all exact pairs"))
