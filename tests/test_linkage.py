@@ -540,7 +540,7 @@ def test_exact_targets_are_counted_without_their_pairs(spark, few):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
-@pytest.mark.parametrize("name", ["miss_audit", "pareto_frontier"])
+@pytest.mark.parametrize("name", ["miss_audit", "pareto_frontier", "taxonomy_pairs"])
 def test_audits_make_no_exact_pairs(spark, monkeypatch, name):
     """The pairs of a frequent key are as many as the product of its sides."""
     monkeypatch.setattr(blocking, "exact", lambda *_: pytest.fail("all exact pairs"))
