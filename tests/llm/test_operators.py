@@ -691,6 +691,47 @@ def test_op9_names_every_earlier_text_with_the_passage(spark):
     assert {tuple(r) for r in got} == {(a, b) for a in range(len(texts)) for b in range(a)}
 
 
+def _classed(spark, rows):
+    """Components of the links that find returns, and those of classes."""
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    least = {r[0]: r[0] for r in rows}
+    links = {(r["doc_id"], r["other_doc_id"]) for r in passages.find(docs, chunk_bytes=4000).collect()}
+    for _ in rows:
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+    got = {r["doc_id"]: r["component_id"] for r in passages.classes(docs, chunk_bytes=4000).collect()}
+    return links, least, got
+
+
+def test_op9_classes_are_the_components_of_all_links(spark):
+    rng = random.Random(11)
+    new = lambda k: [rng.choice(WORDS) for _ in range(k)]
+    texts = []
+    for _ in range(4):
+        shared = new(60)
+        for m in range(9):
+            # Ever more words apart: near ones are linked, far ones by others alone or not at all.
+            p = list(shared)
+            for i in rng.sample(range(60), m % 5):
+                p[i] = f"own{len(texts)}"
+            texts.append(new(30) + p + new(20))
+    texts += [texts[0], texts[9], new(200), new(10), []]
+    links, want, got = _classed(spark, [(7 * i % 101, " ".join(x)) for i, x in enumerate(texts)])
+    assert got == want and len(links) > 30 and 5 < len(set(want.values())) < len(texts)
+
+
+def test_op9_returns_a_row_a_document_and_checks_few_pairs(spark, monkeypatch):
+    """A group of near copies: pairs are as many as its square, those verified a few a document."""
+    words = [f"w{i}" for i in range(120)]
+    n = 30
+    docs = spark.createDataFrame([(i, " ".join(words[: 3 * i] + [f"own{i}"] + words[3 * i + 1 :])) for i in range(n)], "doc_id long, text string")
+    counted, dealt = [], passages.dealt
+    monkeypatch.setattr(passages, "dealt", lambda pairs: counted.append(pairs.count()) or dealt(pairs))
+    got = passages.classes(docs).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(n)) and {r["component_id"] for r in got} == {0}
+    assert sum(counted) < 5 * n
+
+
 def test_op9_finds_passages_with_a_word_more_or_less(spark):
     rng = random.Random(11)
     new = lambda k: [rng.choice(WORDS) for _ in range(k)]

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import chunks as C
+from . import graph
 from .common import ROLL, Words, cut, mix, shuffles, sliding_min, trim
 
 WORDS = 5
@@ -250,6 +251,7 @@ def _stretches(hit: np.ndarray, width: int) -> np.ndarray:
 
 SENT = "bucket int, body binary, marks binary"
 MATCH = "x long, y long, shift int, low int, high int, firm int"
+KEPT = f"{MATCH}, bucket int, body binary, marks binary"
 
 
 class Places:
@@ -363,14 +365,15 @@ def _similarity(a: np.ndarray, b: np.ndarray) -> float:
     return inter / (len(both) - inter)
 
 
-NEAR = "id_x long, a int, b int, id_y long, c int, d int, s double"
+NEAR = "x long, y long, id_x long, a int, b int, id_y long, c int, d int, s double"
 
 
 def _check(width: int, percent: int):
     """What the pairs of a cell have in common; each text of the cell is there once."""
 
     def check(pairs: pa.Table, texts: pa.Table) -> pa.Table:
-        place = {r: i for i, r in enumerate(texts.column("row").to_pylist())}
+        rows = texts.column("row").to_pylist()
+        place = {r: i for i, r in enumerate(rows)}
         ids, bodies = texts.column("id").to_pylist(), texts.column("body")
         names = [c.split()[0] for c in NEAR.split(", ")]
         out: list[list] = [[] for _ in names]
@@ -381,7 +384,7 @@ def _check(width: int, percent: int):
         def flush() -> None:
             for (i, j, _, x, y), stretches in zip(some, _checked(here, [p[:3] for p in some], width, percent), strict=True):
                 for a, b, c, d, s in stretches:
-                    for column, v in zip(out, (ids[x], a, b, ids[y], c, d, s), strict=True):
+                    for column, v in zip(out, (rows[x], rows[y], ids[x], a, b, ids[y], c, d, s), strict=True):
                         column.append(v)
             held.clear(), here.clear(), some.clear()
 
@@ -481,6 +484,13 @@ def dealt(pairs: DataFrame) -> DataFrame:
     return pairs.join(large, "root", "left").withColumn("cell", cell).drop("parts")
 
 
+def _replies(rows: DataFrame, value: str) -> DataFrame:
+    """The values (row, value) for each chunk, as its replies."""
+    place = F.concat_ws(":", F.col("row").bitwiseAND((1 << C.DOC_BITS) - 1), value)
+    wanted = rows.groupBy(F.shiftright("row", C.DOC_BITS).alias("chunk")).agg(F.array_join(F.collect_list(place), ",").cast("binary").alias("reply"))
+    return cut(wanted.withColumn("bucket", F.lit(0)))
+
+
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text", passage: int = PASSAGE, percent: int = PERCENT, chunk_bytes: int = C.CHUNK_BYTES, cover: bool = False) -> DataFrame:
     """(key, start_word, end_word, other_<key>, other_start, other_end, similarity): each passage of a document with one of an earlier document that is near it.
 
@@ -493,6 +503,49 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", passage: int
     their own. Texts of fewer words, null and empty texts have no passages; an empty
     table gives none. Keys are integers; columns other than key and text are ignored.
     """
+    _, links, verified, _ = _finder(docs, key, text, passage, percent, chunk_bytes)
+    both = verified(links(cover), cover)
+    known = lambda c: F.when(F.col(c) != C.NO_ID, F.col(c))
+    return both.select(known("id_x").alias(key), F.col("a").alias("start_word"), F.col("b").alias("end_word"), known("id_y").alias(f"other_{key}"), F.col("c").alias("other_start"), F.col("d").alias("other_end"), F.col("s").alias("similarity"))
+
+
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", passage: int = PASSAGE, percent: int = PERCENT, chunk_bytes: int = C.CHUNK_BYTES) -> DataFrame:
+    """(key, component_id, n_passages): for each document the least key reachable by the links of ``find``, itself included, and how many of its stretches were found in the links that were verified.
+
+    The components are those of all pairs of ``find``. First pairs are verified until each
+    stretch has a partner; then, of all pairs of classes, those of different components.
+    Pairs within a component would change nothing. A document without a partner, or without text, is
+    its own component; null keys come last, as in ``find``.
+    """
+    packed, links, verified, again = _finder(docs, key, text, passage, percent, chunk_bytes)
+    held = links(True, kept=True)
+    matches = held.filter("x <> y").select(*[c.split()[0] for c in MATCH.split(", ")])
+    near = cut(verified(matches, True).select("x", "y", "a", "b"))
+    ends = lambda df: df.select(F.col("x").alias("a"), F.col("y").alias("b"))
+    comp = cut(graph.components(ends(near)).withColumnRenamed("node", "row"))
+    labels = held.filter("x = y").select("bucket", F.col("x").alias("row")).join(comp, "row", "left").select("bucket", "row", F.coalesce("comp", "row").alias("label"))
+    groups = held.filter("body is not null").select(F.col("bucket").alias("own"), "body", "marks")
+    rest = groups.groupBy("own").cogroup(labels.groupBy("bucket")).applyInArrow(again, MATCH)
+    label = lambda c: comp.select(F.col("row").alias(c), F.col("comp").alias(f"_{c}"))
+    apart = matches.join(label("x"), "x", "left").join(label("y"), "y", "left").filter(F.coalesce("_x", "x") != F.coalesce("_y", "y"))
+    more = verified(cut(apart.select(*matches.columns).unionByName(rest).distinct()), False)
+    every = near.unionByName(cut(more.select("x", "y", "a", "b")))
+    reached = graph.components(ends(every)).withColumnRenamed("node", "row")
+
+    def named(chunk, at, _):
+        row = (at << C.DOC_BITS) | np.arange(len(chunk.ids))
+        yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(chunk.ids, pa.int64())], ["row", "id"])
+
+    docs = C.per_chunk(packed, [], named, "row long, id long").join(reached, "row", "left").withColumn("comp", F.coalesce("comp", "row"))
+    known = F.when(F.col("id") != C.NO_ID, F.col("id"))
+    least = docs.groupBy("comp").agg(F.min(known).alias("component_id"))
+    counted = every.select("x", "a", "b").distinct().groupBy(F.col("x").alias("row")).agg(F.count("*").alias("n_passages"))
+    out = docs.join(least, "comp").join(counted, "row", "left")
+    return out.select(known.alias(key), "component_id", F.coalesce("n_passages", F.lit(0)).alias("n_passages"))
+
+
+def _finder(docs: DataFrame, key: str, text: str, passage: int, percent: int, chunk_bytes: int):
+    """The packed texts, and what gives their verified links."""
     width = passage - WORDS + 1
     # So many shingles of a passage's width must be in both passages, and may be without a partner.
     common = -(-2 * percent * width // (100 + percent))
@@ -507,98 +560,149 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", passage: int
 
     levels = C.answer(C.per_chunk(packed, [], ask, C.ASK))
 
-    def send(chunk, at, got):
-        sh = Shingled(chunk.texts())
-        if not len(sh.hash):
-            return
-        shared = C.levels(sh.hash, got[0], buckets) > 0
-        # The longer of two passages may have twice as many shingles of its own in a stretch of this width.
-        found = list(sh.shared_windows(width, shared, width - 2 * missing))
-        if not found:
-            return
-        left, c, right, k = (np.concatenate([x[i] for x in found]) for i in range(4))
-        low, high = np.maximum(left, c - width), np.minimum(right, c + width)
-        sums = np.concatenate([[0], np.cumsum(shared)])
-        keep = shared[c] & (sums[high + 1] - sums[low] >= common)
-        if not keep.any():
-            return
-        k, c, low, high = k[keep], c[keep], low[keep], high[keep]
-        d = sh.doc[c]
-        marks = _marks(sh.hash, shared, c, low, high, width)
-        around = _surroundings(marks).view(np.int64)
-        order = np.lexsort((c, around, k))
-        # Of a text that repeats itself, windows that differ by less than half a passage only are one.
-        near = c[order] // (width // 2)
-        order = order[_changes(k[order], around[order]) | _changes(d[order], near)]
-        k, around, c, d = k[order], around[order], c[order], d[order]
-        new = _changes(k, around)
-        all_ = np.stack([k.view(np.int64), chunk.ids[d], (at << C.DOC_BITS) | d, c - sh.first[d], around])
-        marks = marks[order][new]
-        where = C.bucket_of(k, buckets)
-        own = np.unique(where)
-        bodies = [np.ascontiguousarray(all_[:, where == b]) for b in own]
-        marked = [marks[where[new] == b] for b in own]
-        yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), *[pa.array([C.squeeze(x.tobytes()) for x in xs], pa.binary()) for xs in (bodies, marked)]], ["bucket", "body", "marks"])
-
-    def meet(table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(C.unsqueeze(x.as_py()), np.int64).reshape(5, -1) for x in table.column("body")]
-        # In the order of their chunks, so that a class has the same marks in every run.
-        turn = sorted(range(len(parts)), key=lambda i: int(parts[i][2, 0]))
-        parts = [parts[i] for i in turn]
-        held = np.concatenate([_changes(p[0], p[4]) for p in parts])
-        bodies = table.column("marks")
-        marks = np.concatenate([np.frombuffer(C.unsqueeze(bodies[i].as_py()), np.uint16).reshape(-1, 2 * width + 1) for i in turn])
-        a = np.concatenate(parts, axis=1)
-        # The marks of each window that has its own; others have those of their class.
-        own = np.where(held, np.cumsum(held) - 1, -1)
-        order = np.lexsort((a[3], a[2], a[1], a[4], a[0]))
-        k, ids, row, c, around = a[:, order]
+    names = [c.split()[0] for c in MATCH.split(", ")]
+
+    def met(a: np.ndarray, marks: np.ndarray, label: np.ndarray, cover: bool) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+        """(x, y, low, high, firm) of windows in order whose classes are linked by marks, their labels being different; and which classes are of a group of three or more that has such a pair."""
+        k, ids, row, c, around = a
         begin = np.flatnonzero(_changes(k, around))
-        marks = marks[np.maximum.reduceat(own[order], begin)]
         member = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(k))))
         first = begin[member]
-        x = np.flatnonzero(row != row[first])
-        y = first[x]
         # Classes of a group in the order of their first members.
         rank = np.lexsort((c[begin], row[begin], ids[begin], k[begin]))
         head = begin[rank]
         start = np.maximum.accumulate(np.where(_changes(k[head], k[head]), np.arange(len(head)), 0))
-        cx, cy, clow, chigh, cfirm = class_pairs(start, row[head], marks[rank], width, common, cover)
+        cx, cy, clow, chigh, cfirm = class_pairs(start, label[head], marks[rank], width, common, cover)
         # What the first member of a class meets, its own text's other members meet too.
         mates = np.flatnonzero(row == row[first])
         mates = mates[np.argsort(member[mates], kind="stable")]
         lo, hi = np.searchsorted(member[mates], rank[cx]), np.searchsorted(member[mates], rank[cx], side="right")
         n = hi - lo
         mine = mates[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
-        # Members of a class have the class's shared stretches in common.
-        linked = _stretches(marks != _NONE, width) >= common
-        low, high, one = (v[member[x]] for v in _reach(linked, width))
-        some = linked.any(axis=1)[member[x]]
-        x, y = np.concatenate([x[some], mine]), np.concatenate([y[some], np.repeat(head[cy], n)])
-        low, high, firm = (np.concatenate([a[some], np.repeat(b, n)]) for a, b in ((low, clow), (high, chigh), (one, cfirm)))
+        hit = np.zeros(len(start), bool)
+        hit[start[cx]] = True
+        some_groups = np.zeros(len(begin), bool)
+        some_groups[rank] = hit[start] & (np.bincount(start, minlength=len(start))[start] > 2)
+        return (mine, np.repeat(head[cy], n), *[np.repeat(v, n) for v in (clow, chigh, cfirm)]), some_groups
+
+    def answered(row, c, x, y, low, high, firm) -> list[pa.Array]:
         found = np.unique(np.stack([row[x], row[y], c[x] - c[y], c[x] + low, c[x] + high, firm]), axis=1)
+        return [pa.array(v, pa.int64() if i < 2 else pa.int32()) for i, v in enumerate(found)]
+
+    def again(groups: pa.Table, labels: pa.Table) -> pa.Table:
+        """All linked pairs of different labels of a bucket's kept groups."""
+        of = dict(zip(labels.column("row").to_pylist(), labels.column("label").to_pylist(), strict=True))
+        out = []
+        for body, marks in zip(groups.column("body"), groups.column("marks"), strict=True):
+            a = np.frombuffer(C.unsqueeze(body.as_py()), np.int64).reshape(5, -1)
+            marks = np.frombuffer(C.unsqueeze(marks.as_py()), np.uint16).reshape(-1, 2 * width + 1)
+            if a.shape[1]:
+                pairs, _ = met(a, marks, np.array([of[r] for r in a[2].tolist()]), False)
+                out.append(pa.table(answered(a[2], a[3], *pairs), names=names))
         trim()
-        return pa.table([pa.array(v, pa.int64() if i < 2 else pa.int32()) for i, v in enumerate(found)], names=["x", "y", "shift", "low", "high", "firm"])
-
-    matches = C.per_chunk(packed, [levels], send, SENT).groupBy("bucket").applyInArrow(meet, MATCH)
-    partners = matches.groupBy("x").agg(F.collect_list(F.struct("y", "shift", "low", "high", "firm")).alias("m"))
-    listed = partners.select("x", _partners(cover)("m").alias("p"))
-    # A text's pairs meet at its least partner, so texts that are near each other meet in one place.
-    root = F.least("x", F.array_min(F.transform("p", lambda r: r["y"])))
-    pairs = dealt(cut(listed.select("x", root.alias("root"), F.explode("p").alias("p")).select("root", "x", "p.y", "p.shifts")))
-
-    def fetch(chunk, at, got):
-        own = [[int(v) for v in d.split(b":")] for d in got[0].get(0, b"").split(b",") if d]
-        if own:
-            texts = chunk.texts()
-            squeezed = {d: C.squeeze(texts[d]) for d in sorted({d for d, _ in own})}
-            yield pa.RecordBatch.from_arrays([pa.array([g for _, g in own], pa.int64()), pa.array([(at << C.DOC_BITS) | d for d, _ in own], pa.int64()), pa.array([int(chunk.ids[d]) for d, _ in own], pa.int64()), pa.array([squeezed[d] for d, _ in own], pa.binary())], ["cell", "row", "id", "body"])
-
-    # Only texts that are in a pair are taken out of their chunks, once for each cell they are in.
-    needed = pairs.select("cell", F.col("x").alias("row")).union(pairs.select("cell", "y")).distinct()
-    place = F.concat_ws(":", F.col("row").bitwiseAND((1 << C.DOC_BITS) - 1), "cell")
-    wanted = needed.groupBy(F.shiftright("row", C.DOC_BITS).alias("chunk")).agg(F.array_join(F.collect_list(place), ",").cast("binary").alias("reply"))
-    texts = C.per_chunk(packed, [cut(wanted.withColumn("bucket", F.lit(0)))], fetch, "cell long, row long, id long, body binary")
-    both = pairs.groupBy("cell").cogroup(texts.groupBy("cell")).applyInArrow(_check(width, percent), NEAR)
-    known = lambda c: F.when(F.col(c) != C.NO_ID, F.col(c))
-    return both.select(known("id_x").alias(key), F.col("a").alias("start_word"), F.col("b").alias("end_word"), known("id_y").alias(f"other_{key}"), F.col("c").alias("other_start"), F.col("d").alias("other_end"), F.col("s").alias("similarity"))
+        return pa.concat_tables(out) if out else pa.table([pa.array([], pa.int64() if i < 2 else pa.int32()) for i in range(6)], names=names)
+
+    def links(cover: bool, kept: bool = False) -> DataFrame:
+        """Matched pairs (MATCH). With ``kept`` they are written, and for each bucket the groups in which cover left out pairs and their texts (x = y)."""
+
+        def send(chunk, at, got):
+            sh = Shingled(chunk.texts())
+            if not len(sh.hash):
+                return
+            shared = C.levels(sh.hash, got[0], buckets) > 0
+            # The longer of two passages may have twice as many shingles of its own in a stretch of this width.
+            found = list(sh.shared_windows(width, shared, width - 2 * missing))
+            if not found:
+                return
+            left, c, right, k = (np.concatenate([x[i] for x in found]) for i in range(4))
+            low, high = np.maximum(left, c - width), np.minimum(right, c + width)
+            sums = np.concatenate([[0], np.cumsum(shared)])
+            keep = shared[c] & (sums[high + 1] - sums[low] >= common)
+            if not keep.any():
+                return
+            k, c, low, high = k[keep], c[keep], low[keep], high[keep]
+            d = sh.doc[c]
+            marks = _marks(sh.hash, shared, c, low, high, width)
+            around = _surroundings(marks).view(np.int64)
+            order = np.lexsort((c, around, k))
+            # Of a text that repeats itself, windows that differ by less than half a passage only are one.
+            near = c[order] // (width // 2)
+            order = order[_changes(k[order], around[order]) | _changes(d[order], near)]
+            k, around, c, d = k[order], around[order], c[order], d[order]
+            new = _changes(k, around)
+            all_ = np.stack([k.view(np.int64), chunk.ids[d], (at << C.DOC_BITS) | d, c - sh.first[d], around])
+            marks = marks[order][new]
+            where = C.bucket_of(k, buckets)
+            own = np.unique(where)
+            bodies = [np.ascontiguousarray(all_[:, where == b]) for b in own]
+            marked = [marks[where[new] == b] for b in own]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), *[pa.array([C.squeeze(x.tobytes()) for x in xs], pa.binary()) for xs in (bodies, marked)]], ["bucket", "body", "marks"])
+
+        def meet(table: pa.Table) -> pa.Table:
+            parts = [np.frombuffer(C.unsqueeze(x.as_py()), np.int64).reshape(5, -1) for x in table.column("body")]
+            # In the order of their chunks, so that a class has the same marks in every run.
+            turn = sorted(range(len(parts)), key=lambda i: int(parts[i][2, 0]))
+            parts = [parts[i] for i in turn]
+            held = np.concatenate([_changes(p[0], p[4]) for p in parts])
+            bodies = table.column("marks")
+            marks = np.concatenate([np.frombuffer(C.unsqueeze(bodies[i].as_py()), np.uint16).reshape(-1, 2 * width + 1) for i in turn])
+            a = np.concatenate(parts, axis=1)
+            # The marks of each window that has its own; others have those of their class.
+            own = np.where(held, np.cumsum(held) - 1, -1)
+            order = np.lexsort((a[3], a[2], a[1], a[4], a[0]))
+            k, ids, row, c, around = a = a[:, order]
+            begin = np.flatnonzero(_changes(k, around))
+            marks = marks[np.maximum.reduceat(own[order], begin)]
+            member = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(k))))
+            first = begin[member]
+            x = np.flatnonzero(row != row[first])
+            y = first[x]
+            (cx, cy, clow, chigh, cfirm), some_groups = met(a, marks, row, cover)
+            # Members of a class have the class's shared stretches in common.
+            linked = _stretches(marks != _NONE, width) >= common
+            low, high, one = (v[member[x]] for v in _reach(linked, width))
+            some = linked.any(axis=1)[member[x]]
+            x, y = np.concatenate([x[some], cx]), np.concatenate([y[some], cy])
+            low, high, firm = (np.concatenate([p[some], q]) for p, q in ((low, clow), (high, chigh), (one, cfirm)))
+            found = answered(row, c, x, y, low, high, firm)
+            if not kept:
+                trim()
+                return pa.table(found, names=names)
+            # Of groups of three classes or more cover may leave out pairs where it found others: their first members are kept.
+            stay = some_groups[member] & (row == row[first])
+            bodies = [C.squeeze(np.ascontiguousarray(v).tobytes()) for v in (a[:, stay], marks[some_groups])]
+            texts = np.unique(row[stay])
+            trim()
+            none = [pa.nulls(len(found[0]) + len(texts), pa.binary())] * 2
+            own_bucket = pa.array(np.full(len(found[0]) + len(texts) + 1, table.column("bucket")[0].as_py()), pa.int32())
+            zero = np.zeros(len(texts), np.int64)
+            columns = [pa.concat_arrays([f, pa.array(t, f.type), pa.nulls(1, f.type)]) for f, t in zip(found, (texts, texts, zero, zero, zero, zero), strict=True)]
+            return pa.table([*columns, own_bucket, *[pa.concat_arrays([n, pa.array([b], pa.binary())]) for n, b in zip(none, bodies, strict=True)]], names=[*names, "bucket", "body", "marks"])
+
+        matches = C.per_chunk(packed, [levels], send, SENT).groupBy("bucket").applyInArrow(meet, KEPT if kept else MATCH)
+        if kept:
+            matches = cut(matches)
+        return matches
+
+    def verified(matches: DataFrame, cover: bool) -> DataFrame:
+        """The links (NEAR) of matched pairs."""
+        partners = matches.groupBy("x").agg(F.collect_list(F.struct("y", "shift", "low", "high", "firm")).alias("m"))
+        listed = partners.select("x", _partners(cover)("m").alias("p"))
+        # A text's pairs meet at its least partner, so texts that are near each other meet in one place.
+        root = F.least("x", F.array_min(F.transform("p", lambda r: r["y"])))
+        pairs = dealt(cut(listed.select("x", root.alias("root"), F.explode("p").alias("p")).select("root", "x", "p.y", "p.shifts")))
+
+        def fetch(chunk, at, got):
+            own = [[int(v) for v in d.split(b":")] for d in got[0].get(0, b"").split(b",") if d]
+            if own:
+                texts = chunk.texts()
+                squeezed = {d: C.squeeze(texts[d]) for d in sorted({d for d, _ in own})}
+                yield pa.RecordBatch.from_arrays([pa.array([g for _, g in own], pa.int64()), pa.array([(at << C.DOC_BITS) | d for d, _ in own], pa.int64()), pa.array([int(chunk.ids[d]) for d, _ in own], pa.int64()), pa.array([squeezed[d] for d, _ in own], pa.binary())], ["cell", "row", "id", "body"])
+
+        # Only texts that are in a pair are taken out of their chunks, once for each cell they are in.
+        needed = pairs.select("cell", F.col("x").alias("row")).union(pairs.select("cell", "y")).distinct()
+        texts = C.per_chunk(packed, [_replies(needed, "cell")], fetch, "cell long, row long, id long, body binary")
+        both = pairs.groupBy("cell").cogroup(texts.groupBy("cell")).applyInArrow(_check(width, percent), NEAR)
+        return both
+
+    return packed, links, verified, again

@@ -59,7 +59,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passages.find(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return passages.classes(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
