@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import tempfile
 
 import numpy as np
@@ -43,6 +44,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Let the driver drop what no plan refers to any more, shuffle files and broadcasts with it."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def trim() -> None:
     """Give freed memory back: Python workers stay for later tasks, and what they hold counts against the executor."""
     pa.default_memory_pool().release_unused()

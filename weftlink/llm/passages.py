@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from . import chunks as C
 from . import graph
-from .common import ROLL, Words, cut, mix, shuffles, sliding_min, trim
+from .common import ROLL, Words, collect_garbage, cut, mix, shuffles, sliding_min, trim
 
 WORDS = 5
 #: A passage has so many words at least.
@@ -522,15 +522,23 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", passage: i
     matches = held.filter("x <> y").select(*[c.split()[0] for c in MATCH.split(", ")])
     near = cut(verified(matches, True).select("x", "y", "a", "b"))
     ends = lambda df: df.select(F.col("x").alias("a"), F.col("y").alias("b"))
+    # The broadcast replies and shuffles of the first pass go only when the JVM collects what refers to them.
+    collect_garbage(docs.sparkSession)
     comp = cut(graph.components(ends(near)).withColumnRenamed("node", "row"))
+    collect_garbage(docs.sparkSession)
     labels = held.filter("x = y").select("bucket", F.col("x").alias("row")).join(comp, "row", "left").select("bucket", "row", F.coalesce("comp", "row").alias("label"))
     groups = held.filter("body is not null").select(F.col("bucket").alias("own"), "body", "marks")
     rest = groups.groupBy("own").cogroup(labels.groupBy("bucket")).applyInArrow(again, MATCH)
     label = lambda c: comp.select(F.col("row").alias(c), F.col("comp").alias(f"_{c}"))
     apart = matches.join(label("x"), "x", "left").join(label("y"), "y", "left").filter(F.coalesce("_x", "x") != F.coalesce("_y", "y"))
     more = verified(cut(apart.select(*matches.columns).unionByName(rest).distinct()), False)
-    every = near.unionByName(cut(more.select("x", "y", "a", "b")))
-    reached = graph.components(ends(every)).withColumnRenamed("node", "row")
+    more = cut(more.select("x", "y", "a", "b"))
+    every = near.unionByName(more)
+    # The links of components; the rows of one go where it goes.
+    between = more.join(label("x"), "x", "left").join(label("y"), "y", "left").select(F.coalesce("_x", "x").alias("a"), F.coalesce("_y", "y").alias("b"))
+    further = graph.components(between.distinct())
+    alone = further.join(comp, further["node"] == comp["row"], "left_anti").select(F.col("node").alias("row"), "comp")
+    reached = comp.withColumnRenamed("comp", "node").join(further, "node", "left").select("row", F.coalesce("comp", "node").alias("comp")).unionByName(alone)
 
     def named(chunk, at, _):
         row = (at << C.DOC_BITS) | np.arange(len(chunk.ids))
