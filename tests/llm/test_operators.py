@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 from math import log10
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -773,6 +774,46 @@ def test_op9_is_the_same_whatever_the_cells(spark, monkeypatch):
     assert sorted(map(tuple, passages.find(docs).collect())) == want
 
 
+def test_op9_passages_of_both_texts_are_long_enough(spark):
+    """Repeated words: 43 of one text are near the same word of another, but are no passage of 50."""
+    own = lambda i: [f"own{i}x{k}" for k in range(60)]
+    texts = [own(i) + ["ez"] * m + ["en"] * n + own(i + 100) for i, (m, n) in enumerate([(20, 43)] * 2 + [(0, 100)] * 2 + [(0, 60), (0, 43)])]
+    got = passages.find(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["other_doc_id"]) for r in got} == {(1, 0), (3, 2), (4, 2)}
+    assert all(r["end_word"] - r["start_word"] >= 50 and r["other_end"] - r["other_start"] >= 50 for r in got)
+
+
+def test_op9_classes_of_repeated_words_meet_as_sets():
+    """A run of one shingle has many places and is one shingle: classes that share no other are no pair."""
+    width, common = 46, 40
+    runs = np.repeat(np.arange(6, dtype=np.uint16), 16)[3:]
+    marks = np.stack([np.where(runs == 2, 2, 100 * i + runs).astype(np.uint16) for i in range(1, 9)] + [np.full(2 * width + 1, 2, np.uint16)] * 2)
+    start, row = np.zeros(len(marks), np.int64), np.arange(len(marks))
+    x, y, *_ = passages.class_pairs(start, row, marks, width, common)
+    assert list(zip(x.tolist(), y.tolist(), strict=True)) == [(9, 8)]
+
+
+def test_op9_replies_are_bits_and_no_broadcast_changes_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    pool = rng.integers(0, 1 << 63, 20_000).astype(np.uint64)
+    keys = [np.unique(rng.choice(pool, 5000)) for _ in range(3)]
+    batches = [chunks.ask(i, k, np.arange(len(k)), 4) for i, k in enumerate(keys)]
+    requests = spark.createDataFrame(pa.Table.from_batches(batches).to_pandas(), chunks.ASK)
+    sizes = []
+    for bits, read in ((False, lambda *a: chunks.levels(*a) > 0), (True, chunks.several)):
+        rows = chunks.answer(requests, bits).collect()
+        sizes.append(sum(len(r["reply"]) for r in rows))
+        for i, k in enumerate(keys):
+            others = np.concatenate(keys[:i] + keys[i + 1 :])
+            assert (read(k, {r["bucket"]: r["reply"] for r in rows if r["chunk"] == i}, 4) == np.isin(k, others)).all()
+    assert sizes[1] < sizes[0] and sizes[1] <= sum(map(len, keys)) / 8 + 12 * 20
+    words = [f"w{i}" for i in range(90)]
+    docs = spark.createDataFrame([(i, " ".join(words[:i] + [f"own{i}"] + words[i + 1 :])) for i in range(2, 90, 8)], "doc_id long, text string")
+    want = sorted(map(tuple, passages.classes(docs, chunk_bytes=2000).collect()))
+    monkeypatch.setattr(passages, "BROADCAST_BYTES", -1)
+    assert sorted(map(tuple, passages.classes(docs, chunk_bytes=2000).collect())) == want
+
+
 def test_op9_partners_cover_all_stretches():
     y = np.array([5, 5, 7, 8, 9, 4])
     low, high = np.array([0, 60, 0, 40, 50, 200]), np.array([50, 120, 120, 100, 160, 260])

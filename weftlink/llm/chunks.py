@@ -122,17 +122,17 @@ def split(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return u, edges, back
 
 
-def per_chunk(chunks: DataFrame, replies: list[DataFrame], work, schema: str, small: bool = True) -> DataFrame:
+def per_chunk(chunks: DataFrame, replies: list[DataFrame], work, schema: str, small: bool = True, most: int = BROADCAST_BYTES) -> DataFrame:
     """work(Chunk, chunk id, [replies of the chunk]) -> iterator of record batches, over each chunk.
 
     replies: written DataFrames of (chunk, bucket, reply binary); each chunk gets
-    {bucket: reply}. Replies of some MB in all go to every worker; more are dealt by
+    {bucket: reply}. Replies of ``most`` bytes in all go to every worker; more are dealt by
     chunk, as are those known not to be small.
     """
     joined = chunks
     for i, r in enumerate(replies):
         own = r.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "reply")).alias(f"reply{i}"))
-        if small and (r.agg(F.sum(F.length("reply"))).first()[0] or 0) <= BROADCAST_BYTES:
+        if small and (r.agg(F.sum(F.length("reply"))).first()[0] or 0) <= most:
             own = F.broadcast(own)
         joined = joined.join(own, "chunk", "left")
     k = len(replies)
@@ -179,8 +179,8 @@ def _levels(n: np.ndarray) -> np.ndarray:
     return np.where(n < 2, 0, 1 + np.log2(np.maximum(n, 1)).astype(np.int64)).astype(np.uint8)
 
 
-def answer(requests: DataFrame) -> DataFrame:
-    """(bucket, chunk, reply): a level for each key of the request, from the number of documents that have it (0: one)."""
+def answer(requests: DataFrame, bits: bool = False) -> DataFrame:
+    """(bucket, chunk, reply): a level for each key of the request, from the number of documents that have it (0: one); with ``bits`` only whether several have it."""
 
     def work(table: pa.Table) -> pa.Table:
         chunks = table.column("chunk").to_pylist()
@@ -191,7 +191,8 @@ def answer(requests: DataFrame) -> DataFrame:
         level = _levels(total)[back]
         out, at = [], 0
         for k in keys:
-            out.append(squeeze(level[at : at + len(k)].tobytes()))
+            own = level[at : at + len(k)]
+            out.append(squeeze((np.packbits(own > 0) if bits else own).tobytes()))
             at += len(k)
         trim()
         return pa.table({"bucket": pa.array([table.column("bucket")[0].as_py()] * len(out), pa.int32()), "chunk": pa.array(chunks, pa.int64()), "reply": pa.array(out, pa.binary())})
@@ -206,3 +207,12 @@ def levels(keys: np.ndarray, reply: dict[int, bytes], buckets: int) -> np.ndarra
     for i, r in reply.items():
         level[edges[i] : edges[i + 1]] = np.frombuffer(unsqueeze(r), np.uint8)
     return level[back]
+
+
+def several(keys: np.ndarray, reply: dict[int, bytes], buckets: int) -> np.ndarray:
+    """Do several documents have the key? From the chunk's replies in bits."""
+    u, edges, back = split(keys, buckets)
+    out = np.zeros(len(u), bool)
+    for i, r in reply.items():
+        out[edges[i] : edges[i + 1]] = np.unpackbits(np.frombuffer(unsqueeze(r), np.uint8), count=edges[i + 1] - edges[i])
+    return out[back]

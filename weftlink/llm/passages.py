@@ -35,6 +35,8 @@ PERCENT = 75
 HASHES = 3
 #: Shifts between two texts that count as one diagonal, in shingles.
 SLACK = 8
+#: Replies of at most so many bytes are broadcast: the driver holds them several times while it does so.
+BROADCAST_BYTES = 24 << 20
 
 _LOW = np.uint64((1 << 30) - 1)
 _LAST = np.uint64((1 << 64) - 1)
@@ -124,17 +126,17 @@ class Shingled:
 
 
 #: Shingles more than a passage from the centre are not looked at. The others are kept as marks of so many bits,
-#: and as coarser sketches that are compared first.
+#: and as coarser sketches that are compared first. _NONE is a place outside the window, _OWN one of a shingle that is in no other document.
 MARK, SKETCH = 12, 1024
-_NONE = np.uint16(1 << MARK)
+_NONE, _OWN = np.uint16(1 << MARK), np.uint16((1 << MARK) + 1)
 
 
 def _marks(hashes: np.ndarray, shared: np.ndarray, c: np.ndarray, low: np.ndarray, high: np.ndarray, reach: int) -> np.ndarray:
-    """A row of marks for each window: of the shared shingles from low to high, by place; _NONE elsewhere."""
+    """A row of marks for each window: of the shared shingles from low to high, by place; _OWN for others there, _NONE elsewhere."""
     at = c[:, None] + np.arange(-reach, reach + 1)[None, :]
     inside = (at >= low[:, None]) & (at <= high[:, None])
     at = np.clip(at, 0, len(hashes) - 1)
-    return np.where(inside & shared[at], (hashes >> np.uint64(64 - MARK)).astype(np.uint16)[at], _NONE)
+    return np.where(inside, np.where(shared[at], (hashes >> np.uint64(64 - MARK)).astype(np.uint16)[at], _OWN), _NONE)
 
 
 def _bitmaps(marks: np.ndarray, bits: int) -> np.ndarray:
@@ -143,7 +145,7 @@ def _bitmaps(marks: np.ndarray, bits: int) -> np.ndarray:
     out = np.zeros((n, (1 << bits) // 8), np.uint8)
     rows = np.arange(n)
     for j in range(marks.shape[1]):
-        inside = marks[:, j] != _NONE
+        inside = marks[:, j] < _NONE
         m = marks[inside, j].astype(np.int64) >> (MARK - bits)
         out[rows[inside], m >> 3] |= (1 << (m & 7)).astype(np.uint8)
     return out
@@ -152,12 +154,13 @@ def _bitmaps(marks: np.ndarray, bits: int) -> np.ndarray:
 _MARK_VALUE = mix(np.arange(1, (1 << MARK) + 2, dtype=np.uint64) * np.uint64(ROLL))
 
 
-def _surroundings(marks: np.ndarray) -> np.ndarray:
-    """Hash of the set of each row's marks."""
-    own = np.sort(marks, axis=1)
+def _surroundings(marks: np.ndarray, width: int, common: int) -> np.ndarray:
+    """Hash of the set of each row's marks, and of whether a stretch of a passage's width has as many as a link takes."""
+    own = np.sort(np.minimum(marks, _NONE), axis=1)
     value = _MARK_VALUE[own]
     value[:, 1:][own[:, 1:] == own[:, :-1]] = 0
-    return mix(value.sum(axis=1, dtype=np.uint64))
+    able = ((_stretches(marks < _NONE, width) >= common) & (_stretches(marks != _NONE, width) == width)).any(axis=1)
+    return mix(value.sum(axis=1, dtype=np.uint64) + able)
 
 
 def _changes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -175,7 +178,7 @@ def _bits(sketch: np.ndarray) -> np.ndarray:
 BLOCK = 1 << 13
 
 
-def class_pairs(start: np.ndarray, row: np.ndarray, marks: np.ndarray, width: int, common: int, cover: bool = False) -> tuple[np.ndarray, ...]:
+def class_pairs(start: np.ndarray, row: np.ndarray, marks: np.ndarray, width: int, common: int, cover: bool = False, percent: int = PERCENT) -> tuple[np.ndarray, ...]:
     """(x, y, low, high, firm) of classes of one group, y before x, that have a passage in common by their marks; classes are ordered, start is the place of each one's group.
 
     low and high are the shingles of x in common, counted from the centre; firm says
@@ -186,6 +189,9 @@ def class_pairs(start: np.ndarray, row: np.ndarray, marks: np.ndarray, width: in
     ``cover`` a pair is left out where each of its linked stretches has an earlier partner
     that shares all that any can share, or clearly enough: a class is done when all its
     stretches have one, so a group of near copies meets in a few steps.
+
+    A stretch that repeats itself has many places and few shingles, so a pair is also held
+    against its sets (``_alike``): similarity is that of sets.
     """
     out: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(5)]
     size = np.bincount(start, minlength=len(start))[start]
@@ -197,7 +203,7 @@ def class_pairs(start: np.ndarray, row: np.ndarray, marks: np.ndarray, width: in
     start = np.arange(n) - rank
     sketch = _bitmaps(marks, 10).view(np.uint64)
     fine = _bitmaps(marks, MARK)
-    held = marks != _NONE
+    held = marks < _NONE
     whole, own = _bits(sketch), held.sum(axis=1)
     can = _stretches(held, width)
     # Of the shingles a class has, so many marks at least are in a partner: all but those outside a passage, and those missing in it.
@@ -227,6 +233,10 @@ def class_pairs(start: np.ndarray, row: np.ndarray, marks: np.ndarray, width: in
             # A partner with a long insert there has few of its own shingles in x.
             m = np.minimum(marks[y], _NONE - 1).astype(np.int64)
             back = held[y] & ((fine[x[:, None], m >> 3] >> (m & 7).astype(np.uint8)) & 1).astype(bool)
+            near = _alike(marks[x], hit[new], linked, marks[y], back, width, percent)
+            x, y, got, linked, back = x[near], y[near], got[near], linked[near], back[near]
+            if not len(x):
+                continue
             alike = _stretches(back, width).max(axis=1, initial=0) >= common
             if cover:
                 left[x[alike]] &= (got < enough[x])[alike]
@@ -236,6 +246,43 @@ def class_pairs(start: np.ndarray, row: np.ndarray, marks: np.ndarray, width: in
     return tuple(np.concatenate(v) for v in out)
 
 
+def _alike(x: np.ndarray, hit: np.ndarray, linked: np.ndarray, y: np.ndarray, back: np.ndarray, width: int, percent: int) -> np.ndarray:
+    """Can passages around the centres of x and y be similar as sets? x and y are marks, hit and back say which are in the other's.
+
+    Of all different shingles of two passages ``percent`` are shared, so what a linked stretch of x
+    and a stretch of y have of their own is bounded by what is shared. All shared marks in
+    reach count, and some more, as marks can clash.
+    """
+    before = _before(x)
+    shared = (hit & (before < 0)).sum(axis=1)
+    own = _own(~hit, before, linked & (_stretches(x != _NONE, width) == width), width) + _own(~back, _before(y), _stretches(y != _NONE, width) == width, width)
+    return percent * own <= (100 - percent) * (shared + shared // 16)
+
+
+def _before(marks: np.ndarray) -> np.ndarray:
+    """The place of the last equal mark before each, -1 if there is none."""
+    order = np.argsort(marks, axis=1, kind="stable").astype(np.int16)
+    ranked = np.take_along_axis(marks, order, axis=1)
+    last = np.full(marks.shape, -1, np.int16)
+    last[:, 1:] = np.where(ranked[:, 1:] == ranked[:, :-1], order[:, :-1], -1)
+    out = np.empty_like(last)
+    np.put_along_axis(out, order, last, axis=1)
+    return out
+
+
+def _own(lost: np.ndarray, before: np.ndarray, among: np.ndarray, width: int) -> np.ndarray:
+    """The least number of different marks that are lost in one of the stretches of that width that hold the centre."""
+    row, at = np.nonzero(lost)
+    # A lost mark counts in the stretches that hold its place and no equal mark before it.
+    low, high = np.maximum(np.maximum(before[row, at] + 1, at - width + 1), 1), np.minimum(at, width)
+    some = low <= high
+    row, low, high = row[some], low[some], high[some]
+    size = len(lost) * (width + 2)
+    steps = np.bincount(row * (width + 2) + low, minlength=size) - np.bincount(row * (width + 2) + high + 1, minlength=size)
+    n = np.cumsum(steps.reshape(-1, width + 2), axis=1)[:, 1 : width + 1]
+    return np.where(among, n, width + 1).min(axis=1, initial=width + 1)
+
+
 def _reach(linked: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First and last place of each row's linked stretches, counted from the centre, and whether they are without a gap."""
     first, last = linked.argmax(axis=1), linked.shape[1] - 1 - linked[:, ::-1].argmax(axis=1)
@@ -343,9 +390,9 @@ def _checked(texts: list[bytes], pairs: list, width: int, percent: int) -> list[
         found, places = {}, Places(hx, hy, ordered[j])
         for s in shifts:
             for a, b, c, d in matched_runs(places, int(s), width, percent):
+                c, d, similarity = _widened(hx[a : b + 1], hy, c, d, width)
                 if (a, b, c, d) in found:
                     continue
-                similarity = _similarity(hx[a : b + 1], hy[c : d + 1])
                 if 100 * similarity >= percent:  # less only where a text repeats itself, as the sets then hold less than the places
                     found[a, b, c, d] = similarity
         # Stretches inside another one found with the same text say nothing more.
@@ -358,6 +405,19 @@ def _checked(texts: list[bytes], pairs: list, width: int, percent: int) -> list[
     return out
 
 
+def _widened(x: np.ndarray, hy: np.ndarray, c: int, d: int, width: int) -> tuple[int, int, float]:
+    """The stretch of y that holds c..d, is a passage wide at least and most similar to x, and its similarity; 0 if y is shorter.
+
+    Where x repeats itself, all its places may have partners in a few places of y.
+    """
+    spare = width - (d - c + 1)
+    if spare <= 0:
+        return c, d, _similarity(x, hy[c : d + 1])
+    wide = [(_similarity(x, hy[i : i + width]), -i) for i in range(max(0, c - spare), min(c, len(hy) - width) + 1)]
+    similarity, i = max(wide, default=(0.0, -c))
+    return -i, -i + width - 1, similarity
+
+
 def _similarity(a: np.ndarray, b: np.ndarray) -> float:
     a, b = np.unique(a), np.unique(b)
     both = np.sort(np.concatenate([a, b]))
@@ -566,7 +626,7 @@ def _finder(docs: DataFrame, key: str, text: str, passage: int, percent: int, ch
         if len(sh.hash):
             yield C.ask(at, *C.distinct(sh.hash, sh.doc), buckets)
 
-    levels = C.answer(C.per_chunk(packed, [], ask, C.ASK))
+    shares = C.answer(C.per_chunk(packed, [], ask, C.ASK), bits=True)
 
     names = [c.split()[0] for c in MATCH.split(", ")]
 
@@ -580,7 +640,7 @@ def _finder(docs: DataFrame, key: str, text: str, passage: int, percent: int, ch
         rank = np.lexsort((c[begin], row[begin], ids[begin], k[begin]))
         head = begin[rank]
         start = np.maximum.accumulate(np.where(_changes(k[head], k[head]), np.arange(len(head)), 0))
-        cx, cy, clow, chigh, cfirm = class_pairs(start, label[head], marks[rank], width, common, cover)
+        cx, cy, clow, chigh, cfirm = class_pairs(start, label[head], marks[rank], width, common, cover, percent)
         # What the first member of a class meets, its own text's other members meet too.
         mates = np.flatnonzero(row == row[first])
         mates = mates[np.argsort(member[mates], kind="stable")]
@@ -617,7 +677,7 @@ def _finder(docs: DataFrame, key: str, text: str, passage: int, percent: int, ch
             sh = Shingled(chunk.texts())
             if not len(sh.hash):
                 return
-            shared = C.levels(sh.hash, got[0], buckets) > 0
+            shared = C.several(sh.hash, got[0], buckets)
             # The longer of two passages may have twice as many shingles of its own in a stretch of this width.
             found = list(sh.shared_windows(width, shared, width - 2 * missing))
             if not found:
@@ -631,7 +691,7 @@ def _finder(docs: DataFrame, key: str, text: str, passage: int, percent: int, ch
             k, c, low, high = k[keep], c[keep], low[keep], high[keep]
             d = sh.doc[c]
             marks = _marks(sh.hash, shared, c, low, high, width)
-            around = _surroundings(marks).view(np.int64)
+            around = _surroundings(marks, width, common).view(np.int64)
             order = np.lexsort((c, around, k))
             # Of a text that repeats itself, windows that differ by less than half a passage only are one.
             near = c[order] // (width // 2)
@@ -667,7 +727,7 @@ def _finder(docs: DataFrame, key: str, text: str, passage: int, percent: int, ch
             y = first[x]
             (cx, cy, clow, chigh, cfirm), some_groups = met(a, marks, row, cover)
             # Members of a class have the class's shared stretches in common.
-            linked = _stretches(marks != _NONE, width) >= common
+            linked = _stretches(marks < _NONE, width) >= common
             low, high, one = (v[member[x]] for v in _reach(linked, width))
             some = linked.any(axis=1)[member[x]]
             x, y = np.concatenate([x[some], cx]), np.concatenate([y[some], cy])
@@ -687,7 +747,7 @@ def _finder(docs: DataFrame, key: str, text: str, passage: int, percent: int, ch
             columns = [pa.concat_arrays([f, pa.array(t, f.type), pa.nulls(1, f.type)]) for f, t in zip(found, (texts, texts, zero, zero, zero, zero), strict=True)]
             return pa.table([*columns, own_bucket, *[pa.concat_arrays([n, pa.array([b], pa.binary())]) for n, b in zip(none, bodies, strict=True)]], names=[*names, "bucket", "body", "marks"])
 
-        matches = C.per_chunk(packed, [levels], send, SENT).groupBy("bucket").applyInArrow(meet, KEPT if kept else MATCH)
+        matches = C.per_chunk(packed, [shares], send, SENT, most=BROADCAST_BYTES).groupBy("bucket").applyInArrow(meet, KEPT if kept else MATCH)
         if kept:
             matches = cut(matches)
         return matches
@@ -709,7 +769,7 @@ def _finder(docs: DataFrame, key: str, text: str, passage: int, percent: int, ch
 
         # Only texts that are in a pair are taken out of their chunks, once for each cell they are in.
         needed = pairs.select("cell", F.col("x").alias("row")).union(pairs.select("cell", "y")).distinct()
-        texts = C.per_chunk(packed, [_replies(needed, "cell")], fetch, "cell long, row long, id long, body binary")
+        texts = C.per_chunk(packed, [_replies(needed, "cell")], fetch, "cell long, row long, id long, body binary", most=BROADCAST_BYTES)
         both = pairs.groupBy("cell").cogroup(texts.groupBy("cell")).applyInArrow(_check(width, percent), NEAR)
         return both
 
