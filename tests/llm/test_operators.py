@@ -793,6 +793,23 @@ def test_op9_classes_of_repeated_words_meet_as_sets():
     assert list(zip(x.tolist(), y.tolist(), strict=True)) == [(9, 8)]
 
 
+def test_op9_sketches_keep_repeated_words_apart(monkeypatch):
+    """Few pairs of classes that share one run only are compared by place, and none that is a pair is left out."""
+    rng = np.random.default_rng(4)
+    width, common = 46, 40
+    runs = np.repeat(np.arange(6), 16)[3:]
+    marks = np.stack([np.where(runs == 2, 2, rng.integers(3, 4000, 6)[runs]) for _ in range(60)]).astype(np.uint16)
+    marks = np.concatenate([marks, marks[:20], rng.integers(0, 4096, (20, 93)).astype(np.uint16)])
+    marks[60:70, 70:] = 4095
+    start, row = np.zeros(len(marks), np.int64), np.arange(len(marks))
+    counted, alike = [], passages._alike
+    monkeypatch.setattr(passages, "_alike", lambda x, *rest: counted.append(len(x)) or alike(x, *rest))
+    got = [v.tolist() for v in passages.class_pairs(start, row, marks, width, common)]
+    assert {(60 + i, i) for i in range(20)} <= set(zip(*got[:2], strict=True)) and sum(counted) < 100
+    monkeypatch.setattr(passages, "_fewest", lambda m, w: (np.zeros(len(m), np.int64), np.full(len(m), 93)))
+    assert [v.tolist() for v in passages.class_pairs(start, row, marks, width, common)] == got
+
+
 def test_op9_replies_are_bits_and_no_broadcast_changes_nothing(spark, monkeypatch):
     rng = np.random.default_rng(2)
     pool = rng.integers(0, 1 << 63, 20_000).astype(np.uint64)

@@ -210,6 +210,7 @@ def class_pairs(start: np.ndarray, row: np.ndarray, marks: np.ndarray, width: in
     need = whole - (own - common)
     enough = np.minimum(can, common + 1)
     left = can >= common
+    fewest, most = _fewest(marks, width)
     open_ = np.arange(n)
     for j in range(int(size.max()) - 1):
         open_ = open_[(rank[open_] > j) & left[open_].any(axis=1)]
@@ -220,7 +221,11 @@ def class_pairs(start: np.ndarray, row: np.ndarray, marks: np.ndarray, width: in
             y = start[x] + j
             fits = row[x] != row[y]
             x, y = x[fits], y[fits]
-            ok = _bits(sketch[x] & sketch[y]) >= need[x]
+            both = _bits(sketch[x] & sketch[y])
+            # What _alike asks, as far as sketches tell.
+            shared = np.minimum(most[x], most[y])
+            own = np.maximum(fewest[x] - both, 0) + np.maximum(fewest[y] - both, 0)
+            ok = (both >= need[x]) & (percent * own <= (100 - percent) * (shared + shared // 16))
             x, y = x[ok], y[ok]
             if not len(x):
                 continue
@@ -259,6 +264,17 @@ def _alike(x: np.ndarray, hit: np.ndarray, linked: np.ndarray, y: np.ndarray, ba
     return percent * own <= (100 - percent) * (shared + shared // 16)
 
 
+def _fewest(marks: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The least number of bits that a stretch of each row within its window has in the sketch, and the number of different marks of the row."""
+    fewest, most = np.zeros(len(marks), np.int64), np.zeros(len(marks), np.int64)
+    for at in range(0, len(marks), BLOCK):
+        m = marks[at : at + BLOCK]
+        inside = _stretches(m != _NONE, width) == width
+        fewest[at : at + BLOCK] = _own(m < _NONE, _before(m >> (MARK - 10)), inside, width)
+        most[at : at + BLOCK] = ((m < _NONE) & (_before(m) < 0)).sum(axis=1)
+    return fewest, most
+
+
 def _before(marks: np.ndarray) -> np.ndarray:
     """The place of the last equal mark before each, -1 if there is none."""
     order = np.argsort(marks, axis=1, kind="stable").astype(np.int16)
