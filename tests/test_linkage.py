@@ -545,3 +545,14 @@ def test_audits_make_no_exact_pairs(spark, monkeypatch, name):
     """The pairs of a frequent key are as many as the product of its sides."""
     monkeypatch.setattr(blocking, "exact", lambda *_: pytest.fail("all exact pairs"))
     assert linkage.__dict__[name](spark, "/root/testdata/sf0.01").count() > 0
+
+
+def test_candidate_metrics_make_no_exact_pairs(spark, monkeypatch):
+    """As the audits, and the figures are those of the pairs."""
+    d = "/root/testdata/sf0.001"
+    e = linkage._e(spark, d)
+    rows = metrics.candidate_rows(entities_source.edges(e), linkage._evidence(e), linkage._s1(e)).join(e.select(F.col("entity_id").alias("s1_id"), "country"), "s1_id")
+    columns = ["grouping", "value", "entities", "truth_edges", "recalled", "max", "median"]
+    want = sorted(map(str, metrics.candidate_metrics(rows, ["country"]).select(*columns).collect()))
+    monkeypatch.setattr(blocking, "exact", lambda *_: pytest.fail("all exact pairs"))
+    assert sorted(map(str, linkage.candidate_metrics(spark, d).select(*columns).collect())) == want
