@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +14,39 @@ PAIR = ("s1_id", "target_id", "target_source")
 K = 60
 
 
+@dataclass(frozen=True)
+class Gathered:
+    """Evidence by pair, as ``pairs.gathered`` makes it.
+
+    ``near`` (s1_id, target_id, target_source, seen, exact_only) are pairs of a fuzzy channel or of an id with several
+    texts, with all their observations. ``far`` (s1_id, target_id, kind, key) are all others: what is seen of them
+    depends on their kind alone, the exact channels they have and their source, but for the target's content.
+    ``kinds`` is as near, one row for each kind, which stands as s1_id; ``counts`` makes (s1_id, kind, n), the far
+    pairs of each query counted by their keys.
+    """
+
+    near: DataFrame
+    far: DataFrame
+    kinds: DataFrame
+    counts: Callable[[], DataFrame]
+
+    def _joined(self, rows: DataFrame, f: Callable[[DataFrame], DataFrame], own: dict[str, Column]) -> DataFrame:
+        """Rows with a kind, and what f says of it; ``own`` are columns of the rows themselves."""
+        of_kind = f(self.kinds)
+        said = of_kind.select(F.col("s1_id").cast("int").alias("kind"), *[F.col(c).alias(f"_{c}") for c in of_kind.columns])
+        own = {"s1_id": F.col("s1_id"), "exact_only": F.lit(True)} | own
+        return rows.join(F.broadcast(said), "kind").select(*[own.get(c, F.col(f"_{c}")).alias(c) for c in of_kind.columns], *[c for c in ("n",) if c in rows.columns])
+
+    def each(self, f: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """f of all pairs; f works on pairs one by one. It is asked once for each kind, not for each far pair."""
+        return f(self.near).unionByName(self._joined(self.far, f, {"target_id": F.col("target_id"), "target_content_key": F.col("key")}))
+
+    def counted(self, f: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """As each, with n: the far pairs of one query and kind are one row, without target and content."""
+        none = F.lit(None).cast("string")
+        return f(self.near).withColumn("n", F.lit(1).cast("long")).unionByName(self._joined(self.counts(), f, {"target_id": none, "target_content_key": none}))
+
+
 def top_k(evidence: DataFrame, channels: list[str] | None, k: int) -> DataFrame:
     """Distinct pairs of some channels (all if None) at ranks up to k: the union of their top lists."""
     kept = evidence.filter(F.col("channel_rank") <= k)
@@ -27,8 +61,10 @@ def deduplicated(evidence: DataFrame) -> DataFrame:
     return evidence.withColumn("_b", best).filter("_b = 1").drop("_b")
 
 
-def provenance(evidence: DataFrame, channels: tuple[str, ...] = CHANNELS) -> DataFrame:
+def provenance(evidence: DataFrame | Gathered, channels: tuple[str, ...] = CHANNELS) -> DataFrame:
     """Pairs with has, score and rank of each channel, whether a name or address is equal, and the channels joined by ``|``."""
+    if isinstance(evidence, Gathered):
+        return evidence.each(lambda x: provenance(x, channels))
     if "seen" in evidence.columns:
         return _provenance(evidence, channels)
     aggs = []
@@ -68,11 +104,13 @@ def _loose(df: DataFrame, exact: Column) -> DataFrame:
     return df.filter(~F.col("exact_only") & ~exact).drop("exact_only") if "exact_only" in df.columns else df.filter(~exact)
 
 
-def aggregated(evidence: DataFrame, k: int = K, depth: int = 80, channels: tuple[str, ...] = CHANNELS) -> DataFrame:
+def aggregated(evidence: DataFrame | Gathered, k: int = K, depth: int = 80, channels: tuple[str, ...] = CHANNELS) -> DataFrame:
     """Pairs with reciprocal-rank scores: 1 / (k + rank) of each channel, sums by family, and ranks normalised by depth.
 
     The sums of names and addresses hold all channels of the field, exact ones too.
     """
+    if isinstance(evidence, Gathered):
+        return evidence.each(lambda x: aggregated(x, k, depth, channels))
     p = _ranks(evidence, channels)
     rrf = {c: F.coalesce(1 / (k + F.col(c)), F.lit(0.0)) for c in channels}
     total = lambda test: sum((rrf[c] for c in channels if test(c)), F.lit(0.0))
@@ -145,10 +183,11 @@ def _with_ties(rank: Column, take: Column, key: Column, group) -> Column:
     return (rank <= take) | F.coalesce(key == edge, F.lit(False))
 
 
-def select_candidates(pairs: DataFrame, spec: FusionSpec) -> DataFrame:
+def select_candidates(pairs: DataFrame, spec: FusionSpec, counted: DataFrame | None = None) -> DataFrame:
     """Exact pairs always; fuzzy ones up to the budget that exact ones leave, with all ties of the last.
 
     A query without exact pairs, or whose pairs have one channel at most, gets the rescue budget too.
+    ``counted`` are the same pairs as ``Gathered.counted`` has them; without it, exact pairs are made once more to be counted.
     """
     by = ["s1_id"] if spec.budget is not None else ["s1_id", "target_source"]
     group, query = Window.partitionBy(*by), Window.partitionBy("s1_id")
@@ -157,7 +196,8 @@ def select_candidates(pairs: DataFrame, spec: FusionSpec) -> DataFrame:
     # Exact pairs are counted and stay: only the others are dealt by query.
     scored = pairs.withColumn("fusion_score", fusion_score(spec))
     sure = scored.filter(exact)
-    df = _loose(scored, exact).join(sure.groupBy(*by).agg(F.count("*").alias("_n_exact")), by, "left").join(sure.groupBy("s1_id").agg(F.max("supporting_channels").alias("_most")), "s1_id", "left")
+    known = (pairs.withColumn("n", F.lit(1)) if counted is None else counted).filter(exact)
+    df = _loose(scored, exact).join(known.groupBy(*by).agg(F.sum("n").alias("_n_exact")), by, "left").join(known.groupBy("s1_id").agg(F.max("supporting_channels").alias("_most")), "s1_id", "left")
     weak = F.col("_most").isNull() | (F.greatest("_most", F.max("supporting_channels").over(query)) <= 1)
     left = F.greatest(base + F.when(weak, spec.rescue_budget).otherwise(0) - F.coalesce("_n_exact", F.lit(0)), F.lit(0))
     key = F.struct(F.col("fusion_score"), F.col("supporting_channels"), F.col("target_content_key"))
@@ -203,8 +243,10 @@ PROFILES = {
 }
 
 
-def observed(evidence: DataFrame, budget: Budget) -> DataFrame:
+def observed(evidence: DataFrame | Gathered, budget: Budget) -> DataFrame:
     """One row for each pair: score, number of channels, exactness, content and channel of the primary observation, and the support list."""
+    if isinstance(evidence, Gathered):
+        return evidence.each(lambda x: observed(x, budget))
     w = F.lit(1.0)
     for name, value in sorted(budget.weights.items()):
         if ":" not in name:
@@ -245,7 +287,7 @@ def _observed(pairs: DataFrame, budget: Budget) -> DataFrame:
     )
 
 
-def fuse(evidence: DataFrame, budget: Budget, weak: DataFrame | None = None) -> DataFrame:
+def fuse(evidence: DataFrame | Gathered, budget: Budget, weak: DataFrame | None = None) -> DataFrame:
     """Candidates under a budget: exact pairs always, then quotas of sources, quotas of channels, and the rest of the budget; ties at each cut stay.
 
     ``weak`` (s1_id) are queries that get expanded_k. Each stage is a window over the
@@ -260,7 +302,8 @@ def fuse(evidence: DataFrame, budget: Budget, weak: DataFrame | None = None) ->
     members.append((F.lit(True), None))
     # Exact pairs are counted and stay: only the others are dealt by query.
     sure = every.filter("exact_match")
-    counts = sure.groupBy("s1_id").agg(F.count("*").alias("_sure"), *[F.count_if(m).alias(f"_sure{i}") for i, (m, _) in enumerate(members)])
+    known = evidence.counted(lambda x: observed(x, budget)).filter("exact_match") if isinstance(evidence, Gathered) else sure.withColumn("n", F.lit(1))
+    counts = known.groupBy("s1_id").agg(F.sum("n").alias("_sure"), *[F.sum(F.when(m, F.col("n")).otherwise(0)).alias(f"_sure{i}") for i, (m, _) in enumerate(members)])
     df = _loose(every, F.col("exact_match")).join(counts, "s1_id", "left").fillna(0, [c for c in counts.columns if c != "s1_id"])
     if weak is not None and budget.expanded_k:
         df = df.join(weak.select("s1_id").distinct().withColumn("_weak", F.lit(True)), "s1_id", "left").withColumn("_b", F.when(F.col("_weak"), budget.expanded_k).otherwise(budget.top_k)).drop("_weak")
@@ -301,7 +344,7 @@ def support_json(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("support_json", F.to_json("support")).drop("support")
 
 
-def query_quality(evidence: DataFrame, queries: DataFrame) -> DataFrame:
+def query_quality(evidence: DataFrame | Gathered, queries: DataFrame) -> DataFrame:
     """(s1_id, facts, weak) of each query. ``queries`` has s1_id, name_view and address_view.
 
     Weak: an empty view, a name under 5 or an address under 8 characters, no exact
@@ -309,10 +352,10 @@ def query_quality(evidence: DataFrame, queries: DataFrame) -> DataFrame:
     channel; 1 where there is one, 0 without any), no pair of two channels, or fewer
     than two fuzzy channels.
     """
-    if "seen" in evidence.columns:
-        fuzzy = _loose(evidence, F.lit(False)).select(*PAIR, F.explode(F.filter("seen", lambda x: ~x["exact"])).alias("x"))
+    if isinstance(evidence, Gathered):
+        fuzzy = _loose(evidence.near, F.lit(False)).select(*PAIR, F.explode(F.filter("seen", lambda x: ~x["exact"])).alias("x"))
         rows = fuzzy.select(*PAIR, "x.channel", F.col("x.score").alias("retrieval_score"), F.col("x.rank").alias("channel_rank"), F.col("x.exact").alias("exact_match"), F.col("x.key").alias("target_content_key"))
-        by_pair = evidence.select("s1_id", F.size("seen").alias("n"), F.exists("seen", lambda x: x["exact"]).alias("e"))
+        by_pair = evidence.counted(lambda x: x.select("s1_id", "seen")).select("s1_id", F.size("seen").alias("n"), F.exists("seen", lambda x: x["exact"]).alias("e"))
     else:
         rows = deduplicated(evidence)
         by_pair = rows.groupBy(*PAIR).agg(F.count("*").alias("n"), F.max("exact_match").alias("e"))
