@@ -556,3 +556,30 @@ def test_candidate_metrics_make_no_exact_pairs(spark, monkeypatch):
     want = sorted(map(str, metrics.candidate_metrics(rows, ["country"]).select(*columns).collect()))
     monkeypatch.setattr(blocking, "exact", lambda *_: pytest.fail("all exact pairs"))
     assert sorted(map(str, linkage.candidate_metrics(spark, d).select(*columns).collect())) == want
+
+
+def test_exact_pairs_are_told_and_counted_by_kind(spark):
+    e = _mixed(spark)
+    found = [(f"S1-{i}", f"S{s}-{i + s - 1 + 3 * k}", f"S{s}", c, 0.9 - k / 10, k + 1, False, f"k{k}") for i in range(0, 60, 3) for s in (2, 3) for k in range(3) for c in ("name_char_tfidf", "address_char_tfidf")]
+    g = pairs.gathered(e, spark.createDataFrame(found, EVIDENCE), False)
+    far = [(r["s1_id"], r["kind"]) for r in g.far.collect()]
+    assert {(r["s1_id"], r["kind"]): r["n"] for r in g.counts().collect()} == {x: far.count(x) for x in far}
+    assert len({kind for _, kind in far}) > 8
+    # Of the far pairs, those that a decoder's first ones need.
+    scored = lambda x: fusion.observed(x, fusion.Budget()).select(*fusion.PAIR, F.col("n_channels").cast("double").alias("score"))
+    for k in (1, 2):
+        d = decode.Decoder(0.5, {}, k, True, 0.0)
+        want = sorted(map(str, decode.pairs(g.each(scored), d).collect()))
+        assert want and sorted(map(str, decode.pairs(g.leading(k).each(scored), d).collect())) == want
+    n = 900
+    many = spark.range(n).selectExpr("concat('S', id % 3 + 1, '-', id) as entity_id", "concat('S', id % 3 + 1) as source", "'Common' as business_name", "cast(id as string) as business_address", "'A' as country")
+    g = pairs.gathered(many, spark.createDataFrame([], EVIDENCE), False)
+    assert g.counts().agg(F.sum("n")).first()[0] == 300 * 600 and g.first(2).count() == 300 * 2 * 2
+
+
+def test_trees_read_rows_that_are_made_once(spark, monkeypatch):
+    read = []
+    monkeypatch.setattr(ranker, "fit", lambda rows, **_: read.append(rows))
+    monkeypatch.setattr(ranker, "score", lambda _, rows: rows)
+    assert linkage.gbt_scores(spark, "/root/testdata/sf0.001") is read[0]
+    assert read[0].inputFiles() and not any("documents" in f for f in read[0].inputFiles())

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,13 +22,19 @@ class Gathered:
     texts, with all their observations. ``far`` (s1_id, target_id, kind, key) are all others: what is seen of them
     depends on their kind alone, the exact channels they have and their source, but for the target's content.
     ``kinds`` is as near, one row for each kind, which stands as s1_id; ``counts`` makes (s1_id, kind, n), the far
-    pairs of each query counted by their keys.
+    pairs of each query counted by their keys; ``first`` makes far pairs without those that are behind the k-th of their query
+    and source, by kinds with more channels, then ids.
     """
 
     near: DataFrame
     far: DataFrame
     kinds: DataFrame
     counts: Callable[[], DataFrame]
+    first: Callable[[int], DataFrame]
+
+    def leading(self, k: int) -> Gathered:
+        """Enough pairs for the first k of each query and source, by a score that further exact channels don't lessen, then id."""
+        return replace(self, far=self.first(k))
 
     def _joined(self, rows: DataFrame, f: Callable[[DataFrame], DataFrame], own: dict[str, Column]) -> DataFrame:
         """Rows with a kind, and what f says of it; ``own`` are columns of the rows themselves."""
@@ -287,13 +293,14 @@ def _observed(pairs: DataFrame, budget: Budget) -> DataFrame:
     )
 
 
-def fuse(evidence: DataFrame | Gathered, budget: Budget, weak: DataFrame | None = None) -> DataFrame:
+def fuse(evidence: DataFrame | Gathered, budget: Budget, weak: DataFrame | None = None, also: dict[str, Column] | None = None) -> DataFrame:
     """Candidates under a budget: exact pairs always, then quotas of sources, quotas of channels, and the rest of the budget; ties at each cut stay.
 
-    ``weak`` (s1_id) are queries that get expanded_k. Each stage is a window over the
+    ``weak`` (s1_id) are queries that get expanded_k; ``also`` are further columns of each pair that ``observed`` makes. Each stage is a window over the
     query's pairs: all share one partitioning, so quotas cost no further shuffle.
     """
-    every = observed(evidence, budget)
+    see = lambda x: observed(x, budget).withColumns(also or {})
+    every = evidence.each(see) if isinstance(evidence, Gathered) else see(evidence)
     kept = [c for c in every.columns if c != "exact_only"]
     if budget.preserve_channel_union:
         return every.select(*kept)
@@ -302,7 +309,7 @@ def fuse(evidence: DataFrame | Gathered, budget: Budget, weak: DataFrame | None
     members.append((F.lit(True), None))
     # Exact pairs are counted and stay: only the others are dealt by query.
     sure = every.filter("exact_match")
-    known = evidence.counted(lambda x: observed(x, budget)).filter("exact_match") if isinstance(evidence, Gathered) else sure.withColumn("n", F.lit(1))
+    known = evidence.counted(see).filter("exact_match") if isinstance(evidence, Gathered) else sure.withColumn("n", F.lit(1))
     counts = known.groupBy("s1_id").agg(F.sum("n").alias("_sure"), *[F.sum(F.when(m, F.col("n")).otherwise(0)).alias(f"_sure{i}") for i, (m, _) in enumerate(members)])
     df = _loose(every, F.col("exact_match")).join(counts, "s1_id", "left").fillna(0, [c for c in counts.columns if c != "s1_id"])
     if weak is not None and budget.expanded_k:
